@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.llm.secrets import op6_secrets
 from callweave.llm.simhash import op4_simhash
+from callweave.llm.url_filter import op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash]
+    found = [op4_simhash, op5_url_filter, op6_secrets]
     return {f.__name__: f for f in found}
 
 
