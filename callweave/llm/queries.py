@@ -6,13 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.llm.class_lm import op10_class_lm
+from callweave.llm.decontaminate import op9_decontaminate
+from callweave.llm.html_text import op1_html_text
+from callweave.llm.language import op8_language
+from callweave.llm.mixing import op3_mixing
+from callweave.llm.quality import op2_quality
 from callweave.llm.secrets import op6_secrets
 from callweave.llm.simhash import op4_simhash
+from callweave.llm.token_planes import op7_token_planes
 from callweave.llm.url_filter import op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_simhash, op5_url_filter, op6_secrets]
+    found = [op1_html_text, op2_quality, op3_mixing, op4_simhash, op5_url_filter, op6_secrets, op7_token_planes, op8_language, op9_decontaminate, op10_class_lm]
     return {f.__name__: f for f in found}
 
 
