@@ -10,6 +10,7 @@ are joined and compressed with zstandard, and ``plane_sizes`` says where each be
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -26,10 +27,9 @@ from callweave.llm.common import table
 from callweave.session import materialize, shared_dir
 
 BLOCK, CHUNK_IDS, END_ID = 4096, 1 << 18, 2
-#: Words that a worker keeps encoded; beyond, its memory starts afresh.
-REMEMBERED = 1 << 20
-#: A single space between other characters than white space, and white space that makes ``split(" ")`` unsafe.
-CUT, RUN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" \s")
+#: Pieces that a worker keeps encoded (about 200 MB), and how the vocabulary writes a space.
+REMEMBERED, SPACE = 1_000_000, "\u0120"
+RUN = re.compile(r" \s")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -48,7 +48,7 @@ def pack(ids: np.ndarray, mode: str = "byte") -> tuple[list[int], bytes]:
         planes = [np.ascontiguousarray(p) for p in octets]
     else:
         planes = [np.packbits(p >> bit & 1) for p in octets for bit in range(8)]
-    squeezed = [zstandard.ZstdCompressor(level=3).compress(p.tobytes()) for p in planes]
+    squeezed = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in planes]
     return [len(x) for x in squeezed], b"".join(squeezed)
 
 
@@ -69,27 +69,47 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to the bytes of their ids.
 
     The byte-level pattern always cuts before a single space between two other characters than white space, and
-    no piece looks beyond such a cut, so pieces are encoded alone, by the tokenizer, once a worker.
+    no piece looks beyond such a cut, so pieces need encoding once. New pieces of some texts are encoded
+    together as one text; only the first token of a piece begins with a space, which parts their ids again.
+    A worker remembers the first ``REMEMBERED`` pieces it meets, frequent ones thus, and no more.
     """
     if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, first, later = _tokenizers[path]
-
-    def learn(pieces: set[str], known: dict[str, bytes], lead: str) -> None:
-        new = list(pieces - known.keys())
-        found = tokenizer.encode_batch_fast([lead + x for x in new], add_special_tokens=False)
-        known.update((x, np.array(e.ids, dtype="<u4").tobytes()) for x, e in zip(new, found))
+        tokenizer = Tokenizer.from_file(path)
+        vocabulary = tokenizer.get_vocab()
+        leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        _tokenizers[path] = (tokenizer, leads, {})
+    tokenizer, leads, known = _tokenizers[path]
+
+    def learn(pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), 2000):
+            ids = np.array(tokenizer.encode(" " + " ".join(pieces[at : at + 2000]), add_special_tokens=False).ids, dtype="<u4")
+            starts = 4 * np.flatnonzero(leads[ids])
+            data = ids.tobytes()
+            out.extend(data[x:y] for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(data)]))
+        return out
 
     def encode(texts: list[str]) -> list[bytes]:
-        if len(first) + len(later) > REMEMBERED:
-            first.clear()
-            later.clear()
-        split = [CUT.split(t) if RUN.search(t) else t.split(" ") for t in texts]
-        learn({x[0] for x in split}, first, "")
-        learn(set().union(*(x[1:] for x in split)), later, " ")
-        return [first[x[0]] + b"".join(map(later.__getitem__, x[1:])) for x in split]
+        # Texts with other white space after a space, or a space at their end, go to the tokenizer whole.
+        plain = [None if RUN.search(t) or t[-1:] == " " else t.split(" ") for t in texts]
+        heads = tokenizer.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, plain)], add_special_tokens=False)
+        new = list(set().union(*(x[1:] for x in plain if x)) - known.keys())
+        found = dict(zip(new, learn(new)))
+        room = REMEMBERED - len(known)
+        if room > 0:
+            known.update(list(found.items())[:room])
+        get = known.get
+        out = []
+        for head, pieces in zip(heads, plain):
+            rest = [get(w) for w in pieces[1:]] if pieces else []
+            if None in rest:
+                rest = [found[w] if x is None else x for w, x in zip(pieces[1:], rest)]
+            out.append(np.array(head.ids, dtype="<u4").tobytes() + b"".join(rest))
+        return out
 
     return encode
 
@@ -120,8 +140,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
         size = 0
         for batch in batches:
             id_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 for name, found in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     names.append(name)
                     parts.append(found + end)
