@@ -6,6 +6,9 @@ marginals, and documents are sampled by the calibrated probability of their cell
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,17 +17,8 @@ from callweave.llm.common import table
 from callweave.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Topic rules in order of precedence: name and pattern over the text in lower case.
-TOPICS = (("legal", "licen[sc]ed? |copyright|all rights reserved"), ("technical", "password|secret|token|api_?key|https?://"), ("contact", "@|[0-9]{3}[- ][0-9]{3}"), ("tabular", "[|] [^|]* [|]"))
-
-
-def topic_of(text: Column) -> Column:
-    """The first topic whose pattern the text holds; otherwise prose by its number of words."""
-    words = F.size(F.split(text, r"[\x20\x09-\x0D]+"))
-    found = F.when(words < 100, "brief").when(words < 600, "prose").otherwise("longform")
-    for name, pattern in reversed(TOPICS):
-        found = F.when(F.lower(text).rlike(pattern), name).otherwise(found)
-    return found
+#: Topic rules in order of precedence: name and the strings of which the text holds one.
+TOPICS = (("legal", ("Licensed under", "licensed under", "Copyright", "copyright")), ("technical", ("token", "secret", "password", "https://")), ("contact", ("@",)), ("tabular", (" | ",)))
 
 
 def tokens_of(text: Column) -> Column:
@@ -32,6 +26,14 @@ def tokens_of(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("double")
 
 
+def topic_of(text: Column) -> Column:
+    """The first topic that the text holds a string of; otherwise prose by its number of words."""
+    found = F.when(tokens_of(text) < 100, "brief").when(tokens_of(text) < 600, "prose").otherwise("longform")
+    for name, strings in reversed(TOPICS):
+        found = F.when(reduce(or_, (text.contains(x) for x in strings)), name).otherwise(found)
+    return found
+
+
 def targets(cells: DataFrame, dimension: str, power: float) -> DataFrame:
     """Target shares of a marginal: the observed shares to ``power``, scaled to one."""
     sums = cells.groupBy(dimension).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
