@@ -17,7 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """``keep`` columns and ``text`` as UTF-8 bytes (null: empty), so that Python workers need not decode."""
+    """``keep`` columns and ``text`` as UTF-8 bytes (null: empty), so that Python workers need not decode.
+
+    Texts are long: Arrow batches of 1000 rows keep the memory of a worker small, set for the session.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
