@@ -69,9 +69,9 @@ def assign_topics(vectors: DataFrame, topics: DataFrame, *, key: str, vector: st
 def knn(vectors: DataFrame, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
     """Exact ``(key, neighbour, similarity, rank)`` by blocks: rows meet block by block, and each block pair keeps its ``k`` best."""
     rows = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", "block", every.cast("long").alias("other"))
-    right = rows.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), F.col("block").alias("other"), every.cast("long").alias("block"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    left = rows.select("id", "v", "block", every.alias("other"))
+    right = rows.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), F.col("block").alias("other"), every.alias("block"))
     pairs = left.join(right, ["block", "other"]).where("id <> neighbour").select("id", "other", "neighbour", dot(F.col("v"), F.col("w")).alias("similarity"))
     order = [F.desc("similarity"), F.asc("neighbour")]
     near = pairs.withColumn("r", F.row_number().over(W.partitionBy("id", "other").orderBy(*order))).where(F.col("r") <= k)

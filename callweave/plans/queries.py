@@ -1,30 +1,306 @@
-"""Queries over the test tables, one or more for each operator, and the SQL that checks them."""
+"""Queries over the test tables, one or more for each family of operators."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callweave.functions import names, text
+from callweave.functions.guards import no_guards
+from callweave.functions.signature import overlap
+from callweave.operators import batches, graph, phases, reports, topics, validate
+from callweave.plans.oracles import SQL
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One call per event with its guard from props."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    guard = F.struct(F.concat(F.lit("g"), F.floor(k / 10).cast("string")).alias("groupId"), (k % 2).cast("string").alias("armLabel"))
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "user_id", "ts", F.col("event_type").alias("callee"), "value", F.array(guard).alias("reqs"))
+
+
+def sequence_edges(rows: DataFrame) -> DataFrame:
+    nxt = F.lead("id").over(W.partitionBy("user_id").orderBy("ts", "id"))
+    return rows.select(F.col("id").alias("src"), nxt.alias("dst"), F.lit("sequence").alias("type"), "reqs").where("dst is not null")
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    pairs = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    return pairs.where("dst is not null").distinct()
+
+
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invoke edges region -> nation -> customer -> order, ids with prefixes."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    a = read(spark, sf_dir, "nation").select(tag("r", "n_regionkey").alias("src"), tag("n", "n_nationkey").alias("dst"))
+    b = read(spark, sf_dir, "customer").select(tag("n", "c_nationkey").alias("src"), tag("c", "c_custkey").alias("dst"))
+    c = read(spark, sf_dir, "orders").select(tag("c", "o_custkey").alias("src"), tag("o", "o_orderkey").alias("dst"))
+    return a.unionByName(b).unionByName(c)
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signatures of conversation turns: inputs are tokens of three and more, arguments of six and more characters."""
+    found = lambda n: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"([a-z0-9_]{{{n},}})"), F.lit(1))))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", found(3).alias("inputs"), found(6).alias("arguments"))
+
+
+def digits(column: Column) -> Column:
+    return F.round(column, 6)
+
 
 def bridge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transitions between kept calls: view events are noise, edges are spliced around them."""
-    calls = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type <> 'view'")
-    steps = calls.withColumn("next_type", F.lead("event_type").over(W.partitionBy("user_id").orderBy("ts", "event_id")))
-    return steps.where("next_type is not null").groupBy("event_type", "next_type").agg(F.count("*").alias("n"))
+    """Flagship: view events are noise; sequence edges are spliced around them and counted by event types."""
+    rows = calls(spark, sf_dir).withColumn("reqs", no_guards())
+    edges = graph.bridge(sequence_edges(rows), rows.where("callee = 'view'").select("id"))
+    kind = rows.select("id", "callee")
+    named = edges.join(kind.withColumnsRenamed({"id": "src", "callee": "from_type"}), "src").join(kind.withColumnsRenamed({"id": "dst", "callee": "to_type"}), "dst")
+    return named.groupBy("from_type", "to_type").agg(F.count("*").alias("n"))
+
+
+def bridge_guarded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir)
+    edges = graph.bridge(sequence_edges(rows), rows.where("callee = 'view'").select("id"))
+    said = F.array_join(F.transform("reqs", lambda r: F.concat_ws("=", r["groupId"], r["armLabel"])), ",")
+    return edges.select("src", "dst", said.alias("guards"))
+
+
+def call_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir)
+    nodes = rows.select("id", F.when(F.col("callee") == "view", "structure").otherwise("call").alias("type"), F.col("user_id").alias("callerMethod"))
+    found = graph.call_pairs(nodes, sequence_edges(rows))
+    return found.groupBy("dst").agg(F.array_join(F.array_sort(F.collect_set("src")), ",").alias("sources"))
+
+
+def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir).withColumn("reqs", no_guards())
+    nodes = rows.select("id", F.lit("call").alias("type"), "callee")
+    kept, edges = graph.filter_noise(nodes, sequence_edges(rows), F.col("callee").isin("view", "error"))
+    ends = edges.groupBy(F.col("src").alias("id")).agg(F.max("dst").alias("next"))
+    return kept.join(ends, "id", "left").select("id", "callee", "next")
+
+
+def reach_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = read(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
+    return graph.reach(part_edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("n"))
+
+
+def reach_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root")).withColumn("id", F.col("root"))
+    return graph.reach(tree_edges(spark, sf_dir), roots).groupBy("root", "level").agg(F.count("*").alias("n"))
+
+
+def depth_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = read(spark, sf_dir, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
+    back = part_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.reach(back, roots, max_depth=2).groupBy("root").agg(F.count("*").alias("n"), F.max("level").alias("deepest"))
+
+
+def roots_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey").cast("string")
+    entries = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), key).alias("id"), F.lit("entry").alias("type"), F.concat(F.lit("c"), key).alias("calleeFullName"), F.lit(None).cast("string").alias("callerMethod"))
+    own = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("call").alias("type"), F.lit("x").alias("calleeFullName"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("callerMethod"))
+    edges = read(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.lit("n").alias("src"), F.concat(F.lit("c"), key).alias("dst"), F.lit("invoke").alias("type"))
+    return graph.roots_and_orphans(entries.unionByName(own), edges)
+
+
+def callers_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
+    into = graph.callers(parts, edges)
+    out = graph.callees(edges, parts.where("id % 2 = 0"))
+    return into.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.size("callers").cast("long").alias("n_callers"), F.get("callers", F.lit(0)).alias("first_caller"), F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("n_targets"))
+
+
+def peel_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.peel(tree_edges(spark, sf_dir)).groupBy("level").agg(F.count("*").alias("n"))
+
+
+def part_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that follow each other in an order and are of one brand are linked."""
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    order = W.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber", "l_partkey")
+    pairs = rows.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst")).where("dst is not null and src <> dst")
+    return graph.components(pairs)
+
+
+def linear_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir)
+    found = graph.linear_runs(sequence_edges(rows), rows.where("callee <> 'view'").select("id", F.col("id").alias("rank")))
+    return found.groupBy("run").agg(F.count("*").alias("n"), F.max("position").cast("long").alias("last"))
+
+
+def expand_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = tree_edges(spark, sf_dir).where("dst not like 'o%'").select(F.col("src").alias("method"), F.col("dst").alias("call"), F.col("dst").alias("target"))
+    starts = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("method"))
+    return graph.expand(starts, edges, max_depth=2).select("root", "method", "depth", F.array_join("path", "/").alias("path"))
+
+
+def effective_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = tree_edges(spark, sf_dir).select(F.col("src").alias("method"), F.col("dst").alias("call"), F.col("dst").alias("target"))
+    methods = edges.select("method").distinct().withColumn("own", F.lit(1))
+    return phases.effective_counts(methods, edges)
+
+
+def name_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.concat(F.element_at(F.array(*map(F.lit, ("com.acme.", "java.util.", "javax.", "com.acme.X$1.", "x.<operator>."))), (F.col("p_partkey") % 5 + 1).cast("int")),
+                 F.element_at(F.array(*map(F.lit, ("run:void()", "access$", "lambda$a$", "<lambda>"))), (F.col("p_partkey") % 4 + 1).cast("int")), F.col("p_size").cast("string"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", n.alias("name"))
+    c = F.col("name")
+    return rows.select("p_partkey", names.is_noise(c).alias("noise"), names.is_lambda(c).alias("lambda"), names.is_stripped_call(c).alias("stripped"), names.is_builtin(c).alias("builtin"), names.compact_name(c).alias("compact"))
+
+
+def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    term = F.concat_ws("_", F.initcap("p_name"), F.lit("HTTPServer2Foo"), F.col("p_type"))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(text.split_identifier(term), " ").alias("words"))
+
+
+def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").where("lang = 'en'")
+    done = rows.select("doc_id", text.preprocess_document(F.array("text", F.lit("x.<init>")), text.stop_words()).alias("words"))
+    return done.select("doc_id", F.length("words").cast("long").alias("n_chars"), F.md5(F.encode("words", "UTF-8")).alias("digest"))
+
+
+def doc_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text", "doc_id")
+    return topics.best_readmes(rows).select("doc_id", "path")
+
+
+def ctfidf_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = topics.term_counts(read(spark, sf_dir, "documents"), cluster="source", token=topics.ASCII_TOKEN)
+    return topics.top_terms(topics.class_tfidf(counts).withColumn("score", F.round("score", 10))).select("cluster", "term", digits(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topics.centroids(read(spark, sf_dir, "embeddings"))
+    return found.select("label", F.posexplode("centroid").alias("i", "x")).select("label", F.col("i").cast("long").alias("i"), digits(F.col("x")).alias("x"))
+
+
+def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return topics.assign_topics(rows, topics.centroids(rows), key="vec_id").select("vec_id", "label", digits(F.col("similarity")).alias("similarity"))
+
+
+def knn5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.knn(read(spark, sf_dir, "embeddings")).select("vec_id", "neighbour", F.col("rank").cast("long").alias("rank"), digits(F.col("similarity")).alias("similarity"))
+
+
+def density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topics.density_clusters(read(spark, sf_dir, "embeddings"))
+
+
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"))
+    members = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.when(F.col("quality") == 0, -1).otherwise(F.col("toxic")).alias("label"))
+    return topics.coverage(docs, members).withColumn("coverage", digits(F.col("coverage")))
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return read(spark, sf_dir, "pages").select("page_id", F.array_join(F.reverse(F.split(host, r"\.")), ".").alias("package"))
+
+
+def package_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = _packages(spark, sf_dir).select(F.col("page_id").alias("label"), "package")
+    docs = members.select(F.explode(F.array(F.substring_index("package", ".", 2), F.substring_index("package", ".", 3))).alias("package")).distinct().withColumn("path", F.col("package"))
+    return topics.attach_readmes(members, docs)
+
+
+def package_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _packages(spark, sf_dir).withColumn("top", F.substring_index("package", ".", 2))
+    return topics.common_prefix(rows, by="top")
+
+
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = W.partitionBy("conv_id").orderBy("turn", "role", "inputs")
+    rows = turns(spark, sf_dir).withColumn("p", F.lag("inputs").over(order)).withColumn("q", F.lag("arguments").over(order)).where("p is not null")
+    return rows.select("conv_id", "turn", digits(overlap(F.col("p"), F.col("inputs"))).alias("inputs"), digits(overlap(F.col("q"), F.col("arguments"))).alias("arguments"))
+
+
+def core_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phases.core_signature(turns(spark, sf_dir), by="conv_id", values="inputs")
+    return found.select("conv_id", F.array_join("core", " ").alias("core"))
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    rows = turns(spark, sf_dir).withColumn("pos", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "inputs")))
+    observed = F.array(*map(F.lit, ("receivers", "inputs", "arguments")))
+    sig = rows.select(F.col("conv_id").alias("run"), "pos", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("pos").cast("string")).alias("id"), F.array("role").alias("receivers"), "inputs", "arguments", *(none.alias(c) for c in ("fields_read", "fields_written", "domain_types", "method_terms", "output_types")), observed.alias("observed"), F.lit(False).alias("flow"), F.lit(False).alias("retained"))
+    found, _ = phases.segment_runs(sig)
+    return found.select("run", F.col("pos").cast("long").alias("pos"), F.col("phase").cast("long").alias("phase"))
+
+
+def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "/* open\nstill\n*/\n").otherwise("// one\n\n"), F.col("text")).alias("text"))
+    return reports.line_stats(rows, key="doc_id")
+
+
+def pack_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("source", "doc_id", F.octet_length("text").cast("long").alias("size"))
+    return batches.pack(rows, key="source", order="doc_id", size="size", max_items=32).withColumn("batch", F.col("batch").cast("long"))
+
+
+def correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return batches.correlate(rows.where("conv_id % 3 <> 0").select(F.col("conv_id").alias("id")), rows.where("turn < 2").select(F.col("conv_id").alias("id")))
+
+
+def label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit('"'), F.regexp_extract("text", r"^([A-Za-z]+(?: [A-Za-z]+){0,6})", 1), F.lit('"')).alias("raw"))
+    done = rows.withColumn("label", text.normalise_label(F.col("raw")))
+    return done.select("conv_id", "turn", "role", "label", text.valid_label(F.col("label")).alias("phase_ok"), text.valid_topic_label(F.col("label")).alias("topic_ok"))
+
+
+def comment_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval join: events between the first and the last purchase of their user."""
+    rows = read(spark, sf_dir, "events")
+    span = rows.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    return rows.join(span, "user_id").where("ts between low and high").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def topic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("op_id"), F.col("toxic").alias("label"), F.lit(0.5).alias("similarity"))
+    tops = read(spark, sf_dir, "labels").select(F.col("toxic").alias("label")).distinct().withColumn("name", F.when(F.col("label") == 0, "clean"))
+    return topics.topic_report(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("op_id")), labels, tops)
+
+
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = read(spark, sf_dir, "events").select("event_type", (F.col("event_type") != "error").alias("success"), F.col("value").alias("duration"))
+    return reports.run_totals(log, by="event_type").withColumn("duration", F.round("duration", 3))
+
+
+def dangling_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = read(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("id"))
+    return validate.dangling_edges(part_edges(spark, sf_dir), nodes).drop("check").groupBy("key").agg(F.count("*").alias("n"))
+
+
+def data_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    return validate.unrequested_pairs(edges, edges.where("src < dst")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").groupBy("source").agg(F.sum(text.estimate_tokens(F.col("text"))).alias("tokens"))
+
+
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir)
+    return reports.graph_stats(rows.select(F.col("callee").alias("type")), sequence_edges(rows))
 
 
-SQL = {
-    "bridge_events": """select event_type, next_type, count(*) as n from (
-        select event_type, lead(event_type) over (partition by user_id order by ts, event_id) as next_type
-        from events where event_type <> 'view') where next_type is not null group by all""",
-}
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"bridge_events": bridge_events}
+    return {f.__name__: f for f in FOUND}
 
 
 def oracle_sql() -> dict[str, str]:
