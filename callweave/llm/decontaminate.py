@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from callweave.llm.common import table, text_bytes
 
@@ -114,6 +115,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, s
     source = text_bytes(docs, "doc_id")
     kind = dict(source.dtypes)["doc_id"]
     item_kind = dict(benchmark.dtypes)["item_id"]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     parts = []
     for index in _indexes(benchmark, window, similarity, block_bytes):
 
@@ -121,7 +123,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, s
             for batch in batches:
                 rows = [(i, index.items[k], n) for i, t in enumerate(batch.column(1)) for k, n in sorted(index.overlaps(index.ids(t.as_py())).items())]
                 at = pa.array([r[0] for r in rows], pa.int64())
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "item_id": [r[1][0] for r in rows], "matched": pa.array([r[2] for r in rows], pa.int64()), "item_tokens": pa.array([len(r[1][1]) for r in rows], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0).take(at), "item_id": pa.array([r[1][0] for r in rows], item_type), "matched": pa.array([r[2] for r in rows], pa.int64()), "item_tokens": pa.array([len(r[1][1]) for r in rows], pa.int64())})
 
         parts.append(source.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, matched long, item_tokens long"))
     found = parts[0]
