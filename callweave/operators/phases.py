@@ -28,7 +28,7 @@ def neighbours(calls: DataFrame, *, run: str = "run", pos: str = "pos") -> DataF
     return pair.withColumn("told", F.when(F.col("__a").isNotNull() & ~F.col("retained") & ~F.col("__p"), told)).drop("__a", "__b", "__p")
 
 
-def _tagged(dimension: str) -> Column:
+def tagged(dimension: str) -> Column:
     """Values of a dimension with its name before them."""
     return F.transform(dimension, lambda v: F.concat(F.lit(f"{dimension}:"), v))
 
@@ -51,7 +51,7 @@ def segment_runs(calls: DataFrame, *, run: str = "run", pos: str = "pos", region
             break
         seg = materialize(seg)
         live = seg.where("not retained").withColumn("at", F.row_number().over(W.partitionBy(run, "phase").orderBy(pos)))
-        wide = live.select(run, pos, "phase", "at", F.explode(F.flatten(F.array(*map(_tagged, (*DIMENSIONS, "observed"))))).alias("v"))
+        wide = live.select(run, pos, "phase", "at", F.explode(F.flatten(F.array(*map(tagged, (*DIMENSIONS, "observed"))))).alias("v"))
         seen = wide.withColumn("before", F.row_number().over(W.partitionBy(run, "phase", "v").orderBy(pos)))
         ends = live.where("told.verdict = 'RELATED' and told.confidence < 1.0").select(run, "phase", F.col("at").alias("end"), F.col(pos).alias("pos_end"))
         least = F.when(F.col("end") == 2, 1).otherwise(F.greatest(F.lit(2), F.ceil((F.col("end") - 1) / 2)))

@@ -83,4 +83,31 @@ SQL = {
     "data_edges": f"""with {PARTSEQ} select src::varchar as key, count(*) as n from partseq where not src < dst group by src""",
     "token_estimate": """select source, sum(ceil(strlen(text) / 3))::bigint as tokens from documents group by source""",
     "graph_stats": f"""with {SEQ} select 'node' as kind, callee as name, count(*) as n from calls group by callee union all select 'edge', 'sequence', count(*) from seq""",
+    "derived_guards": f"""with {CALLS}, s as (select * from (select id as src, k, lead(id) over w as dst, lead(k) over w as d from calls window w as (partition by user_id order by ts, id)) where dst is not null)
+        select src, dst, case when k // 10 = d // 10 then 'g' || (k // 10) || '=' || (k % 2) else 'g' || (k // 10) || '=' || (k % 2) || ',g' || (d // 10) || '=' || (d % 2) end as guards from s where k // 10 <> d // 10 or k % 2 = d % 2""",
+    "call_resolution": """select 'o' || o_orderkey as src, 'o' || o_orderkey || '_unresolved' as dst, true as leaf, 'unresolved' as reason from orders where o_orderkey % 5 = 0
+        union all select 'o' || o_orderkey, 'c' || o_custkey, c_acctbal < 0, null from orders join customer on c_custkey = o_custkey where o_orderkey % 5 <> 0 and (c_acctbal < 0 or c_mktsegment <> 'BUILDING')
+        union all select 'o' || o_orderkey, 'sF', false, null from orders where o_orderstatus = 'F'""",
+    "phase_keys": f"""with recursive {TREE}, first as (select src, right(dst, 1) as d, arg_min(dst, (length(dst), dst)) as dst from tree group by all),
+        w(root, id) as (select 'r' || r_regionkey, 'r' || r_regionkey from region union select w.root, f.dst from w join first f on f.src = w.id)
+        select root, count(*) as n from w join (select distinct src, length(dst) as phase from tree) p on p.src = w.id group by root""",
+    "nested_items": f"""with {CALLS}, p as (select user_id as method, id, k, callee <> 'view' as ok, (['g' || (k // 30) || '=' || (k % 2), 'h' || (k // 10) || '=' || (k % 2)])[1:k % 3] as path from calls),
+        b as (select method, array_to_string(path[1:d - 1], '/') as container, split_part(path[d], '=', 1) as key, min(id) as first from (select *, unnest(generate_series(1, len(path))) as d from p) where ok group by all),
+        r as (select method, array_to_string(path, '/') as container, (k % 2)::varchar as key, count(*) as n, min(id) as first from p where ok group by all),
+        u as (select method, container, 'run' as kind, key, n, first from r union all select method, container, 'branch', key, 0, first from b)
+        select method, container, row_number() over (partition by method, container order by first, kind, key) as ordinal, kind, key, n, first from u""",
+    "gate_answers": """with p as (select conv_id, row_number() over (partition by conv_id order by turn, role, text) as pos, length(text) as size from conversations),
+        h as (select *, max(case when pos = 1 or size % 3 = 0 then pos end) over (partition by conv_id order by pos) as head from p)
+        select conv_id as method, conv_id || '-' || pos as id, conv_id || '-' || head as phase, head as at, pos - head as seq from h""",
+    "label_groups": """with p as (select 'c' || c_custkey as phase_id, case when c_mktsegment <> 'BUILDING' and c_nationkey % 3 <> 0 then 'n' || c_nationkey || 'a' else 'c' || c_custkey end as g from customer
+        union all select 'n' || n_nationkey || x, 'n' || n_nationkey || x from nation, (values ('a'), ('b')) v(x) where x = 'a' or n_nationkey % 3 = 0), r as (select phase_id, min(phase_id) over (partition by g) as root from p)
+        select 'item-' || dense_rank() over (order by root) as item, phase_id from r""",
+    "method_bundle": """select o_orderkey as entry_id, count(l_orderkey) as n, coalesce(string_agg(l_linenumber || ':' || l_partkey, ',' order by l_linenumber, l_partkey), '') as nodes from orders left join lineitem on l_orderkey = o_orderkey group by o_orderkey""",
+    "bundle_checks": """with m as (select p_partkey as e from part where p_size < 40), o as (select o_orderkey as id, o_custkey as root from orders where o_orderkey % 2 = 0), found as (
+        select 'leaf-type' as check from part where p_size in (10, 11) union all select 'missing-leaf' from lineitem where l_partkey not in (select p_partkey from part where p_size >= 10)
+        union all select 'missing-root' from o where root not in (select e from m) union all select 'missing-reached' from lineitem where l_partkey not in (select e from m)
+        union all select 'missing-caller' from lineitem where l_partkey in (select e from m) and l_suppkey not in (select e from m)
+        union all select 'missing-operation' from lineitem where l_partkey in (select e from m) and l_orderkey not in (select id from o)) select "check", count(*) as n from found group by "check" """,
+    "payload_batches": """select doc_id // 32 as batch, '{"schemaVersion":"one","operations":[' || string_agg('{"id":' || doc_id || case when lang is null then '' else ',"entryPoint":"' || lang || '"' end || ',"subsequentMethods":[' || coalesce('"' || source || '"', 'null') || ']}', ',' order by doc_id) || ']}' as payload from documents group by 1""",
+    "corpus_text": """select p_partkey as pos, 'Class: ' || p_name || chr(10) || '  Methods: ' || p_type || ', ' || p_brand || chr(10) || '  Members: ' || p_name as text from part""",
 }

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.functions import names, text
 from callweave.functions.guards import no_guards
 from callweave.functions.signature import overlap
-from callweave.operators import batches, graph, phases, reports, topics, validate
+from callweave.operators import batches, branches, bundle, gates, graph, phases, reports, topics, validate
 from callweave.plans.oracles import SQL
 
 
@@ -46,10 +46,10 @@ def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+def turns(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """Signatures of conversation turns: inputs are tokens of three and more, arguments of six and more characters."""
     found = lambda n: F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"([a-z0-9_]{{{n},}})"), F.lit(1))))
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", found(3).alias("inputs"), found(6).alias("arguments"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", *more, found(3).alias("inputs"), found(6).alias("arguments"))
 
 
 def digits(column: Column) -> Column:
@@ -296,7 +296,94 @@ def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.graph_stats(rows.select(F.col("callee").alias("type")), sequence_edges(rows))
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats)
+def derived_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calls(spark, sf_dir)
+    edges = sequence_edges(rows).drop("reqs").withColumn("alternatives", F.array(no_guards()))
+    found = branches.derive_guards(edges, rows.select("id", F.col("reqs").alias("branchArms")))
+    said = F.array_join(F.transform("reqs", lambda r: F.concat_ws("=", r["groupId"], r["armLabel"])), ",")
+    return found.select("src", "dst", said.alias("guards"))
+
+
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders call their customer; every fifth is unresolved, debtors are external, builders have no body, finished orders refer to their status."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders = read(spark, sf_dir, "orders").select(tag("o", "o_orderkey").alias("id"), tag("c", "o_custkey").alias("target"), "o_orderkey", "o_orderstatus")
+    methods = read(spark, sf_dir, "customer").select(tag("c", "c_custkey").alias("target"), F.col("c_name").alias("fullName"), (F.col("c_acctbal") < 0).alias("external"), (F.col("c_mktsegment") != "BUILDING").alias("hasBody"))
+    refs = orders.where("o_orderstatus = 'F'").select("id", tag("s", "o_orderstatus").alias("target"))
+    edges, leaves = branches.call_edges(orders.select("id"), orders.where("o_orderkey % 5 <> 0"), methods, refs)
+    return edges.join(leaves.select(F.col("id").alias("dst"), "reason", F.lit(True).alias("leaf")), "dst", "left").select("src", "dst", F.col("leaf").isNotNull().alias("leaf"), "reason")
+
+
+def phase_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of a method are told by the last digit of their targets; each leads to its first target."""
+    edges = tree_edges(spark, sf_dir)
+    retained = edges.select(F.col("src").alias("method"), F.right("dst", F.lit(1)).alias("call"), F.col("dst").alias("target"), F.length("dst").alias("pos"))
+    phases_of = edges.select(F.col("src").alias("method"), F.length("dst").alias("phase"))
+    starts = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("method"))
+    return branches.retained_phase_keys(starts, phases_of, retained).groupBy("root").agg(F.count("*").alias("n"))
+
+
+def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    arm = lambda g, by: F.struct(F.concat(F.lit(g), F.floor(F.col("k") / by).cast("string")).alias("groupId"), (F.col("k") % 2).cast("string").alias("armLabel"))
+    path = F.slice(F.array(arm("g", 30), arm("h", 10)), F.lit(1), F.col("k") % 3)
+    nested, _ = branches.nest_structure(rows.select(F.col("user_id").alias("method"), F.col("event_id").alias("id"), F.col("event_id").alias("rank"), (F.col("k") % 2).alias("run"), path.alias("arm_path"), (F.col("event_type") != "view").alias("eligible")))
+    said = F.array_join(F.transform("container", lambda r: F.concat_ws("=", r["groupId"], r["armLabel"])), "/")
+    return nested.select("method", said.alias("container"), F.col("ordinal").cast("long").alias("ordinal"), "kind", "key", F.size("members").cast("long").alias("n"), "first")
+
+
+def gate_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn is a phase; gates before texts whose length is no multiple of three are merged."""
+    rows = turns(spark, sf_dir, "text").withColumn("pos", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    name = lambda at: F.concat_ws("-", "conv_id", at)
+    rows = rows.select(F.col("conv_id").alias("method"), name(F.col("pos")).alias("phase"), F.col("pos").alias("at"), name(F.col("pos")).alias("id"), F.lit(0).alias("seq"), name(F.col("pos") - 1).alias("left_id"), F.length("text").alias("size"))
+    open_gates = rows.where("at > 1").select("method", F.concat(F.lit("gate-"), F.col("id")).alias("gate"), "left_id", F.col("id").alias("right_id"), F.col("at").alias("pos"), "size")
+    answers = open_gates.select("method", "gate", F.when(F.col("size") % 3 == 0, "SPLIT").otherwise("MERGE").alias("action"), F.lit(0.9).alias("confidence"), F.array(F.lit("length")).alias("evidence"))
+    members, _, _ = gates.resolve_gates(rows.drop("left_id", "size"), open_gates.drop("size"), answers)
+    return members.select("method", "id", "phase", F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"))
+
+
+def label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers delegate to their nation; every third nation has two phases and shares no label."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    customers, nations = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    nation_phases = nations.select(F.explode(F.when(F.col("n_nationkey") % 3 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("p"), tag("n", "n_nationkey").alias("method"))
+    both = customers.select(tag("c", "c_custkey").alias("phase_id"), tag("c", "c_custkey").alias("method"), F.array(tag("call", "c_custkey")).alias("ids"))
+    both = both.unionByName(nation_phases.select(F.concat("method", "p").alias("phase_id"), "method", F.array(F.lit("x"), F.lit("y")).alias("ids")))
+    made = customers.select(tag("call", "c_custkey").alias("id"), tag("n", "c_nationkey").alias("target"), (F.col("c_mktsegment") == "BUILDING").alias("retained"))
+    counts = nations.select(tag("n", "n_nationkey").alias("method"), F.lit(1).alias("count"))
+    return gates.delegation_groups(both, made, counts)
+
+
+def method_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))
+    made = bundle.method_bundle(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id")), nodes=lines)
+    said = F.array_join(F.transform("nodes", lambda x: F.concat_ws(":", x["line"], x["part"])), ",")
+    return made.select("entry_id", F.size("nodes").cast("long").alias("n"), said.alias("nodes"))
+
+
+def bundle_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, item = read(spark, sf_dir, "part"), read(spark, sf_dir, "lineitem")
+    methods = part.where("p_size < 40").select(F.col("p_partkey").alias("entry_id"))
+    leaves = part.where("p_size >= 10").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") >= 12, "leaf").otherwise("entry").alias("type"))
+    operations = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("root"))
+    pairs = item.select(F.col("l_partkey").alias("entry_id"), F.col("l_orderkey").alias("id"), F.col("l_suppkey").alias("caller"))
+    found = bundle.bundle_violations(methods, leaves, pairs.select(F.col("id").alias("call"), F.col("entry_id").alias("leaf")), operations, pairs, pairs, pairs)
+    return found.groupBy("check").agg(F.count("*").alias("n"))
+
+
+def payload_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select(F.expr("doc_id div 32").alias("batch"), F.col("doc_id").alias("id"), F.col("lang").alias("entry_point"), F.array("source").alias("methods"))
+    return bundle.batch_payload(rows, bundle.operation_item(), by=["batch"], order="id", name="operations", schemaVersion=F.lit("one"))
+
+
+def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.array().cast("array<string>")
+    docs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("fullName"), F.array("p_type", "p_brand", "p_type").alias("methodNames"), F.array("p_name").alias("memberNames"), none.alias("identifiers"), none.alias("comments"), none.alias("literals"))
+    return bundle.class_text(docs)
+
+
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
