@@ -93,6 +93,23 @@ def test_near_duplicates_leave_one(docs):
     assert simhash.drop_near_duplicates(docs.where("doc_id < 0")).count() == 0
 
 
+def test_sketches_rule_out_no_similar_sets(spark):
+    rng = np.random.default_rng(3)
+    rows, agree = [], []
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = {b"%d" % x for x in rng.integers(0, 10**9, n)}
+        b = set(sorted(a)[int(len(a) * rng.uniform(0, 0.4)) :]) | {b"%d" % x for x in rng.integers(0, 10**9, int(n * rng.uniform(0, 0.3)))}
+        words = [[len(x), *map(int, simhash.odd_sketch(x))] for x in (a, b)]
+        rows.append((len(agree), *(dict(zip(["n", *(f"o{i}" for i in range(8))], w)) for w in words)))
+        agree.append(len(a & b) >= 0.8 * len(a | b))
+    kind = "struct<n:bigint," + ",".join(f"o{i}:bigint" for i in range(8)) + ">"
+    got = spark.createDataFrame(rows, f"i int, a {kind}, b {kind}").select("i", simhash.may_agree("a", "b", 0.8).alias("may")).collect()
+    may = {r["i"]: r["may"] for r in got}
+    assert all(may[i] for i, yes in enumerate(agree) if yes) and any(agree)
+    assert sum(not may[i] for i, yes in enumerate(agree) if not yes) > 100
+
+
 def test_quality(docs, rows):
     got = {r["doc_id"]: r for r in quality.quality(docs, max_docs=1).collect()}
     assert got[200]["n_repeat_words"] == 40000 and got[200]["base_failed"] and not got[200]["kept"]
