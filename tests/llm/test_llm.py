@@ -110,6 +110,17 @@ def test_sketches_rule_out_no_similar_sets(spark):
     assert sum(not may[i] for i, yes in enumerate(agree) if not yes) > 100
 
 
+def test_size_classes_keep_similar_sizes_together():
+    sizes = np.arange(0, 3000)
+    row, kind = simhash.size_classes(sizes, 0.8)
+    classes = {}
+    for r, k in zip(row.tolist(), kind.tolist()):
+        classes.setdefault(r, set()).add(k)
+    assert all(classes[a] & classes[b] for a in range(1, 3000) for b in (a, int(a / 0.8), (a + int(a / 0.8)) // 2) if b < 3000)
+    assert classes[0] == classes[1] and not classes[10] & classes[2000]
+    assert len(row) < 1.5 * len(sizes)
+
+
 def test_quality(docs, rows):
     got = {r["doc_id"]: r for r in quality.quality(docs, max_docs=1).collect()}
     assert got[200]["n_repeat_words"] == 40000 and got[200]["base_failed"] and not got[200]["kept"]
