@@ -93,6 +93,26 @@ def test_near_duplicates_leave_one(docs):
     assert simhash.drop_near_duplicates(docs.where("doc_id < 0")).count() == 0
 
 
+def test_near_duplicates_by_block_edits(spark, tmp_path):
+    """Appended, replaced and removed blocks and scattered words, against brute force by bands of similarity."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.getrandbits(40)}" for _ in range(n)]
+    rows, bands = [], {}
+    for i in range(120):
+        w = new(240)
+        at, k = rng.randrange(200), rng.randrange(8, 61)
+        other = (w + new(k), w[:at] + new(k // 2) + w[at + k // 2 :], w[:at] + w[at + k // 2 :], [x if rng.random() > k / 1500 else "zz" for x in w])[i % 4]
+        texts = [" ".join(x) for x in (w, other)]
+        a, b = (simhash.shingles(t.encode(), 5) for t in texts)
+        rows += [(2 * i, texts[0]), (2 * i + 1, texts[1])]
+        bands[2 * i + 1] = len(a & b) / len(a | b)
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "edits"))
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(spark.read.parquet(str(tmp_path / "edits"))).collect()}
+    for low, high in ((0.8, 0.85), (0.85, 0.9), (0.9, 1.0)):
+        assert any(low <= s < high for s in bands.values())
+    assert {i for i, s in bands.items() if s >= 0.8} == {2 * i + 1 for i in range(120)} - kept
+
+
 def test_sketches_rule_out_no_similar_sets(spark):
     rng = np.random.default_rng(3)
     rows, agree = [], []
