@@ -7,7 +7,7 @@ marginals, and documents are sampled by the calibrated probability of their cell
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,8 +17,14 @@ from callweave.llm.common import table
 from callweave.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Topic rules in order of precedence: name and the strings of which the text holds one.
-TOPICS = (("legal", ("Licensed under", "licensed under", "Copyright", "copyright")), ("technical", ("token", "secret", "password", "https://")), ("contact", ("@",)), ("tabular", (" | ",)))
+#: Topic rules in order of precedence: name, strings and patterns of which the text in lower case holds one. A
+#: pattern comes after strings that every match of it holds, which are cheap to look for.
+TOPICS = (
+    ("legal", ("license ", "licence ", "licensed ", "licenced ", "copyright", "all rights reserved"), ()),
+    ("technical", ("password", "secret", "token", "api_key", "apikey", "http://", "https://"), ()),
+    ("contact", ("@",), ((), "[0-9]{3}[- ][0-9]{3}")),
+    ("tabular", (), (("| ", " |"), "[|] [^|]* [|]")),
+)
 
 
 def tokens_of(text: Column) -> Column:
@@ -26,11 +32,15 @@ def tokens_of(text: Column) -> Column:
     return F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("double")
 
 
-def topic_of(text: Column) -> Column:
-    """The first topic that the text holds a string of; otherwise prose by its number of words."""
-    found = F.when(tokens_of(text) < 100, "brief").when(tokens_of(text) < 600, "prose").otherwise("longform")
-    for name, strings in reversed(TOPICS):
-        found = F.when(reduce(or_, (text.contains(x) for x in strings)), name).otherwise(found)
+def topic_of(text: Column, tokens: Column) -> Column:
+    """The first topic that the text, in lower case, holds a string or pattern of; otherwise prose by its number of words."""
+    low = F.lower(text)
+    found = F.when(tokens < 100, "brief").when(tokens < 600, "prose").otherwise("longform")
+    for name, strings, pattern in reversed(TOPICS):
+        tests = [low.contains(x) for x in strings]
+        if pattern:
+            tests.append(reduce(and_, [*(low.contains(x) for x in pattern[0]), low.rlike(pattern[1])]))
+        found = F.when(reduce(or_, tests), name).otherwise(found)
     return found
 
 
@@ -89,7 +99,8 @@ def mix(docs: DataFrame, *, power: float = 0.9, rounds: int = 12, seed: str = "m
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]
-    marked = docs.select(*own, topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
+    counted = docs.select(*own, tokens_of(text).alias("tokens"))
+    marked = counted.select(*own, topic_of(text, F.col("tokens")).alias("topic"), "tokens")
     key = {d: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in DIMENSIONS}
     cells = materialize(marked.groupBy(*(key[d].alias(d) for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")))
     goals = {d: materialize(targets(cells, d, power)) for d in DIMENSIONS}

@@ -259,6 +259,17 @@ def test_mixing_follows_the_targets(spark, docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_topics_follow_the_patterns(spark):
+    rules = (("legal", "licen[sc]ed? |copyright|all rights reserved"), ("technical", "password|secret|token|api_?key|https?://"), ("contact", "@|[0-9]{3}[- ][0-9]{3}"), ("tabular", "[|] [^|]* [|]"))
+    texts = ["Password", "SECRET x", "the LICENSE of", "a licence to", "LICENCED by", "All Rights\nreserved", "ALL RIGHTS RESERVED", "Api_Key", "APIKEY", "see http://a.b", "call 555-123 now", "555 1234", "55-123", "a | b", "| a | b", "| a\nb |", "| |", "x@y", "Copyright secret", "license", "w " * 100, "w " * 99, " w " * 600, "", None]
+    data = [(i, t, "s", "en") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["topic"] for r in mixing.mix(spark.createDataFrame(data, "doc_id long, text string, source string, lang string")).collect()}
+    for i, t in enumerate(texts):
+        n = len((t or "").split())
+        want = next((name for name, p in rules if re.search(p, (t or "").lower())), "brief" if n < 100 else "prose" if n < 600 else "longform")
+        assert got[i] == want, t
+
+
 def test_lm_base_score(docs, rows):
     from collections import Counter
     from math import log10
