@@ -158,6 +158,18 @@ def test_frequent_lines_reject(spark):
     assert all(not r["kept"] and r["n_removed_words"] == 24 for r in got)
 
 
+def test_frequent_lines_over_hosts_and_sizes(spark):
+    passage = "a long passage " * 10
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    data = [(i, f"{passage}\n{own(i, 20)}", f"spread{i}") for i in range(10)]  # one document a host
+    data += [(100 + i, "\n".join([own(i, 20), *["short line"] * (15 if i < 40 else 0)]), "hot") for i in range(1000)]  # 4 % of the host
+    data += [(2000 + i, "\n".join([own(i, 20), *["menu item"] * (15 if i < 20 else 0)]), "small") for i in range(100)]  # 20 % of the host
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(data, "doc_id long, text string, source string"), max_repeat_percent=100).collect()}
+    assert all(got[i]["n_removed_words"] == 30 and not got[i]["kept"] for i in range(10))
+    assert all(got[100 + i]["n_removed_words"] == 0 and got[100 + i]["kept"] for i in range(1000))
+    assert all(got[2000 + i]["n_removed_words"] == (30 if i < 20 else 0) for i in range(100))
+
+
 def test_repeated_words_by_brute_force():
     rng = random.Random(1)
     for _ in range(200):
