@@ -51,11 +51,14 @@ def host_links(pages: DataFrame) -> DataFrame:
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, rounds: int = 8) -> DataFrame:
-    """``(host, trust, distrust)`` after ``rounds`` steps. ``seeds(host, way, weight)``: way is trust or distrust.
-
-    The restart weights of each way are scaled to a sum of one. Mass of hosts without links is dropped, which
-    scales all scores of a way alike. Each round is one join and one partial aggregate, cut by a written table.
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+    """``(host, trust, distrust)``, each way with a sum of one. ``seeds(host, way, weight)``: way is trust or distrust.
+
+    The restart weights of each way are scaled to a sum of one. Rounds end when no score of either way changes by
+    more than ``tolerance`` of itself; a host that is just reached changes by all of its score, so every host that
+    links lead to is scored, however far. Mass of hosts without links is dropped and the ways are divided by what
+    is left of them. Each round is one join and one partial aggregate, cut by a written table; one number a round
+    reaches the driver.
     """
     ways = links.select(F.lit("trust").alias("way"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     out = ways.groupBy("way", "src").agg(F.sum("n").alias("all"))
@@ -63,15 +66,22 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, roun
     total = seeds.groupBy("way").agg(F.sum("weight").alias("all"))
     start = materialize(seeds.join(F.broadcast(total), "way").select("way", "host", (F.col("weight") / F.col("all")).alias("score")))
     scores = start
-    for _ in range(rounds):
-        moved = steps.join(scores, ["way", "host"]).select("way", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"))
-        back = start.select("way", "host", ((1 - damping) * F.col("score")).alias("score"))
-        scores = materialize(moved.unionByName(back).groupBy("way", "host").agg(F.sum("score").alias("score")))
+    change = 1.0
+    while change > tolerance:
+        none = F.lit(0.0).alias("old")
+        moved = steps.join(scores, ["way", "host"]).select("way", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"), none)
+        back = start.select("way", "host", ((1 - damping) * F.col("score")).alias("score"), none)
+        before = scores.select("way", "host", F.lit(0.0).alias("score"), F.col("score").alias("old"))
+        both = materialize(moved.unionByName(back).unionByName(before).groupBy("way", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")).where("score > 0"))
+        change = both.agg(F.max(F.abs(F.col("score") - F.col("old")) / F.col("score"))).first()[0] or 0.0
+        scores = both.select("way", "host", "score")
+    left = scores.groupBy("way").agg(F.sum("score").alias("all"))
+    scores = scores.join(F.broadcast(left), "way").select("way", "host", (F.col("score") / F.col("all")).alias("score"))
     pick = lambda way: F.sum(F.when(F.col("way") == way, F.col("score")).otherwise(0.0)).alias(way)
     return scores.groupBy("host").agg(pick("trust"), pick("distrust"))
 
 
-def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, *, ratio: float = 1.0, floor: float = 0.0, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, *, ratio: float = 1.0, floor: float = 0.0, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict`` and the host's ``trust`` and ``distrust``.
 
     Where no rule fits, a host is blocked if its distrust is over ``floor`` and over ``ratio`` times its trust;
@@ -84,7 +94,7 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RUL
     judged = judged.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
     way = F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("way")
     seeds = judged.where("ruled is not null and host <> ''").groupBy("host", way).agg(F.count("*").cast("double").alias("weight"))
-    scores = propagate(materialize(host_links(pages)), seeds, damping=damping, rounds=rounds)
+    scores = propagate(materialize(host_links(pages)), seeds, damping=damping, tolerance=tolerance)
     found = judged.join(scores, "host", "left")
     bad = (F.col("distrust") > floor) & (F.col("distrust") > ratio * F.col("trust"))
     return found.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

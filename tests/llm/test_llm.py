@@ -208,6 +208,21 @@ def test_urls(spark):
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_urls_far_from_seeds_and_leaks(spark):
+    # h0 is a blocked seed; h11 links to it over eleven hosts. Half of the trust of h20 leaks to a host without links.
+    edges = [(f"h{i + 1}", f"h{i}") for i in range(11)] + [("h20", "h21"), ("h20", "h22"), ("h22", "h20")]
+    links = spark.createDataFrame([(*e, 1) for e in edges], "src string, dst string, n long")
+    seeds = [("h0", "distrust", 1.0), ("h20", "trust", 1.0)]
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(links, spark.createDataFrame(seeds, "host string, way string, weight double")).collect()}
+    hosts = sorted({h for e in edges for h in e})
+    for k, (way, turned) in enumerate((("trust", edges), ("distrust", [(b, a) for a, b in edges]))):
+        start = np.array([float(any(s[:2] == (h, way) for s in seeds)) for h in hosts])
+        move = np.array([[((a, b) in turned) / max(1, sum(x == a for x, _ in turned)) for a in hosts] for b in hosts])
+        want = np.linalg.solve(np.eye(len(hosts)) - 0.85 * move, 0.15 * start)
+        assert [got.get(h, (0, 0))[k] for h in hosts] == pytest.approx((want / want.sum()).tolist(), rel=2e-3)
+    assert got["h11"][1] > 0 and got["h11"][0] == 0
+
+
 def test_token_planes_round_trip(spark, docs, rows):
     from tokenizers import Tokenizer
 
