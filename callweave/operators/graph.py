@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.guards import merge
-from callweave.session import materialize
+from callweave.session import materialize, release
 
 
 def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -165,17 +165,36 @@ def expand(starts: DataFrame, calls: DataFrame, *, max_depth: int = 3) -> DataFr
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(id, root)`` by minimum labels with pointer doubling; root is the smallest node reachable."""
-    both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = materialize(both.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("root")).select("id", F.least("id", "root").alias("root")))
-    while True:
-        heard = both.join(labels.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("near"))
-        step = labels.join(heard, "id").select("id", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("id").alias("mid"), F.col("root").alias("far"))
-        new = materialize(step.join(jump, "mid").select("id", F.least("mid", "far").alias("root"), (F.least("mid", "far") != F.col("old")).alias("moved")))
-        labels = new.select("id", "root")
-        if new.where("moved").isEmpty():
-            return labels
+    """``(id, root)`` of the nodes that ``edges(src, dst)`` link; root is the smallest node reachable.
+
+    Contraction rounds: every node points to its smallest neighbour, pointers are doubled until they reach their
+    roots, and edges are rewritten to roots. Each round at least halves the nodes that still have edges, so rounds
+    grow with the logarithm of the number of nodes, and tables are deleted once they are used up. Self-loops,
+    repeated edges and both directions are allowed; nodes with self-loops only are left out.
+    """
+    live = materialize(edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a < b").distinct())
+    labels: DataFrame | None = None
+    while not live.isEmpty():
+        parent = live.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root"))
+        tops = live.select(F.col("a").alias("id")).distinct().join(parent, "id", "left_anti").select("id", F.col("id").alias("root"))
+        parent = materialize(parent.unionByName(tops))
+        while True:
+            up = parent.select(F.col("id").alias("root"), F.col("root").alias("up"))
+            doubled = materialize(parent.join(up, "root").select("id", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
+            release(parent)
+            parent = doubled
+            if doubled.where("moved").isEmpty():
+                break
+        step = parent.select(F.col("id").alias("root"), F.col("root").alias("up"))
+        before, labels = labels, parent.select("id", "root") if labels is None else materialize(labels.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")))
+        left, right = (parent.select(F.col("id").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+        after = materialize(live.join(left, "a").join(right, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct())
+        if before is not None:
+            release(before, parent)
+        release(live)
+        live = after
+    release(live)
+    return labels if labels is not None else edges.select(F.col("src").alias("id"), F.col("dst").alias("root")).limit(0)
 
 
 def retained_structures(content: DataFrame, children: DataFrame) -> DataFrame:
