@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.session import materialize
+from callweave.operators import graph
+
 
 #: The words of all contracts: maximal runs outside of space and \\t..\\r.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,12 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
-    """``keep`` columns and ``text`` as UTF-8 bytes (null: empty), so that Python workers need not decode.
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows for this session: texts are long, and batches make most of a worker's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
 
-    Texts are long: Arrow batches of 1000 rows keep the memory of a worker small, set for the session.
-    """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def text_bytes(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """``keep`` columns and ``text`` as UTF-8 bytes (null: empty), so that Python workers need not decode; in small batches."""
+    small_batches(df.sparkSession)
     return df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
@@ -30,31 +33,14 @@ def crc_mod(column: str, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many ``_`` behind it as it takes to differ from all columns, letter case aside."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): ``(node, root)``, root the smallest node reachable.
-
-    Contraction rounds: every node points to its smallest neighbour, pointers are doubled until they reach
-    their roots, edges are rewritten to roots and deduplicated. Each round at least halves the nodes that
-    still have edges, so rounds grow with the logarithm of the number of nodes. Only counts reach the driver.
-    Nodes without edges are not returned. Self-loops, repeated edges and both directions are allowed.
-    """
-    live = materialize(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    labels: DataFrame | None = None
-    while not live.isEmpty():
-        parent = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-        tops = live.select(F.col("a").alias("node")).distinct().join(parent, "node", "left_anti").select("node", F.col("node").alias("root"))
-        parent = materialize(parent.unionByName(tops))
-        while True:
-            up = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            doubled = materialize(parent.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
-            parent = doubled.select("node", "root")
-            if doubled.where("moved").isEmpty():
-                break
-        if labels is None:
-            labels = parent
-        else:
-            step = parent.select(F.col("node").alias("root"), F.col("root").alias("up"))
-            labels = materialize(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
-        left, right = (parent.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-        live = materialize(live.join(left, "a").join(right, "b").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    """Connected components of ``edges(a, b)``: ``(node, root)``, root the smallest node reachable."""
+    return graph.components(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("id").alias("node"), "root")
