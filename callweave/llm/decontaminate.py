@@ -4,6 +4,10 @@ Fixed masks pick some of the token positions of a window, so that a hit survives
 Seed hashes of the test items and of all documents are joined inside the tasks; each hit fixes an alignment
 of item and document, and the alignment is verified token by token. The item index is sent to the tasks in
 blocks of a bounded size; more items make more blocks, each a pass over the documents.
+
+No allowed substitution is missed. A window of 13 tokens may differ in two, and each placement of two leaves one
+of ``MASKS`` whole. An item shorter than a window may differ in k tokens, so one of its k + 1 parts of nearly
+equal size is whole (pigeonhole); the parts are its seeds, the whole item where k is 0.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from callweave.llm.common import table, text_bytes
+from callweave.llm.common import small_batches, table, text_bytes
 
 #: Masks of weight five and span up to ten: 1 positions must agree.
 MASKS = ("11111", "1101101", "11001011", "1010100101")
@@ -30,61 +34,81 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(SPLIT).lower().split()
 
 
-def seeds(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask the places and hashes of the windows whose picked ids are all known (not 0)."""
-    for number, mask in enumerate(MASKS):
-        at = [i for i, x in enumerate(mask) if x == "1"]
-        n = len(ids) - len(mask) + 1
-        if n <= 0:
-            continue
-        known = np.ones(n, dtype=bool)
-        for i in at:
-            known &= ids[i : i + n] > 0
-        places = np.flatnonzero(known)
-        hashes = np.full(len(places), number + 1, dtype=np.uint64)
-        for i, odd in zip(at, ODD):
-            hashes = (hashes ^ ids[places + i].astype(np.uint64)) * odd
-            hashes ^= hashes >> np.uint64(29)
-        yield places, hashes
+def picked(ids: np.ndarray, at: list[int], tag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows of ``ids`` in which all positions ``at`` are known (not 0)."""
+    n = max(0, len(ids) - at[-1])
+    known = np.ones(n, dtype=bool)
+    for i in at:
+        known &= ids[i : i + n] > 0
+    places = np.flatnonzero(known)
+    hashes = np.full(len(places), tag, dtype=np.uint64)
+    for k, i in enumerate(at):
+        hashes = (hashes ^ ids[places + i].astype(np.uint64)) * ODD[k % len(ODD)]
+        hashes ^= hashes >> np.uint64(29)
+    return places, hashes
 
 
 class Index:
-    """The seeds of one block of items."""
+    """The seeds of one block of items: by picked positions, sorted hashes with item and place."""
 
     def __init__(self, items: list[tuple[int | None, bytes]], window: int, similarity: float):
         self.window, self.similarity = window, similarity
         self.vocabulary: dict[bytes, int] = {}
         self.items = [(i, np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(t)], dtype=np.int64)) for i, t in items]
-        found = [(h, k, p) for k, (_, ids) in enumerate(self.items) for places, hashes in seeds(ids) for h, p in zip(hashes.tolist(), places.tolist())]
-        found.sort()
-        self.hashes = np.array([x[0] for x in found], dtype=np.uint64)
-        self.item = np.array([x[1] for x in found], dtype=np.int64)
-        self.place = np.array([x[2] for x in found], dtype=np.int64)
+        found: dict[tuple[int, ...], list[tuple[int, int, int]]] = {}
+        for k, (_, ids) in enumerate(self.items):
+            if not len(ids):
+                continue
+            if len(ids) >= window:
+                cuts = [(tuple(i for i, x in enumerate(mask) if x == "1"), 0, len(ids)) for mask in MASKS]
+            else:
+                parts = len(ids) - self.least(len(ids)) + 1
+                ends = [len(ids) * p // parts for p in range(parts + 1)]
+                cuts = [(tuple(range(b - a)), a, b) for a, b in zip(ends, ends[1:])]
+            for at, a, b in cuts:
+                places, hashes = picked(ids[a:b], list(at), len(at))
+                found.setdefault(at, []).extend(zip(hashes.tolist(), [k] * len(places), (places + a).tolist()))
+        self.seeds = {}
+        for at, entries in found.items():
+            entries.sort()
+            self.seeds[at] = (np.array([x[0] for x in entries], dtype=np.uint64), *(np.array([x[c] for x in entries], dtype=np.int64) for c in (1, 2)))
+
+    def least(self, width: int) -> int:
+        """Tokens of ``width`` that must agree."""
+        return int(np.ceil(self.similarity * width - 1e-9))
 
     def ids(self, text: bytes) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
 
+    def alignments(self, ids: np.ndarray, room: int = 1 << 20) -> np.ndarray:
+        """Distinct (item, place of its first token) of all hits; at most ``room`` hits are held before they are made distinct."""
+        known = np.zeros((0, 2), dtype=np.int64)
+        for at, (index, item, place) in self.seeds.items():
+            places, hashes = picked(ids, list(at), len(at))
+            low, high = np.searchsorted(index, hashes), np.searchsorted(index, hashes, side="right")
+            hit = np.flatnonzero(high > low)
+            size = high[hit] - low[hit]
+            until = size.cumsum()
+            while len(hit):
+                n = max(1, int(np.searchsorted(until, room)))
+                now, of = size[:n], np.repeat(hit[:n], size[:n])
+                entry = np.arange(now.sum()) - np.repeat(now.cumsum() - now, now) + np.repeat(low[hit[:n]], now)
+                known = np.unique(np.concatenate([known, np.stack([item[entry], places[of] - place[entry]], axis=1)]), axis=0)
+                hit, size, until = hit[n:], size[n:], until[n:] - until[n - 1]
+        return known
+
     def overlaps(self, ids: np.ndarray) -> dict[int, int]:
         """Item number -> most tokens of it found in one verified alignment."""
-        pairs = []
-        for places, hashes in seeds(ids):
-            low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, side="right")
-            hit = np.flatnonzero(high > low)
-            if len(hit):
-                size = high[hit] - low[hit]
-                of = np.repeat(hit, size)
-                entry = np.arange(size.sum()) - np.repeat(size.cumsum() - size, size) + np.repeat(low[hit], size)
-                pairs.append(np.stack([self.item[entry], places[of] - self.place[entry]], axis=1))
         best: dict[int, int] = {}
-        for k, shift in np.unique(np.concatenate(pairs), axis=0).tolist() if pairs else []:
+        for k, shift in self.alignments(ids).tolist():
             item = self.items[k][1]
             start, end = max(0, -shift), min(len(item), len(ids) - shift)
-            same = item[start:end] == ids[start + shift : end + shift]
             width = min(self.window, len(item))
             if end - start >= width:
+                same = item[start:end] == ids[start + shift : end + shift]
                 runs = np.concatenate([[0], same.cumsum()])
-                if (runs[width:] - runs[:-width]).max() >= self.similarity * width:
+                if (runs[width:] - runs[:-width]).max() >= self.least(width):
                     best[k] = max(best.get(k, 0), int(same.sum()))
         return best
 
@@ -108,9 +132,9 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, s
     """One row per document and item found in it: ``doc_id, item_id, matched, item_tokens, contaminated`` (true).
 
     A document holds an item if an alignment agrees in at least ``similarity`` of some ``window`` tokens in a
-    row (all tokens of a shorter item). ``matched`` counts the agreeing tokens of the best alignment. Items of
-    fewer than five tokens have no seed and are never found. Null texts are empty. Repeated rows give repeated
-    results. Extra columns are ignored. An empty table on either side gives no rows.
+    row (of all tokens of a shorter item; under five tokens, all). ``matched`` counts the agreeing tokens of the best
+    alignment. Null texts and items without a token are in nothing. Repeated rows and items give repeated results.
+    Extra columns are ignored. An empty table on either side gives no rows.
     """
     source = text_bytes(docs, "doc_id")
     kind = dict(source.dtypes)["doc_id"]
@@ -133,7 +157,8 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, s
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, similarity: float = 0.8, block_bytes: int = 4 << 20) -> DataFrame:
-    """The documents, all their columns, that hold no item in the sense of ``contaminations``. One pass a block, no shuffle."""
+    """The documents, all their columns, that hold no item in the sense of ``contaminations``; null texts stay. One pass a block, no shuffle."""
+    small_batches(docs.sparkSession)
     for index in _indexes(benchmark, window, similarity, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index, at: int = docs.columns.index("text")) -> Iterator[pa.RecordBatch]:
@@ -146,4 +171,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, si
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over ``documents`` and ``benchmark``. Null texts hold nothing; an empty table gives no rows."""
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
