@@ -124,18 +124,16 @@ def sample(docs: DataFrame, *, per_language: int, held: int = 1, pieces: int = 3
     """Labelled pieces of at most LENGTH characters from documents that are not held out.
 
     Documents are picked by the hash of id and text with a share for each language that expects at most
-    ``per_language`` of them; pieces lie at hashed places. So the sample is bounded whatever the table's size.
+    ``per_language`` of them, repeated rows once; pieces lie at hashed places. So the sample is bounded whatever the
+    table's size, and every language is learned.
     """
     rows = docs.where((crc_mod("doc_id", 3) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shares = {r[0]: min(1.0, per_language / r[1]) for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(256).collect()}
-    if not shares:
-        return []
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
+    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     room = F.greatest(F.length("text") - LENGTH, F.lit(0)) + 1
     cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", "text", F.lit(k)), room) + 1).cast("int"), F.lit(LENGTH)) for k in range(pieces)]
-    picked = rows.where(draw < share).limit(2 * per_language * len(shares)).select("lang", F.explode(F.array_distinct(F.array(*cuts))).alias("piece"))
-    return sorted((r[0], r[1].encode()) for r in picked.collect())
+    picked = rows.join(shares, "lang").where(draw < F.col("share")).select("lang", "doc_id", F.array_distinct(F.array(*cuts)).alias("pieces")).distinct()
+    return sorted((r[0], r[1].encode()) for r in picked.select("lang", F.explode("pieces")).collect())
 
 
 def fit(docs: DataFrame, *, per_language: int = 600, held: int = 1) -> ByteConvNet:
@@ -169,6 +167,7 @@ def languages(docs: DataFrame, net: ByteConvNet, keep: tuple[str, ...] = ("doc_i
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over ``documents``. Null and letterless texts are ``und`` with score 0; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     found = languages(docs, fit(docs))
     return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
