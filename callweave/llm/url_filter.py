@@ -51,11 +51,11 @@ def host_links(pages: DataFrame) -> DataFrame:
     return linked.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-4, rounds_a_step: int = 6) -> DataFrame:
     """``(host, trust, distrust)``, each way with a sum of one. ``seeds(host, way, weight)``: way is trust or distrust.
 
-    The restart weights of each way are scaled to a sum of one. Rounds end when no score of either way changes by
-    more than ``tolerance`` of itself; a host that is just reached changes by all of its score, so every host that
+    The restart weights of each way are scaled to a sum of one. Rounds end when no score of either way changed by
+    more than ``tolerance`` of itself in a step; a host that is just reached changes by all of its score, so every host that
     links lead to is scored, however far. Mass of hosts without links is dropped and the ways are divided by what
     is left of them. Each round is one join and one partial aggregate, cut by a written table; one number a round
     reaches the driver.
@@ -68,11 +68,17 @@ def propagate(links: DataFrame, seeds: DataFrame, *, damping: float = 0.85, tole
     scores = start
     change = 1.0
     while change > tolerance:
-        none = F.lit(0.0).alias("old")
-        moved = steps.join(scores, ["way", "host"]).select("way", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"), none)
-        back = start.select("way", "host", ((1 - damping) * F.col("score")).alias("score"), none)
         before = scores.select("way", "host", F.lit(0.0).alias("score"), F.col("score").alias("old"))
-        both = materialize(moved.unionByName(back).unionByName(before).groupBy("way", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")).where("score > 0"))
+        for k in range(rounds_a_step):
+            none = F.lit(0.0).alias("old")
+            moved = steps.join(scores, ["way", "host"]).select("way", F.col("dst").alias("host"), (damping * F.col("score") * F.col("share")).alias("score"), none)
+            back = start.select("way", "host", ((1 - damping) * F.col("score")).alias("score"), none)
+            both = moved.unionByName(back)
+            if k == rounds_a_step - 1:
+                both = both.unionByName(before)
+            both = both.groupBy("way", "host").agg(F.sum("score").alias("score"), F.sum("old").alias("old")).where("score > 0")
+            scores = both.select("way", "host", "score")
+        both = materialize(both)
         change = both.agg(F.max(F.abs(F.col("score") - F.col("old")) / F.col("score"))).first()[0] or 0.0
         scores = both.select("way", "host", "score")
     left = scores.groupBy("way").agg(F.sum("score").alias("all"))
@@ -101,4 +107,5 @@ def url_verdicts(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RUL
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages"))
+    """Operator 5 over ``pages`` with ``RULES``. Null urls have an empty host and are allowed; an empty table gives no rows."""
+    return url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
