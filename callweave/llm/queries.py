@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from callweave.llm import oracles
 from callweave.llm.class_lm import op10_class_lm
 from callweave.llm.decontaminate import op9_decontaminate
 from callweave.llm.html_text import op1_html_text
@@ -24,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality": oracles.quality(), "op3_mixing": oracles.mixing(), "op5_url_filter": oracles.urls(), "op6_secrets": oracles.secret_spans()}
