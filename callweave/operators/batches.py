@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,20 +16,68 @@ from callweave.session import materialize
 INPUT_TOKENS, OUTPUT_TOKENS, CHARS_PER_ITEM, ROUND_SIZES = 10_000, 2_048, 180, (32, 32, 1)
 
 
-def pack(items: DataFrame, *, key: str, order: str, size: str, max_items: int, overhead: int = 0, max_input: int = INPUT_TOKENS, max_output: int = OUTPUT_TOKENS) -> DataFrame:
+def pack(items: DataFrame, *, key: str, order: str, size: str, max_items: int, overhead: int = 0, max_input: int = INPUT_TOKENS, max_output: int = OUTPUT_TOKENS, stretch: int = 4096) -> DataFrame:
     """``(key, order, batch)``: greedy packing in order inside a key; a batch never has rendered bytes / 3 over ``max_input``
-    tokens, items over ``max_items`` or expected output over ``max_output``, unless it is a single item."""
-    room = min(max_items, max_output * 3 // CHARS_PER_ITEM)
-    lists = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("bytes"), F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, x):  # noqa: ANN001
-        new = (acc["n"] > 0) & ((acc["n"] + 1 > room) | (F.ceil((acc["bytes"] + x["s"] + overhead) / 3) > max_input))
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(new, x["s"]).otherwise(acc["bytes"] + x["s"]).alias("bytes"), F.when(new, 1).otherwise(acc["n"] + 1).alias("n"), batch.alias("batch"), F.concat(acc["out"], F.array(batch)).alias("out"))
+    tokens, items over ``max_items`` or expected output over ``max_output``, unless it is a single item.
 
-    packed = lists.withColumn("bs", F.aggregate("xs", start, step, lambda acc: acc["out"]))
-    return packed.select(key, F.explode(F.arrays_zip("xs", "bs")).alias("z")).select(key, F.col("z.xs.o").alias(order), F.col("z.bs").alias("batch"))
+    Items are numbered inside their key by ranges of the whole table, and cut into stretches of ``stretch`` items. A
+    stretch tells for each item that a batch may begin with at its start where the next stretch would begin and after how many
+    batches; these maps are composed by doubling, so a key of any size is packed in stretches that know their
+    beginning. Equal orders: the larger size first.
+    """
+    room = min(max_items, max_output * 3 // CHARS_PER_ITEM)
+    rows = items.select(F.col(key).alias("k"), F.col(order).alias("o"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("s"))
+    dealt = materialize(rows.repartitionByRange("k", "o", F.desc("s")).sortWithinPartitions("k", "o", F.desc("s")).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("k", "part").agg(F.count("*").alias("n"))
+    before = sizes.select("k", "part", (F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")).alias("before"))
+    at = F.row_number().over(W.partitionBy("part", "k").orderBy("o", F.desc("s"))) - 1
+    placed = dealt.withColumn("at", at).join(before, ["k", "part"]).withColumn("at", F.col("at") + F.col("before"))
+    own = (F.col("at") / stretch).cast("long")
+    # The first items of a stretch are known to the one before, too, whose last batch may end among them.
+    ahead = F.when((F.col("at") % stretch < room) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    placed = materialize(placed.select("k", "o", "s", "at", F.explode(ahead).alias("stretch")))
+    kinds = dict(placed.dtypes)
+
+    def nexts(t: pa.Table) -> tuple[pa.Table, int, np.ndarray]:
+        """The items in order, how many are the stretch's own, and for each of these where the next batch would begin."""
+        t = t.sort_by("at")
+        place, size = t.column("at").to_numpy() - t.column("stretch").to_numpy() * stretch, t.column("s").to_numpy()
+        until = np.concatenate([[0], size.cumsum()])
+        n = int((place < stretch).sum())
+        fits = np.searchsorted(until, until[:n] + 3 * max_input - overhead, side="right") - 1
+        return t, n, np.minimum(np.clip(fits, np.arange(n) + 1, np.arange(n) + room), len(t))
+
+    def ways(t: pa.Table) -> pa.Table:
+        t, n, following = nexts(t)
+        out, count = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        for i in range(n - 1, -1, -1):
+            j = int(following[i])
+            out[i], count[i] = (out[j], count[j] + 1) if j < n else (j - n, 1)
+        head = min(room, n)
+        return pa.table({"k": t.column("k").slice(0, 1), "stretch": t.column("stretch").slice(0, 1), "out": pa.array([out[:head].tolist()], pa.list_(pa.int64())), "count": pa.array([count[:head].tolist()], pa.list_(pa.int64()))})
+
+    maps = materialize(placed.groupBy("k", "stretch").applyInArrow(ways, f"k {kinds['k']}, stretch long, out array<long>, count array<long>"))
+    span, most = 1, maps.agg(F.max("stretch")).first()[0] or 0
+    while span <= most:
+        earlier = maps.select("k", (F.col("stretch") + span).alias("stretch"), F.col("out").alias("out0"), F.col("count").alias("count0"))
+        both = maps.join(earlier, ["k", "stretch"], "left")
+        through = lambda c: F.transform("out0", lambda x: F.get(c, x.cast("int")))
+        maps = materialize(both.select("k", "stretch", F.when(F.col("out0").isNull(), F.col("out")).otherwise(through("out")).alias("out"), F.when(F.col("out0").isNull(), F.col("count")).otherwise(F.zip_with("count0", through("count"), lambda a, b: a + b)).alias("count")))
+        span *= 2
+    begins = maps.select("k", (F.col("stretch") + 1).alias("stretch"), F.get("out", F.lit(0)).alias("entry"), F.get("count", F.lit(0)).alias("batch"))
+    known = placed.join(begins, ["k", "stretch"], "left")
+
+    def number(t: pa.Table) -> pa.Table:
+        t, n, following = nexts(t)
+        entry, batch = (t.column(c).to_pylist()[0] or 0 for c in ("entry", "batch"))
+        of = np.full(n, batch - 1, dtype=np.int64)
+        while entry < n:
+            of[entry : following[entry]] = batch
+            entry, batch = int(following[entry]), batch + 1
+        return pa.table({"k": t.column("k").slice(0, n), "o": t.column("o").slice(0, n), "batch": pa.array(of)})
+
+    packed = known.groupBy("k", "stretch").applyInArrow(number, f"k {kinds['k']}, o {kinds['o']}, batch long")
+    return packed.select(F.col("k").alias(key), F.col("o").alias(order), "batch")
 
 
 def scan_records(answers: DataFrame, schema: str, *, text: str = "text") -> DataFrame:

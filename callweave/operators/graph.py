@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.guards import merge
-from callweave.session import materialize, release
+from callweave.session import Rounds, materialize, release
 
 
 def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -20,16 +20,18 @@ def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
     start = edges.select("src", "dst", "type", "reqs").distinct().join(out.withColumnRenamed("id", "src"), "src", "left_anti")
     inner = materialize(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "type", F.col("reqs").alias("more")).join(out.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct())
     hit = out.select(F.col("id").alias("dst"), F.lit(True).alias("hidden"))
-    frontier = materialize(start.join(hit, "dst", "left"))
-    done = frontier.where("hidden is null").select("src", "dst", "type", "reqs")
-    seen = frontier = frontier.where("hidden").select("src", "dst", "type", "reqs")
+    key = ["src", "dst", "type", "reqs"]
+    first = materialize(start.join(hit, "dst", "left"))
+    done = Rounds(first.where("hidden is null").select(*key))
+    seen = Rounds()
+    frontier = seen.add(first.where("hidden").select(*key))
     while not frontier.isEmpty():
         moved = frontier.join(inner, ["dst", "type"]).select("src", F.col("to").alias("dst"), "type", merge(F.col("reqs"), F.col("more")).alias("reqs"))
         step = materialize(moved.where("reqs is not null").distinct().join(hit, "dst", "left"))
-        done = materialize(done.unionByName(step.where("hidden is null").select("src", "dst", "type", "reqs")).distinct())
-        frontier = materialize(step.where("hidden").select("src", "dst", "type", "reqs").join(seen, ["src", "dst", "type", "reqs"], "left_anti"))
-        seen = materialize(seen.unionByName(frontier))
-    return done.where("src <> dst").distinct()
+        done.add(step.where("hidden is null").select(*key))
+        frontier = seen.add(step.where("hidden").select(*key).join(seen.all(), key, "left_anti"))
+        release(step)
+    return done.all().where("src <> dst").distinct()
 
 
 def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
@@ -38,17 +40,15 @@ def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, s
     One loop serves all roots. ``stop(id)``: nodes that are reached but not passed.
     """
     steps = materialize(edges.select(F.col("src").alias("id"), "dst").distinct())
-    seen = frontier = materialize(roots.select("root", "id", F.lit(0).alias("level")).distinct())
+    seen = Rounds()
+    frontier = seen.add(roots.select("root", "id", F.lit(0).alias("level")).distinct())
     level = 0
-    while max_depth is None or level < max_depth:
+    while (max_depth is None or level < max_depth) and not frontier.isEmpty():
         level += 1
         go = frontier if stop is None or level == 1 else frontier.join(stop.select("id"), "id", "left_anti")
         new = go.join(steps, "id").select("root", F.col("dst").alias("id"), F.lit(level).alias("level")).distinct()
-        frontier = materialize(new.join(seen, ["root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        seen = materialize(seen.unionByName(frontier))
-    return seen
+        frontier = seen.add(new.join(seen.all(), ["root", "id"], "left_anti"))
+    return seen.all()
 
 
 def owners(nodes: DataFrame) -> DataFrame:
@@ -82,16 +82,16 @@ def peel(edges: DataFrame) -> DataFrame:
     """``(id, level)`` by rounds of removing nodes without incoming edges; level null: on or behind a cycle."""
     live = materialize(edges.select("src", "dst").distinct())
     nodes = materialize(live.select(F.col("src").alias("id")).unionByName(live.select(F.col("dst").alias("id"))).distinct())
-    left, found, level = nodes, None, 0
+    left, found, level = nodes, Rounds(), 0
     while True:
-        free = materialize(left.join(live.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
+        free = found.add(left.join(live.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
-            break
-        found = free if found is None else found.unionByName(free)
+            return nodes.join(found.all(), "id", "left")
+        before = (left if left is not nodes else None, live)
         left = materialize(left.join(free.select("id"), "id", "left_anti"))
         live = materialize(live.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        release(*before)
         level += 1
-    return nodes.join(found, "id", "left") if found is not None else nodes.withColumn("level", F.lit(None).cast("int"))
 
 
 def nearest_kept(edges: DataFrame, starts: DataFrame, transparent: DataFrame) -> DataFrame:
@@ -135,19 +135,29 @@ def linear_runs(edges: DataFrame, members: DataFrame) -> DataFrame:
     own = edges.select("src", "dst").distinct().join(members.select(F.col("id").alias("src")), "src", "left_semi").join(members.select(F.col("id").alias("dst")), "dst", "left_semi")
     one = lambda c: F.count("*").over(W.partitionBy(c)) == 1
     links = materialize(own.withColumn("a", one("src")).withColumn("b", one("dst")).where("a and b and src <> dst").select("src", "dst"))
-    closed = materialize(peel(links).where("level is null").select("id"))
-    if not closed.isEmpty():
-        ring = components(links.join(closed.withColumnRenamed("id", "src"), "src", "left_semi"))
+    jump, closed = _heads(links)
+    if closed is not None:
+        ring = materialize(components(links.join(closed.withColumnRenamed("id", "src"), "src", "left_semi")))
         heads = ring.join(members, "id").groupBy("root").agg(F.min_by("id", F.struct("rank", "id")).alias("dst")).select("dst")
-        links = materialize(links.join(heads, "dst", "left_anti").select("src", "dst"))
-    jump = materialize(links.select(F.col("dst").alias("id"), F.col("src").alias("run"), F.lit(1).alias("position")))
-    while True:
+        opened = links.join(ring.select(F.col("id").alias("dst")), "dst", "left_semi").join(heads, "dst", "left_anti").select("src", "dst")
+        jump = jump.join(ring.select("id"), "id", "left_anti").unionByName(_heads(materialize(opened))[0])
+    return members.select("id").join(jump, "id", "left").select("id", F.coalesce("run", "id").alias("run"), F.coalesce("position", F.lit(0)).alias("position"))
+
+
+def _heads(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``(id, run, position)`` of all nodes behind others by pointer doubling, and ``(id)`` of nodes on cycles, if any.
+
+    After as many rounds as the number of links has bits, who still moves is on a cycle.
+    """
+    jump = materialize(links.select(F.col("dst").alias("id"), F.col("src").alias("run"), F.lit(1).cast("long").alias("position")))
+    for _ in range(links.count().bit_length() + 1):
         far = jump.select(F.col("id").alias("run"), F.col("run").alias("next"), F.col("position").alias("more"))
         new = materialize(jump.join(far, "run", "left").select("id", F.coalesce("next", "run").alias("run"), (F.col("position") + F.coalesce("more", F.lit(0))).alias("position"), F.col("next").isNotNull().alias("moved")))
-        jump = new.select("id", "run", "position")
+        release(jump)
+        jump = new
         if new.where("moved").isEmpty():
-            break
-    return members.select("id").join(jump, "id", "left").select("id", F.coalesce("run", "id").alias("run"), F.coalesce("position", F.lit(0)).alias("position"))
+            return jump.drop("moved"), None
+    return jump.drop("moved"), jump.where("moved").select("id")
 
 
 def expand(starts: DataFrame, calls: DataFrame, *, max_depth: int = 3) -> DataFrame:

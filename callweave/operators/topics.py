@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -19,7 +22,7 @@ PRESETS = {"fine": (5, 5, 3, 1), "balanced": (5, 5, 5, 3), "coarse": (10, 10, 8,
 def term_counts(docs: DataFrame, *, cluster: str = "cluster", text: str = "text", token: str = UNICODE_TOKEN, max_df: float = 0.85) -> DataFrame:
     """``(cluster, term, n)``; terms in over ``max_df`` of the clusters go, unless there is one cluster."""
     words = docs.select(F.col(cluster).alias("cluster"), F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({token})"), F.lit(1))).alias("term"))
-    counts = words.groupBy("cluster", "term").agg(F.count("*").alias("n"))
+    counts = materialize(words.groupBy("cluster", "term").agg(F.count("*").alias("n")))
     total = docs.agg(F.count_distinct(cluster).alias("clusters"))
     spread = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))
     return counts.join(spread.where((F.col("clusters") < 2) | (F.col("df") <= max_df * F.col("clusters"))).select("term"), "term", "left_semi")
@@ -27,6 +30,7 @@ def term_counts(docs: DataFrame, *, cluster: str = "cluster", text: str = "text"
 
 def class_tfidf(counts: DataFrame) -> DataFrame:
     """``(cluster, term, n, score)``: share in the cluster times ln(1 + whole mean cluster size / term total)."""
+    counts = materialize(counts)
     sizes = counts.groupBy("cluster").agg(F.sum("n").alias("size"))
     mean = sizes.agg(F.floor(F.avg("size")).alias("mean"))
     totals = counts.groupBy("term").agg(F.sum("n").alias("total"))
@@ -57,25 +61,60 @@ def centroids(vectors: DataFrame, *, label: str = "label", vector: str = "embedd
     return means.select("label", unit(F.transform("v", lambda s: s["x"])).alias("centroid")).where("centroid is not null")
 
 
-def assign_topics(vectors: DataFrame, topics: DataFrame, *, key: str, vector: str = "embedding", broadcast_rows: int = 10_000) -> DataFrame:
-    """``(key, label, similarity)``: nearest centroid; the smallest label wins ties. Topics are few: their number is checked before they are sent."""
-    side = F.broadcast(topics) if topics.limit(broadcast_rows + 1).count() <= broadcast_rows else topics
-    scored = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("v")).crossJoin(side)
-    scored = scored.select(key, "label", dot(F.col("v"), F.col("centroid")).alias("similarity"))
-    best = scored.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("label")).alias("l"))).alias("b"))
-    return best.select(key, (-F.col("b.l")).alias("label"), F.col("b.similarity").alias("similarity"))
-
-
-def knn(vectors: DataFrame, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", blocks: int = 8) -> DataFrame:
-    """Exact ``(key, neighbour, similarity, rank)`` by blocks: rows meet block by block, and each block pair keeps its ``k`` best."""
-    rows = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = rows.select("id", "v", "block", every.alias("other"))
-    right = rows.select(F.col("id").alias("neighbour"), F.col("v").alias("w"), F.col("block").alias("other"), every.alias("block"))
-    pairs = left.join(right, ["block", "other"]).where("id <> neighbour").select("id", "other", "neighbour", dot(F.col("v"), F.col("w")).alias("similarity"))
-    order = [F.desc("similarity"), F.asc("neighbour")]
-    near = pairs.withColumn("r", F.row_number().over(W.partitionBy("id", "other").orderBy(*order))).where(F.col("r") <= k)
-    return near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(*order))).where(F.col("rank") <= k).select(F.col("id").alias(key), "neighbour", "similarity", "rank")
+def assign_topics(vectors: DataFrame, topics: DataFrame, *, key: str, vector: str = "embedding") -> DataFrame:
+    """``(key, label, similarity)``: nearest centroid; the smallest label wins ties."""
+    rows = vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    best = nearest(rows, topics.select(F.col("label").alias("neighbour"), F.col("centroid").alias("w")), k=1)
+    return best.select(F.col("id").alias(key), F.col("neighbour").alias("label"), "similarity")
+
+
+def nearest(left: DataFrame, right: DataFrame, *, k: int, block_rows: int = 2048, other: bool = False) -> DataFrame:
+    """Exact ``(id, neighbour, similarity, rank)``: for every row of ``left(id, v)`` the ``k`` rows of ``right(neighbour, w)`` of the largest dot product.
+
+    Rows are hashed to blocks of about ``block_rows``; each pair of blocks is one matrix product in one task, and
+    only ``k`` rows a left row leave it. Similarities that agree to 12 digits tie; the smaller neighbour wins. With
+    ``other``, a row is not its own neighbour. Rows without a vector have none.
+    """
+    left, right = left.where("v is not null"), right.where("w is not null")
+    blocks = [max(1, -(-df.count() // block_rows)) for df in (left, right)]
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ours = left.select("id", "v", deal("id", blocks[0]).alias("a"), every(blocks[1]).alias("b"))
+    theirs = right.select("neighbour", "w", deal("neighbour", blocks[1]).alias("b"), every(blocks[0]).alias("a"))
+    kinds = dict(ours.dtypes) | dict(theirs.dtypes)
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        ids, names = x.column("id").combine_chunks(), y.column("neighbour").combine_chunks()
+        matrix = lambda t, c: np.stack(t.column(c).to_numpy()) if len(t) else np.zeros((0, 0))
+        if not len(x) or not len(y):
+            return pa.table({"id": ids.slice(0, 0), "neighbour": names.slice(0, 0), "similarity": pa.array([], pa.float64())})
+        order = pc.array_sort_indices(names)
+        names = names.take(order)
+        found = (matrix(x, "v") @ matrix(y, "w")[order.to_numpy()].T).round(12)
+        if other:
+            place = pc.index_in(ids, names).to_numpy(zero_copy_only=False)
+            own = ~np.isnan(place.astype(float))
+            found[np.flatnonzero(own), place[own].astype(int)] = -np.inf
+        take = min(k, found.shape[1])
+        least = np.partition(found, found.shape[1] - take, axis=1)[:, -take]
+        row, column = np.nonzero((found >= least[:, None]) & np.isfinite(found))
+        value = found[row, column]
+        ranked = np.lexsort((column, -value, row))
+        row, column, value = row[ranked], column[ranked], value[ranked]
+        first = np.searchsorted(row, row)
+        kept = np.arange(len(row)) - first < take
+        return pa.table({"id": ids.take(pa.array(row[kept])), "neighbour": names.take(pa.array(column[kept])), "similarity": pa.array(value[kept])})
+
+    pairs = ours.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInArrow(best, f"id {kinds['id']}, neighbour {kinds['neighbour']}, similarity double")
+    rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), F.asc("neighbour")))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def knn(vectors: DataFrame, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+    """Exact ``(key, neighbour, similarity, rank)`` of every row against all others."""
+    rows = materialize(vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    found = nearest(rows, rows.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), k=k, block_rows=block_rows, other=True)
+    return found.select(F.col("id").alias(key), "neighbour", "similarity", "rank")
 
 
 def density_clusters(vectors: DataFrame, *, min_cluster: int = 5, min_samples: int = 3, neighbours: int = 10, levels: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), key: str = "vec_id") -> DataFrame:

@@ -3,6 +3,7 @@
 CALLS = """calls as (select event_id as id, user_id, ts, event_type as callee, value, cast(json_extract_string(props, '$.k') as int) as k from events)"""
 SEQ = CALLS + """, seq as (select * from (select id as src, lead(id) over (partition by user_id order by ts, id) as dst, k from calls) where dst is not null)"""
 PARTSEQ = """partseq as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null)"""
+BRANDSEQ = """brandseq as (select distinct least(a, b) as src, greatest(a, b) as dst from (select l_partkey as a, lead(l_partkey) over (partition by l_orderkey, p_brand order by l_linenumber, l_partkey) as b from lineitem join part on l_partkey = p_partkey) where b is not null and a <> b)"""
 TREE = """tree as (select 'r' || n_regionkey as src, 'n' || n_nationkey as dst from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer union all select 'c' || o_custkey, 'o' || o_orderkey from orders)"""
 TURNS = """turns as (select conv_id, turn, role, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{3,}'))) as inputs, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]{6,}'))) as arguments from conversations)"""
 PACKAGES = r"""packages as (select page_id, array_to_string(list_reverse(string_split(regexp_extract(url, '://([^/?#]*)', 1), '.')), '.') as package from pages)"""
@@ -22,13 +23,13 @@ SQL = {
         select dst, string_agg(distinct src::varchar, ',' order by src::varchar) as sources from kept where dst is not null group by dst""",
     "noise_filter": f"""with {CALLS}, kept as (select id, callee, user_id, lead(id) over w as next, lag(id) over w as prev from calls where callee not in ('view', 'error') window w as (partition by user_id order by ts, id))
         select id, callee, next from kept where next is not null or prev is not null""",
-    "reach_parts": f"""with recursive {PARTSEQ}, w(root, id) as (select p_partkey, p_partkey from part where p_partkey <= 3 union select w.root, p.dst from w join partseq p on p.src = w.id) select root, count(*) as n from w group by root""",
+    "reach_parts": f"""with recursive {BRANDSEQ}, w(root, id) as (select p_partkey, p_partkey from part union select w.root, p.dst from w join brandseq p on p.src = w.id) select root, count(*) as n from w group by root""",
     "reach_tree": f"""with {TREE}, a as (select 'r' || r_regionkey as root, 'r' || r_regionkey as id, 0 as level from region), b as (select root, dst as id, 1 as level from a join tree on src = id), c as (select root, dst as id, 2 as level from b join tree on src = id), d as (select root, dst as id, 3 as level from c join tree on src = id)
         select root, level, count(*) as n from (select * from a union all select * from b union all select * from c union all select * from d) group by all""",
-    "depth_capped": f"""with {PARTSEQ}, a as (select p_partkey as root, p_partkey as id, 0 as level from part where p_partkey <= 5), b as (select distinct root, src as id, 1 as level from a join partseq on dst = id), c as (select distinct root, src as id, 2 as level from b join partseq on dst = id),
+    "depth_capped": f"""with {BRANDSEQ}, a as (select p_partkey as root, p_partkey as id, 0 as level from part), b as (select distinct root, src as id, 1 as level from a join brandseq on dst = id), c as (select distinct root, src as id, 2 as level from b join brandseq on dst = id),
         u as (select root, id, min(level) as level from (select * from a union all select * from b union all select * from c) group by all) select root, count(*) as n, max(level) as deepest from u group by root""",
     "roots_orphans": """select 'c' || c_custkey as id, case when exists (select 1 from orders where o_custkey = c_custkey) then 'root' else 'orphan' end as kind from customer where c_acctbal >= 0""",
-    "callers_callees": f"""with {PARTSEQ} select p_partkey as id, count(distinct a.src) as n_callers, min(a.src) as first_caller, (select count(distinct b.dst) from partseq b where b.src = p_partkey and b.dst % 2 = 0 and b.dst in (select p_partkey from part)) as n_targets
+    "callers_callees": f"""with {PARTSEQ} select p_partkey as id, count(distinct a.src) as n_callers, min(a.src) as first_caller, (select count(distinct b.dst) from partseq b where b.src = p_partkey and b.dst in (select p_partkey from part)) as n_targets
         from part left join partseq a on a.dst = p_partkey group by p_partkey""",
     "peel_tree": f"""with {TREE}, n as (select src as id from tree union select dst from tree), l as (select id, case left(id, 1) when 'r' then 0 when 'n' then 1 when 'c' then 2 else 3 end as level from n) select level, count(*) as n from l group by level""",
     "part_components": """with recursive p as (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey, p_brand order by l_linenumber, l_partkey) as dst from lineitem join part on p_partkey = l_partkey),
@@ -37,7 +38,7 @@ SQL = {
     "linear_runs": f"""with {CALLS}, o as (select id, user_id, callee <> 'view' as ok, row_number() over (partition by user_id order by ts, id) as r from calls), g as (select id, user_id, r - row_number() over (partition by user_id order by r) as g, r from o where ok),
         h as (select id, first_value(id) over (partition by user_id, g order by r) as run from g) select run, count(*) as n, count(*) - 1 as last from h group by run""",
     "expand_tree": f"""with {TREE}, a as (select 'r' || r_regionkey as root from region), b as (select root, dst from a join tree on src = root), c as (select root, b.dst as mid, t.dst from b join tree t on t.src = b.dst)
-        select root, root as method, 0 as depth, root as path from a union all select root, dst, 1, root || '/' || dst from b union all select root, dst, 2, root || '/' || mid || '/' || dst from c""",
+        select root, root as method, 0 as depth, root as path from a union all select root, dst, 1, root || '/' || dst from b union all select root, dst, 2, root || '/' || mid || '/' || dst from c union all select root, t.dst, 3, root || '/' || mid || '/' || c.dst || '/' || t.dst from c join tree t on t.src = c.dst""",
     "effective_count": f"""with {TREE}, c as (select distinct src as m, 1 as n from tree where src like 'c%'), n as (select src as m, 1 + 0 as n from tree where src like 'n%' group by src), r as (select distinct src as m, 1 as n from tree where src like 'r%')
         select m as method, n::bigint as count from (select * from c union all select * from n union all select * from r)""",
     "name_predicates": r"""with n as (select p_partkey, (['com.acme.', 'java.util.', 'javax.', 'com.acme.X$1.', 'x.<operator>.'])[p_partkey % 5 + 1] || (['run:void()', 'access$', 'lambda$a$', '<lambda>'])[p_partkey % 4 + 1] || p_size as name from part),
@@ -75,7 +76,11 @@ SQL = {
           from w join o on o.source = w.source and o.r = w.r + 1) select source, doc_id, batch from w""",
     "correlate": """with q as (select distinct conv_id as id from conversations where conv_id % 3 <> 0), a as (select conv_id as id, count(*) as n from conversations where turn < 2 group by all)
         select coalesce(q.id, a.id) as id, case when q.id is null then 'unknown' when n is null then 'missing' when n > 1 then 'duplicate' else 'ok' end as status from q full join a on q.id = a.id""",
-    "label_check": r"""with l as (select conv_id, turn, role, regexp_extract(text, '^([A-Za-z]+(?: [A-Za-z]+){0,6})', 1) as label from conversations) select *, regexp_matches(label, '^[A-Za-z]+( [A-Za-z]+){1,5}$') as phase_ok, regexp_matches(label, '^[A-Za-z]+( [A-Za-z]+){1,3}$') as topic_ok from l""",
+    "label_check": r"""with p as (select conv_id, turn, role, unnest(string_split_regex(text, '[.,\n]+')) as phrase, generate_subscripts(string_split_regex(text, '[.,\n]+'), 1) - 1 as pos from conversations),
+        s as (select *, regexp_replace(regexp_replace(trim(phrase), '([\p{L}\p{N}_])/([\p{L}\p{N}_])', '\1 / \2', 'g'), '([\p{L}\p{N}_])/([\p{L}\p{N}_])', '\1 / \2', 'g') as spaced from p),
+        l as (select conv_id, turn, role, pos, regexp_replace(spaced, '[ \t\n\x0b\f\r]+', ' ', 'g') as label from s)
+        select conv_id, turn, role, pos, label, regexp_matches(label, '^[\p{L}\p{N}]+(?:[''’.\-‐-―][\p{L}\p{N}]+)*(?:(?:\s+|\s+[&/\-‐-―]\s+)[\p{L}\p{N}]+(?:[''’.\-‐-―][\p{L}\p{N}]+)*)+$') and len(regexp_extract_all(label, '[\p{L}\p{N}]+(?:[''’.\-‐-―][\p{L}\p{N}]+)*')) between 2 and 6 as phase_ok,
+        regexp_matches(label, '^[A-Za-z]+( [A-Za-z]+){1,3}$') as topic_ok from l""",
     "comment_interval": """with s as (select user_id, min(ts) as low, max(ts) as high from events where event_type = 'purchase' group by user_id) select e.user_id, count(*) as n from events e join s on s.user_id = e.user_id and e.ts between s.low and s.high group by e.user_id""",
     "topic_report": """select d.doc_id as op_id, coalesce(toxic, -1) as label, case when l.doc_id is null then 0.0 else 0.5 end::double as similarity, case when l.doc_id is null then 'Unassigned' when toxic = 0 then 'clean' else 'topic ' || toxic end as topic from documents d left join labels l using (doc_id)""",
     "run_totals": """select event_type, count(*) as calls, count(*) filter (event_type <> 'error') as successes, round(sum(value), 3) as duration from events group by event_type""",

@@ -37,6 +37,14 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.where("dst is not null").distinct()
 
 
+def brand_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that follow each other in an order and are of one brand, from the smaller to the larger key."""
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    order = W.partitionBy("l_orderkey", "p_brand").orderBy("l_linenumber", "l_partkey")
+    pairs = rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b")).where("b is not null and a <> b")
+    return pairs.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+
+
 def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invoke edges region -> nation -> customer -> order, ids with prefixes."""
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
@@ -88,8 +96,8 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reach_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = read(spark, sf_dir, "part").where("p_partkey <= 3").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
-    return graph.reach(part_edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("n"))
+    roots = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
+    return graph.reach(brand_edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("n"))
 
 
 def reach_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +106,8 @@ def reach_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def depth_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = read(spark, sf_dir, "part").where("p_partkey <= 5").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
-    back = part_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    roots = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
+    back = brand_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return graph.reach(back, roots, max_depth=2).groupBy("root").agg(F.count("*").alias("n"), F.max("level").alias("deepest"))
 
 
@@ -115,7 +123,7 @@ def callers_callees(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = part_edges(spark, sf_dir)
     parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     into = graph.callers(parts, edges)
-    out = graph.callees(edges, parts.where("id % 2 = 0"))
+    out = graph.callees(edges, parts)
     return into.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.size("callers").cast("long").alias("n_callers"), F.get("callers", F.lit(0)).alias("first_caller"), F.coalesce(F.size("targets"), F.lit(0)).cast("long").alias("n_targets"))
 
 
@@ -138,9 +146,9 @@ def linear_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def expand_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = tree_edges(spark, sf_dir).where("dst not like 'o%'").select(F.col("src").alias("method"), F.col("dst").alias("call"), F.col("dst").alias("target"))
+    edges = tree_edges(spark, sf_dir).select(F.col("src").alias("method"), F.col("dst").alias("call"), F.col("dst").alias("target"))
     starts = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("method"))
-    return graph.expand(starts, edges, max_depth=2).select("root", "method", "depth", F.array_join("path", "/").alias("path"))
+    return graph.expand(starts, edges, max_depth=3).select("root", "method", "depth", F.array_join("path", "/").alias("path"))
 
 
 def effective_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +171,7 @@ def split_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").where("lang = 'en'")
+    rows = read(spark, sf_dir, "documents")
     done = rows.select("doc_id", text.preprocess_document(F.array("text", F.lit("x.<init>")), text.stop_words()).alias("words"))
     return done.select("doc_id", F.length("words").cast("long").alias("n_chars"), F.md5(F.encode("words", "UTF-8")).alias("digest"))
 
@@ -254,9 +262,10 @@ def correlate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat(F.lit('"'), F.regexp_extract("text", r"^([A-Za-z]+(?: [A-Za-z]+){0,6})", 1), F.lit('"')).alias("raw"))
-    done = rows.withColumn("label", text.normalise_label(F.col("raw")))
-    return done.select("conv_id", "turn", "role", "label", text.valid_label(F.col("label")).alias("phase_ok"), text.valid_topic_label(F.col("label")).alias("topic_ok"))
+    """Every phrase of every whole text as a label in quotes."""
+    phrases = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.posexplode(F.split("text", "[.,\n]+")).alias("pos", "phrase"))
+    done = phrases.select("conv_id", "turn", "role", F.col("pos").cast("long").alias("pos"), text.normalise_label(F.concat(F.lit(' "'), "phrase", F.lit('"'))).alias("label"))
+    return done.select("conv_id", "turn", "role", "pos", "label", text.valid_label(F.col("label")).alias("phase_ok"), text.valid_topic_label(F.col("label")).alias("topic_ok"))
 
 
 def comment_interval(spark: SparkSession, sf_dir: str) -> DataFrame:

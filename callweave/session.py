@@ -57,3 +57,20 @@ def release(*tables: DataFrame | None) -> None:
             where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
             df._written_to = None
+
+
+class Rounds:
+    """The rows of a loop's rounds, each written once; ``all`` reads what there is so far."""
+
+    def __init__(self, *first: DataFrame):
+        self.tables: list[DataFrame] = []
+        for df in first:
+            self.add(df)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        self.tables.append(materialize(df))
+        return self.tables[-1]
+
+    def all(self) -> DataFrame:
+        last = self.tables[-1]
+        return last.sparkSession.read.schema(last.schema).parquet(*(t._written_to for t in self.tables))
