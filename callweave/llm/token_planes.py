@@ -3,9 +3,10 @@
 Format: a Parquet table of chunks, so that Spark's committer keeps it whole when a task is tried again. A
 chunk holds whole documents: ``shard`` (number of the range of ids), ``chunk`` (number inside it), ``first``
 (ids of the shard before it), the index ``doc_ids`` and ``n_tokens``, ``n_ids``, ``plane_sizes`` and
-``planes``. The ids, little-endian unsigned 32-bit, are cut into blocks of 4096 (the last filled with
-zeros); each block is transposed to four byte planes or 32 bit planes; equal planes of all blocks of a chunk
-are joined and compressed with zstandard, and ``plane_sizes`` says where each begins.
+``planes``. The ids, little-endian unsigned 32-bit, are cut into blocks of ``BLOCK`` (the last filled with
+zeros); each block is transposed to four byte planes or 32 bit planes, and every plane is compressed with
+zstandard by itself. ``plane_sizes`` lists the planes of the first block, then of the next, so that any block
+can be read without the others (``read_block``).
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import table
-from callweave.session import materialize, shared_dir
+from callweave.llm.common import small_batches, table
+from callweave.session import shared_dir
 
-BLOCK, CHUNK_IDS, END_ID = 4096, 1 << 18, 2
-#: Pieces that a worker keeps encoded (about 200 MB), and how the vocabulary writes a space.
-REMEMBERED, SPACE = 1_000_000, "\u0120"
+BLOCK, CHUNK_IDS, END_ID = 1 << 14, 1 << 18, 2
+#: Pieces that a worker keeps encoded in each of two generations (about 80 MB each), and how the vocabulary writes a space.
+REMEMBERED, SPACE = 400_000, "\u0120"
 RUN = re.compile(r" \s")
 _tokenizers: dict[str, tuple] = {}
 
@@ -40,29 +41,35 @@ def default_tokenizer() -> str:
 
 
 def pack(ids: np.ndarray, mode: str = "byte") -> tuple[list[int], bytes]:
-    """Plane sizes and compressed planes of ids (unsigned 32-bit)."""
-    padded = np.zeros(-(-len(ids) // BLOCK) * BLOCK, dtype="<u4")
-    padded[: len(ids)] = ids
-    octets = padded.view(np.uint8).reshape(-1, BLOCK, 4).transpose(2, 0, 1)
-    if mode == "byte":
-        planes = [np.ascontiguousarray(p) for p in octets]
-    else:
-        planes = [np.packbits(p >> bit & 1) for p in octets for bit in range(8)]
-    squeezed = [zstandard.ZstdCompressor(level=1).compress(p.tobytes()) for p in planes]
+    """Sizes of all planes of all blocks, and the compressed planes of ids (unsigned 32-bit) one after the other."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    squeezed = []
+    for at in range(0, len(ids), BLOCK):
+        block = np.zeros(BLOCK, dtype="<u4")
+        block[: min(BLOCK, len(ids) - at)] = ids[at : at + BLOCK]
+        octets = np.ascontiguousarray(block.view(np.uint8).reshape(BLOCK, 4).T)
+        planes = octets if mode == "byte" else [np.packbits(p >> bit & 1) for p in octets for bit in range(8)]
+        squeezed += [squeeze(p.tobytes()) for p in planes]
     return [len(x) for x in squeezed], b"".join(squeezed)
 
 
-def unpack(n_ids: int, sizes: list[int], data: bytes) -> np.ndarray:
-    """The ids of a chunk; the number of planes tells the mode."""
+def read_block(k: int, n_ids: int, sizes: list[int], data: bytes) -> np.ndarray:
+    """The ids of block ``k`` of a chunk, from its own planes alone; the number of planes tells the mode."""
+    each = len(sizes) // -(-n_ids // BLOCK)
     ends = np.cumsum(sizes)
-    planes = [zstandard.ZstdDecompressor().decompress(data[e - s : e]) for s, e in zip(sizes, ends)]
-    n = -(-n_ids // BLOCK) * BLOCK
-    if len(planes) == 4:
-        octets = np.stack([np.frombuffer(p, dtype=np.uint8) for p in planes], axis=-1)
+    expand = zstandard.ZstdDecompressor().decompress
+    planes = [np.frombuffer(expand(data[e - s : e]), dtype=np.uint8) for s, e in zip(sizes[k * each : (k + 1) * each], ends[k * each : (k + 1) * each])]
+    if each == 4:
+        octets = np.stack(planes, axis=-1)
     else:
-        bits = np.stack([np.unpackbits(np.frombuffer(p, dtype=np.uint8), count=n) for p in planes]).reshape(4, 8, n)
+        bits = np.stack([np.unpackbits(p, count=BLOCK) for p in planes]).reshape(4, 8, BLOCK)
         octets = (bits << np.arange(8, dtype=np.uint8)[:, None]).sum(axis=1, dtype=np.uint8).T
-    return np.ascontiguousarray(octets).view("<u4").ravel()[:n_ids]
+    return np.ascontiguousarray(octets).view("<u4").ravel()[: n_ids - k * BLOCK]
+
+
+def unpack(n_ids: int, sizes: list[int], data: bytes) -> np.ndarray:
+    """The ids of a chunk."""
+    return np.concatenate([np.zeros(0, dtype="<u4"), *(read_block(k, n_ids, sizes, data) for k in range(-(-n_ids // BLOCK)))])
 
 
 def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
@@ -71,7 +78,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     The byte-level pattern always cuts before a single space between two other characters than white space, and
     no piece looks beyond such a cut, so pieces need encoding once. New pieces of some texts are encoded
     together as one text; only the first token of a piece begins with a space, which parts their ids again.
-    A worker remembers the first ``REMEMBERED`` pieces it meets, frequent ones thus, and no more.
+    A worker keeps two generations of at most ``REMEMBERED`` pieces (and those of the texts at hand): a full
+    generation grows old, pieces used again move on to the young one, and what is not used again is forgotten.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -81,13 +89,13 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         vocabulary = tokenizer.get_vocab()
         leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        _tokenizers[path] = (tokenizer, leads, {})
-    tokenizer, leads, known = _tokenizers[path]
+        _tokenizers[path] = (tokenizer, leads, [{}, {}])
+    tokenizer, leads, generations = _tokenizers[path]
 
     def learn(pieces: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for at in range(0, len(pieces), 2000):
-            ids = np.array(tokenizer.encode(" " + " ".join(pieces[at : at + 2000]), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(pieces[at : at + 2000])], add_special_tokens=False)[0].ids, dtype="<u4")
             starts = 4 * np.flatnonzero(leads[ids])
             data = ids.tobytes()
             out.extend(data[x:y] for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(data)]))
@@ -97,18 +105,16 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         # Texts with other white space after a space, or a space at their end, go to the tokenizer whole.
         plain = [None if RUN.search(t) or t[-1:] == " " else t.split(" ") for t in texts]
         heads = tokenizer.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, plain)], add_special_tokens=False)
-        new = list(set().union(*(x[1:] for x in plain if x)) - known.keys())
-        found = dict(zip(new, learn(new)))
-        room = REMEMBERED - len(known)
-        if room > 0:
-            known.update(list(found.items())[:room])
-        get = known.get
-        out = []
-        for head, pieces in zip(heads, plain):
-            rest = [get(w) for w in pieces[1:]] if pieces else []
-            if None in rest:
-                rest = [found[w] if x is None else x for w, x in zip(pieces[1:], rest)]
-            out.append(np.array(head.ids, dtype="<u4").tobytes() + b"".join(rest))
+        young, old = generations
+        wanted = set().union(*(x[1:] for x in plain if x)) - young.keys()
+        again = wanted & old.keys()
+        young.update((w, old[w]) for w in again)
+        new = list(wanted - again)
+        young.update(zip(new, learn(new)))
+        get = young.__getitem__
+        out = [np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, pieces[1:])) if pieces else np.array(head.ids, dtype="<u4").tobytes() for head, pieces in zip(heads, plain)]
+        if len(young) > REMEMBERED:
+            generations[:] = {}, young
         return out
 
     return encode
@@ -121,6 +127,7 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
     empty table gives a format without chunks.
     """
     tokenizer = tokenizer or default_tokenizer()
+    small_batches(docs.sparkSession)
     source = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64("text").alias("tie"))
     source = source.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     kind = dict(source.dtypes)["doc_id"]
@@ -140,8 +147,8 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
         size = 0
         for batch in batches:
             id_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
                 for name, found in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
                     names.append(name)
                     parts.append(found + end)
@@ -160,9 +167,10 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = False) -> DataFra
     """One row per document from the files: ``doc_id, start, n_tokens, ids_crc32``, with ``ids`` the ids themselves too."""
     chunks = spark.read.parquet(path)
     kind = dict(chunks.dtypes)["doc_ids"].removeprefix("array<").removesuffix(">")
+    # A row a shard, as many as the writing tasks were; the running sum of their ids needs one task only.
     sizes = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.shard") < F.col("a.shard"), "left").groupBy("a.shard").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("base"))
-    placed = chunks.join(F.broadcast(before), "shard").select((F.col("base") + F.col("first")).alias("start"), "doc_ids", "n_tokens", "n_ids", "plane_sizes", "planes")
+    before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    placed = chunks.join(before, "shard").select((F.col("base") + F.col("first")).alias("start"), "doc_ids", "n_tokens", "n_ids", "plane_sizes", "planes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,13 +188,14 @@ def read_tokens(spark: SparkSession, path: str, *, ids: bool = False) -> DataFra
     return placed.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * ids)
 
 
-def token_table(docs: DataFrame, *, tokenizer: str | None = None, mode: str = "byte") -> DataFrame:
-    """Write ``docs`` to a new folder of the shared one and read the documents' digests back from its files."""
+def token_table(docs: DataFrame, *, path: str | None = None, tokenizer: str | None = None, mode: str = "byte") -> DataFrame:
+    """Write ``docs`` to ``path`` (not there yet; none: a new folder of the shared one) and read the documents' digests back from its files."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/token-planes-{uuid.uuid4().hex}"
     write_tokens(docs, path, tokenizer=tokenizer, mode=mode)
     return read_tokens(spark, path)
 
 
 def op7_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over ``documents``, in byte planes. Null texts have the end id alone; an empty table gives no rows."""
     return token_table(table(spark, sf_dir, "documents"))
