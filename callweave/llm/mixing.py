@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import table
+from callweave.llm.common import free_name, table
 from callweave.session import materialize
 
 DIMENSIONS = ("source", "lang", "topic")
@@ -88,30 +88,40 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], *, rounds: int = 12, dri
     return now.select(*kept.columns, "weight")
 
 
-def mix(docs: DataFrame, *, power: float = 0.9, rounds: int = 12, seed: str = "mix") -> DataFrame:
-    """Every document with ``topic``, ``tokens``, ``probability`` and ``sampled``; all its columns are kept.
+def mix(docs: DataFrame, *, power: float = 0.9, rounds: int = 12, seed: str = "mix", carry: tuple[str, ...] | None = None) -> DataFrame:
+    """Every document with ``topic``, ``tokens``, ``probability`` and ``sampled``; its columns ``carry`` (none: all) stay.
 
-    The cell of a document has its raked share over its present share as ratio; probabilities are ratios over
+    One pass over the texts writes what is carried with topic and tokens; cells, weights and the draw read that. The
+    cell of a document has its raked share over its present share as ratio; probabilities are ratios over
     the largest one, so that expected tokens follow the raked weights exactly. A document is sampled if the
     md5 of its id and the seed falls below its probability. Null source or language is a value of its own;
-    null and wordless texts weigh nothing and are never sampled. Repeated rows are sampled alike. Columns of
-    the names above are replaced. An empty table gives no rows.
+    null and wordless texts weigh nothing and are never sampled. Repeated rows are sampled alike. Where a column has
+    one of the four names already, letter case aside, it stays and the new one gets ``_`` behind its name. An empty
+    table gives no rows.
     """
+    topic, tokens, chance, drawn = (free_name(docs, c) for c in ("topic", "tokens", "probability", "sampled"))
+    own = docs.columns if carry is None else list(carry)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    own = [c for c in docs.columns if c not in ("topic", "tokens", "probability", "sampled")]
-    counted = docs.select(*own, tokens_of(text).alias("tokens"))
-    marked = counted.select(*own, topic_of(text, F.col("tokens")).alias("topic"), "tokens")
-    key = {d: F.coalesce(F.col(d).cast("string"), F.lit("(none)")) for d in DIMENSIONS}
-    cells = materialize(marked.groupBy(*(key[d].alias(d) for d in DIMENSIONS)).agg(F.sum("tokens").alias("tokens")))
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("(none)"))
+    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    column = lambda c: F.col(f"d.`{c}`")
+    counted = docs.select(F.struct(*own).alias("d"), text.alias("text"), cell("source").alias("source"), cell("lang").alias("lang"), draw.alias("draw"), tokens_of(text).alias("tokens"))
+    marked = materialize(counted.withColumn("topic", topic_of(F.col("text"), F.col("tokens"))).drop("text"))
+    cells = materialize(marked.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     goals = {d: materialize(targets(cells, d, power)) for d in DIMENSIONS}
     raked = materialize(rake(cells, goals, rounds=rounds))
-    total = F.broadcast(raked.agg(F.sum("tokens").alias("all"), F.max(F.col("weight") / F.col("tokens")).alias("top")))
-    share = raked.crossJoin(total).select(*(F.col(d).alias(f"__{d}") for d in DIMENSIONS), (F.col("weight") / F.col("tokens") / F.col("top")).alias("probability"))
-    found = marked.join(share, [key[d] == F.col(f"__{d}") for d in DIMENSIONS], "left").drop(*(f"__{d}" for d in DIMENSIONS))
-    draw = F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    chance = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
-    return found.select(*own, "topic", "tokens", chance.alias("probability"), (draw < chance).alias("sampled"))
+    total = F.broadcast(raked.agg(F.max(F.col("weight") / F.col("tokens")).alias("top")))
+    share = raked.crossJoin(total).select(*DIMENSIONS, (F.col("weight") / F.col("tokens") / F.col("top")).alias("share"))
+    found = marked.join(share, list(DIMENSIONS), "left").withColumn("share", F.when(F.col("tokens") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0))
+    return found.select(*(column(c).alias(c) for c in own), F.col("topic").alias(topic), F.col("tokens").alias(tokens), F.col("share").alias(chance), (F.col("draw") < F.col("share")).alias(drawn))
+
+
+def sampled(docs: DataFrame, **options) -> DataFrame:
+    """The documents that ``mix`` samples, with their own columns only."""
+    return mix(docs, **options).where(F.col(free_name(docs, "sampled"))).select(*docs.columns)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled")
+    """Operator 3 over ``documents``. Wordless texts are never sampled; an empty table gives no rows."""
+    carry = ("doc_id", "source", "lang")
+    return mix(table(spark, sf_dir, "documents"), carry=carry).select(*carry, "topic", "tokens", F.round("probability", 9).alias("probability"), "sampled")
