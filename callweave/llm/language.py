@@ -128,11 +128,15 @@ def sample(docs: DataFrame, *, per_language: int, held: int = 1, pieces: int = 3
     table's size, and every language is learned.
     """
     rows = docs.where((crc_mod("doc_id", 3) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
+    # A number a language, as the softmax has: no text is shuffled to meet them.
+    shares = {r["lang"]: min(1.0, per_language / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    if not shares:
+        return []
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
     room = F.greatest(F.length("text") - LENGTH, F.lit(0)) + 1
     cuts = [F.substring(F.col("text"), (F.pmod(F.xxhash64("doc_id", "text", F.lit(k)), room) + 1).cast("int"), F.lit(LENGTH)) for k in range(pieces)]
-    picked = rows.join(shares, "lang").where(draw < F.col("share")).select("lang", "doc_id", F.array_distinct(F.array(*cuts)).alias("pieces")).distinct()
+    picked = rows.where(draw < share).select("lang", "doc_id", F.array_distinct(F.array(*cuts)).alias("pieces")).distinct()
     return sorted((r[0], r[1].encode()) for r in picked.select("lang", F.explode("pieces")).collect())
 
 
