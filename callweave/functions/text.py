@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from callweave.functions.names import ANGLE_MARKERS, any_of
 
+#: Patterns of identifiers and labels, and pairs of quotes.
 NON_ALNUM = "[^a-zA-Z0-9]+"
 CAMEL = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 LABEL_WORD = r"[\p{L}\p{N}]+(?:['’.\-‐-―][\p{L}\p{N}]+)*"
@@ -26,8 +26,17 @@ def method_terms(term: Column) -> Column:
     return F.transform(F.filter(F.split(term, "(?<=[a-z0-9])(?=[A-Z])|[^a-zA-Z0-9]+"), lambda w: w != ""), F.lower)
 
 
-def stop_words(spark=None) -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
+#: English stop words of three and more letters.
+STOP_WORDS = (
+    "myself our ours ourselves you your yours yourself yourselves him his himself she her hers herself its itself they them their theirs themselves what which who whom this that these those "
+    "are was were been being have has had having does did doing the and but because until while for with about against between into through during before after above below from down out off over "
+    "under again further then once here there when where why how all any both each few more most other some such nor not only own same than too very can will just don should now "
+    "ain aren couldn didn doesn hadn hasn haven isn mightn mustn needn shan shouldn wasn weren won wouldn"
+).split()
+
+
+def stop_words() -> list[str]:
+    return list(STOP_WORDS)
 
 
 def preprocess_document(terms: Column, stops: list[str], shortest: int = 3) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -123,3 +123,30 @@ def groups_check(groups: DataFrame, known: DataFrame) -> DataFrame:
     twice = m.groupBy("member").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("two-groups").alias("check"), F.col("member").alias("key"))
     left = known.select("name").join(m.select(F.col("member").alias("name")), "name", "left_anti").select(F.lit("left-over").alias("check"), F.col("name").alias("key"))
     return unknown.unionByName(twice).unionByName(left)
+
+
+def failure_counters(failures: DataFrame, *, by: str, reason: str = "reason", n: str = "n") -> DataFrame:
+    """``(by, reason, n)``: counters of all batches added up; what never failed has no row."""
+    return failures.where(F.col(n) > 0).groupBy(by, reason).agg(F.sum(n).alias(n))
+
+
+def topic_answers(operations: DataFrame, answers: DataFrame, topics: DataFrame) -> DataFrame:
+    """``(id, label)`` of every operation from ``answers(id, group_id)``: known topics but -1; null, invalid, repeated and missing answers give none."""
+    ok = correlate(operations, answers).where("status = 'ok'").select("id")
+    valid = answers.join(ok, "id", "left_semi").join(topics.where("label <> -1").select(F.col("label").alias("group_id")), "group_id", "left_semi")
+    return operations.select("id").join(valid.select("id", F.col("group_id").alias("label")), "id", "left")
+
+
+def cluster_labels(topics: DataFrame, answers: DataFrame, valid: Callable[[Column], Column]) -> DataFrame:
+    """``(label, name)`` from ``answers(id, label)`` about topics but -1: valid names of those that were answered once."""
+    asked = topics.where("label <> -1").select(F.col("label").cast("string").alias("id"))
+    ok = correlate(asked, answers).where("status = 'ok'").select("id")
+    return answers.join(ok, "id", "left_semi").where(valid(F.col("label"))).select(F.col("id").cast("int").alias("label"), F.col("label").alias("name"))
+
+
+def label_subjects(subjects: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``(id, pos)`` of the subjects that can be asked for: the first of equal ids that aren't empty, with evidence whose phases have
+    different ids, none of them empty, and at least one value. ``subjects(id, pos)``, ``evidence(pos, phase_id, filled)``: of a subject at ``pos``."""
+    first = subjects.where("id is not null and id <> ''").groupBy("id").agg(F.min("pos").alias("pos"))
+    whole = evidence.groupBy("pos").agg((F.count("*") == F.count_distinct(F.when(F.col("phase_id") != "", F.col("phase_id")))).alias("told"), F.bool_or(F.coalesce("filled", F.lit(False))).alias("filled"))
+    return first.join(whole.where("told and filled").select("pos"), "pos", "left_semi").select("id", "pos")

@@ -51,19 +51,22 @@ def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, s
     return seen.all()
 
 
-def owners(nodes: DataFrame) -> DataFrame:
-    """``(id, owner_entry_id)``: entries own themselves, other nodes the last entry of their method; without one: left out."""
-    entries = nodes.where("type = 'entry'").groupBy(F.col("calleeFullName").alias("callerMethod")).agg(F.max_by("id", "pos").alias("owner_entry_id"))
-    rest = nodes.where("type <> 'entry'").select("id", "callerMethod").join(entries, "callerMethod").select("id", "owner_entry_id")
+def owners(nodes: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, owner_entry_id)``: entries own themselves, other nodes the last entry of their method; without one: left out.
+
+    ``by`` are columns that tell methods of equal names apart, like the repository.
+    """
+    entries = nodes.where("type = 'entry'").groupBy(*by, F.col("calleeFullName").alias("callerMethod")).agg(F.max_by("id", "pos").alias("owner_entry_id"))
+    rest = nodes.where("type <> 'entry'").select("id", *by, "callerMethod").join(entries, [*by, "callerMethod"]).select("id", "owner_entry_id")
     return nodes.where("type = 'entry'").select("id", F.col("id").alias("owner_entry_id")).unionByName(rest)
 
 
-def roots_and_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(id, kind)`` of entries that no invoke edge enters: root with a call of their own, else orphan."""
-    entries = nodes.where("type = 'entry'").select("id", "calleeFullName")
+def roots_and_orphans(nodes: DataFrame, edges: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, kind)`` of entries that no invoke edge enters: root with a call of their own, else orphan. ``by`` as for ``owners``."""
+    entries = nodes.where("type = 'entry'").select("id", *by, "calleeFullName")
     entered = edges.where("type = 'invoke'").select(F.col("dst").alias("id"))
-    calls = nodes.where("type = 'call'").select(F.col("callerMethod").alias("calleeFullName"), F.lit(True).alias("calls")).distinct()
-    free = entries.join(entered, "id", "left_anti").join(calls, "calleeFullName", "left")
+    calls = nodes.where("type = 'call'").select(*by, F.col("callerMethod").alias("calleeFullName"), F.lit(True).alias("calls")).distinct()
+    free = entries.join(entered, "id", "left_anti").join(calls, [*by, "calleeFullName"], "left")
     return free.select("id", F.when(F.col("calls"), "root").otherwise("orphan").alias("kind"))
 
 
@@ -223,6 +226,88 @@ def drop_groups(edges: DataFrame, removed: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst", "type", "reqs").agg(F.min("pos").alias("pos"))
 
 
+def excluded_calls(nodes: DataFrame, edges: DataFrame, noise: Column, is_lambda: Column) -> DataFrame:
+    """Ids of noise calls, but for those that invoke the body of a lambda; both tests are about ``calleeFullName``."""
+    bodies = nodes.where(F.col("type") == "entry").where(is_lambda).select(F.col("id").alias("dst"))
+    kept = edges.where("type = 'invoke'").join(bodies, "dst", "left_semi").select(F.col("src").alias("id"))
+    return nodes.where((F.col("type") == "call") & F.coalesce(noise, F.lit(False))).select("id").join(kept, "id", "left_anti")
+
+
+def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``edges`` without the sequence edges that leave a throw for anything but a throw exit."""
+    throws = nodes.where("type = 'call' and calleeFullName = '<operator>.throw'").select(F.col("id").alias("src"), F.lit(True).alias("__throws"))
+    ends = nodes.where("type = 'exit' and exitKind = 'throw'").select(F.col("id").alias("dst"), F.lit(True).alias("__ends"))
+    told = edges.join(throws, "src", "left").join(ends, "dst", "left")
+    return told.where("type <> 'sequence' or __throws is null or __ends").select(*edges.columns)
+
+
+def arm_outcomes(exits: DataFrame) -> DataFrame:
+    """``(groupId, outcomes)``: distinct sets of exits that the arms of a group have, from ``exits(groupId, armLabel, kind, destination)``.
+
+    Sets are told apart by their size and two sums of hashes, so no set is gathered; over one set means that the branch matters.
+    """
+    each = exits.distinct().withColumns({"h": F.xxhash64("kind", "destination"), "g": F.xxhash64("destination", "kind")})
+    sets = each.groupBy("groupId", "armLabel").agg(F.count("kind").alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"), F.sum(F.col("g").cast("decimal(38,0)")).alias("g"))
+    return sets.groupBy("groupId").agg(F.count_distinct("n", "h", "g").alias("outcomes"))
+
+
+def content_groups(nodes: DataFrame, exits: DataFrame, loops: DataFrame) -> DataFrame:
+    """``(id)`` of groups with content of their own.
+
+    A branch: a call, transfer, return or throw in one of its arms, or arms of different outcomes. A loop ``(id)``: a call
+    or transfer inside, or a transfer that aims at it.
+    """
+    lively = nodes.where("type in ('call', 'transfer') or (type = 'exit' and exitKind in ('return', 'throw'))")
+    arms = lively.select(F.explode("branchArms").alias("a")).select(F.col("a.groupId").alias("id"))
+    differ = arm_outcomes(exits).where("outcomes > 1").select(F.col("groupId").alias("id"))
+    moving = nodes.where("type in ('call', 'transfer')")
+    held = moving.select(F.explode("loopIds").alias("id")).unionByName(moving.where("type = 'transfer'").select(F.col("targetStructureGroupId").alias("id")))
+    return arms.unionByName(differ).unionByName(held.join(loops.select("id"), "id", "left_semi")).distinct()
+
+
+def clean_graph(nodes: DataFrame, edges: DataFrame, branches: DataFrame, loops: DataFrame, exits: DataFrame, *, noise: Column, is_lambda: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(nodes, edges, groups)`` after noise calls are spliced out and groups without content are removed to a fixed point.
+
+    ``branches(id, entryNodeId)`` and ``loops(id, entryNodeId)``, ``exits`` as for ``arm_outcomes``. A group stays with content of its
+    own or with a group that stays and whose entry lies in it. Guards and memberships of removed groups go before their anchors are
+    spliced out, so that alternative empty arms don't meet as a contradiction. Entries stay even if no edge touches them.
+    """
+    bad = materialize(excluded_calls(nodes, edges, noise, is_lambda))
+    edges = valid_edges(edges, nodes).select("src", "dst", "type", "reqs")
+    if not bad.isEmpty():
+        edges = materialize(bridge(edges, bad))
+        touched = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+        left = nodes.join(bad, "id", "left_anti")
+        nodes = left.where("type = 'entry'").unionByName(left.where("type <> 'entry'").join(touched, "id", "left_semi"))
+    nodes = materialize(nodes)
+    groups = branches.select("id", "entryNodeId").unionByName(loops.select("id", "entryNodeId"))
+    inside = nodes.select(F.col("id").alias("entryNodeId"), F.explode(F.array_union(F.transform("branchArms", lambda a: a["groupId"]), "loopIds")).alias("parent"))
+    children = groups.join(inside, "entryNodeId").select("parent", F.col("id").alias("child"))
+    stay = materialize(retained_structures(content_groups(nodes, exits, loops), children).join(groups.select("id"), "id", "left_semi"))
+    removed = materialize(groups.select("id").join(stay, "id", "left_anti"))
+    if not removed.isEmpty():
+        edges = materialize(drop_groups(edges.withColumn("pos", F.lit(0)), removed).select("src", "dst", "type", "reqs"))
+        nodes = materialize(_leave(nodes, removed))
+        anchors = nodes.where("type = 'structure'").join(removed.select(F.col("id").alias("structureGroupId")), "structureGroupId", "left_semi").select("id")
+        edges, nodes = bridge(edges, anchors), nodes.join(anchors, "id", "left_anti")
+    return nodes, edges, stay
+
+
+def _leave(nodes: DataFrame, removed: DataFrame) -> DataFrame:
+    """Nodes without their memberships of ``removed(id)`` groups, which a join finds node by node."""
+    held = nodes.select("id", F.explode(F.array_union(F.transform("branchArms", lambda a: a["groupId"]), "loopIds")).alias("g"))
+    lost = held.join(removed.select(F.col("id").alias("g")), "g", "left_semi").groupBy("id").agg(F.collect_set("g").alias("__lost"))
+    told = nodes.join(lost, "id", "left").withColumn("__lost", F.coalesce("__lost", F.array().cast("array<string>")))
+    return told.withColumns({"branchArms": F.filter("branchArms", lambda a: ~F.array_contains("__lost", a["groupId"])), "loopIds": F.array_except("loopIds", "__lost")}).select(*nodes.columns)
+
+
+def visible_graph(edges: DataFrame, hidden: DataFrame, roots: DataFrame) -> DataFrame:
+    """Sequence edges ``(src, dst, reqs)`` after the ``hidden(id)`` nodes are spliced out, as far as ``roots(id)`` reach them; guards are sorted, so equal sets are one edge."""
+    left = materialize(bridge(edges.withColumn("type", F.lit("sequence")), hidden).select("src", "dst", F.array_sort("reqs").alias("reqs")).distinct())
+    found = reach(left, roots.select(F.lit(0).alias("root"), "id")).select(F.col("id").alias("src")).distinct()
+    return left.join(found, "src", "left_semi").select("src", "dst", "reqs")
+
+
 def filter_noise(nodes: DataFrame, edges: DataFrame, noise: Column) -> tuple[DataFrame, DataFrame]:
     """Noise calls spliced out; if any was, nodes that no edge touches go too, entries excepted."""
     bad = materialize(nodes.where((F.col("type") == "call") & noise).select("id"))

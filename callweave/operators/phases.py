@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.signature import DIMENSIONS, verdict
-from callweave.session import materialize
+from callweave.operators.graph import peel
+from callweave.session import Rounds, materialize, release
 
 
 def core_signature(rows: DataFrame, *, by: str, values: str) -> DataFrame:
@@ -69,28 +70,34 @@ def segment_runs(calls: DataFrame, *, run: str = "run", pos: str = "pos", region
 
 
 def effective_counts(methods: DataFrame, calls: DataFrame) -> DataFrame:
-    """``(method, count)`` bottom-up: own phases plus, for each call, the largest count of its targets; null on a cycle.
+    """``(method, count)`` bottom-up: own phases plus, for each call, the largest count of its targets; null on a cycle of calls and above
+    one as far as retained calls lead there.
 
-    ``methods(method, own)``, ``calls(method, call, target)``; a call counts if its target's count is over one.
-    Rounds follow the depth of the call graph. Targets that are no method add nothing.
+    ``methods(method, own)``, ``calls(method, call, target)``. A call is retained, and counts, if a target's count is over one or
+    unknown. Rounds follow the depth of the call graph, then members of cycles are unknown and rounds go on. Targets that
+    are no method add nothing.
     """
-    inner = materialize(calls.join(methods.select(F.col("method").alias("target")), "target", "left_semi"))
-    left, done = methods, None
+    inner = materialize(calls.join(methods.select(F.col("method").alias("target")), "target", "left_semi").select("method", "call", "target").distinct())
+    left, done = materialize(methods.select("method", F.col("own").cast("long").alias("own"))), Rounds()
     while True:
-        waiting = inner if done is None else inner.join(done.select(F.col("method").alias("target")), "target", "left_anti")
+        waiting = inner.join(done.all().select(F.col("method").alias("target")), "target", "left_anti") if done.tables else inner
         ready = left.join(waiting.select("method").distinct(), "method", "left_anti")
-        if done is None:
-            found = ready.select("method", F.col("own").cast("long").alias("count"))
-        else:
-            tops = inner.join(done.select(F.col("method").alias("target"), F.col("count").alias("c")), "target").groupBy("method", "call").agg(F.max("c").alias("c"))
-            sums = tops.where("c > 1").groupBy("method").agg(F.sum("c").alias("c"))
-            found = ready.join(sums, "method", "left").select("method", (F.col("own") + F.coalesce("c", F.lit(0))).cast("long").alias("count"))
-        found = materialize(found)
-        if found.isEmpty():
-            break
-        done = found if done is None else materialize(done.unionByName(found))
-        left = materialize(left.join(found.select("method"), "method", "left_anti"))
-    return methods.select("method").join(done, "method", "left") if done is not None else methods.select("method", F.lit(None).cast("long").alias("count"))
+        if ready.isEmpty():
+            if left.isEmpty():
+                break
+            # What is left is on cycles or above them: members of cycles are those that both directions of peeling leave.
+            back = waiting.join(left.select("method"), "method", "left_semi").select(F.col("method").alias("src"), F.col("target").alias("dst"))
+            below = peel(back).where("level is null").select("id")
+            ring = below.join(peel(back.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("level is null").select("id"), "id", "left_semi")
+            ready = left.join(ring.select(F.col("id").alias("method")), "method", "left_semi").withColumn("own", F.lit(None).cast("long"))
+        known = done.all() if done.tables else left.select("method", F.col("own").alias("count")).limit(0)
+        worst = inner.join(known.select(F.col("method").alias("target"), "count"), "target").groupBy("method", "call").agg(F.max("count").alias("c"), F.bool_or(F.col("count").isNull()).alias("unknown"))
+        sums = worst.groupBy("method").agg(F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)).alias("c"), F.bool_or("unknown").alias("unknown"))
+        total = F.when(~F.coalesce("unknown", F.lit(False)), F.col("own") + F.coalesce("c", F.lit(0)))
+        found = done.add(ready.join(sums, "method", "left").select("method", total.alias("count")))
+        before, left = left, materialize(left.join(found.select("method"), "method", "left_anti"))
+        release(before)
+    return done.all() if done.tables else methods.select("method", F.lit(None).cast("long").alias("count"))
 
 
 def excluded_operations(nodes: DataFrame, arm_exits: DataFrame) -> DataFrame:
@@ -99,3 +106,19 @@ def excluded_operations(nodes: DataFrame, arm_exits: DataFrame) -> DataFrame:
     inside = nodes.where("type = 'call'").select("id", "calleeFullName", F.explode("branchArms").alias("a")).select("id", "calleeFullName", "a.groupId", "a.armLabel")
     found = inside.join(thrown, ["groupId", "armLabel"]).select("id", "calleeFullName").distinct()
     return found.select("id", F.when(F.col("calleeFullName").rlike(r"(Exception|Error|Throwable)\.<init>"), "exception-mechanic").otherwise("in-throwing-arm").alias("reason"))
+
+
+def run_summary(phases: DataFrame, retained: DataFrame, gates: DataFrame, excluded: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row of counts: methods, phases and members of ``phases(method, phase, id)``, retained calls, open gates, excluded calls, merges and splits of ``decisions(action)``."""
+    one = phases.agg(F.count_distinct("method").alias("methods"), F.count_distinct("method", "phase").alias("phases"), F.count("*").alias("members"))
+    acts = decisions.agg(F.count_if(F.col("action") == "MERGE").alias("merges"), F.count_if(F.col("action") == "SPLIT").alias("splits"))
+    sizes = [df.agg(F.count("*").alias(name)) for name, df in (("retained", retained), ("unresolved", gates), ("excluded", excluded))]
+    for df in (*sizes, acts):
+        one = one.crossJoin(df)  # single rows
+    return one
+
+
+def retained_calls(counts: DataFrame, calls: DataFrame) -> DataFrame:
+    """Calls ``(method, call, target)`` that are retained: a target's effective count is over one or unknown. ``counts(method, count)`` as of ``effective_counts``."""
+    known = counts.select(F.col("method").alias("target"), F.col("count"), F.lit(True).alias("__known"))
+    return calls.join(known, "target").where("count is null or count > 1").select("method", "call").distinct()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callweave.operators.gates import number
 from callweave.operators.graph import components
 from callweave.session import materialize
 
@@ -119,7 +122,7 @@ def knn(vectors: DataFrame, *, k: int = 5, key: str = "vec_id", vector: str = "e
 
 def density_clusters(vectors: DataFrame, *, min_cluster: int = 5, min_samples: int = 3, neighbours: int = 10, levels: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8, 1.0), key: str = "vec_id") -> DataFrame:
     """``(key, label)``: components of mutual-reachability edges at rising distances; a node takes the first level at
-    which its component has ``min_cluster`` members, the component of that level keeps its name; -1 is noise."""
+    which its component has ``min_cluster`` members; clusters are numbered from 0 by their smallest key, -1 is noise."""
     near = materialize(knn(vectors, k=neighbours, key=key).withColumn("d", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity")))))
     core = near.where(F.col("rank") == min(min_samples, neighbours)).select(F.col(key).alias("id"), F.col("d").alias("core"))
     edges = near.select(F.col(key).alias("src"), F.col("neighbour").alias("dst"), "d").join(core.select(F.col("id").alias("src"), F.col("core").alias("a")), "src").join(core.select(F.col("id").alias("dst"), F.col("core").alias("b")), "dst")
@@ -136,7 +139,10 @@ def density_clusters(vectors: DataFrame, *, min_cluster: int = 5, min_samples: i
         found = materialize(found.join(big, "root", "left_semi").select("id", "root"))
         done = found if done is None else materialize(done.unionByName(found))
     rows = vectors.select(key)
-    return rows.withColumn("label", F.lit(-1).cast("long")) if done is None else rows.join(done.withColumnRenamed("id", key), key, "left").select(key, F.coalesce("root", F.lit(-1)).alias("label"))
+    if done is None:
+        return rows.withColumn("label", F.lit(-1).cast("long"))
+    named = number(done, "root", "label").select(F.col("id").alias(key), (F.col("label") - 1).cast("long").alias("label"))
+    return rows.join(named, key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def embed(docs: DataFrame, *, key: str, text: str = "text", features: int = 4096, dimensions: int | None = None) -> DataFrame:
@@ -195,3 +201,70 @@ def topic_report(operations: DataFrame, assignments: DataFrame, topics: DataFram
     rows = operations.select("op_id").join(assignments, "op_id", "left").select("op_id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
     named = rows.join(topics.select("label", "name"), "label", "left")
     return named.select("op_id", "label", "similarity", F.when(F.col("label") == -1, "Unassigned").otherwise(F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("topic "), F.col("label").cast("string")))).alias("topic"))
+
+
+def build_clusters(members: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(label, n_members, terms)`` of every label, -1 included, from ``members(name, label)`` and ``terms(cluster, term, rank)``; the members stay a table."""
+    top = terms.groupBy(F.col("cluster").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))
+    return members.groupBy("label").agg(F.count("*").alias("n_members")).join(top, "label", "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+
+
+def name_clusters(clusters: DataFrame, answers: DataFrame) -> DataFrame:
+    """``clusters(label, terms, …)`` with ``name``: the answer ``(label, name)``, else the first term, else ``unlabeled``."""
+    return clusters.join(answers.select("label", "name"), "label", "left").withColumn("name", F.coalesce("name", F.get("terms", F.lit(0)), F.lit("unlabeled")))
+
+
+def prepared(documents: DataFrame, *, text: str = "text") -> DataFrame:
+    """Documents whose text isn't blank."""
+    return documents.where(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", " ")) != "")
+
+
+def readme_packages(readmes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(path, package)``: the common dotted prefix of the packages of all ``classes(filename, package)`` below the folder of ``readmes(path)``; without a class: null."""
+    folder = lambda c: F.regexp_extract(c, "^(.*)/[^/]*$", 1)
+    parts = F.split(folder(F.col("filename")), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    held = classes.where("package is not null").select("package", F.explode(F.array_distinct(above)).alias("folder")).distinct()
+    inside = readmes.select("path", folder(F.col("path")).alias("folder")).join(held, "folder")
+    return readmes.select("path").join(common_prefix(inside, by="path"), "path", "left").select("path", F.col("prefix").alias("package"))
+
+
+def topic_list(topics: DataFrame) -> DataFrame:
+    """Topics ``(label, n_members, …)`` with ``place``: more members first, equal ones by label, -1 last. Topics are few."""
+    return topics.withColumn("place", F.row_number().over(W.orderBy(F.col("label") == -1, F.desc("n_members"), "label")))
+
+
+def discover_topics(
+    documents: DataFrame, *, key: str, text: str = "text", terms: str = "text", preset: str = "fine", readmes: DataFrame | None = None, package: str | None = None, answers: DataFrame | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None, force: bool = False
+) -> dict[str, DataFrame]:
+    """Topics of documents: ``members(key, label)``, ``clusters(label, n_members, terms, name, fallback)``, ``centroids`` and ``readmes(label, path)``.
+
+    Blank texts are left out. Embeddings are reduced and clustered by density with the preset's sizes; terms come from
+    class-based TF-IDF. If the clusters are degenerate and there is a ``fallback``, or it is forced, its ``members(key, label)`` take
+    their place; otherwise ``answers(label, name)`` name the clusters. Readmes are attached by the members' ``package``.
+    """
+    if force and fallback is None:
+        raise ValueError("a forced fallback needs one")
+    neighbours, dimensions, least, samples = PRESETS[preset]
+    kept = materialize(prepared(documents, text=text))
+    # The principal components need a matrix of features by features on the driver: 512 make 2 MB.
+    reduced = embed(kept, key=key, text=text, features=512, dimensions=dimensions)
+    vectors = materialize(reduced.select(key, unit(F.transform("embedding", lambda x: x.cast("double"))).alias("embedding")))
+    told = False
+    if force:
+        members, told = fallback(kept), True
+    else:
+        members = materialize(density_clusters(vectors, min_cluster=least, min_samples=samples, neighbours=neighbours, key=key))
+        # Degenerate: one topic or none, or over half of the documents in none.
+        shape = members.agg(F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("topics"), F.count_if(F.col("label") == -1).alias("noise"), F.count("*").alias("n")).first()
+        if fallback is not None and (shape["topics"] < 2 or 2 * shape["noise"] > shape["n"]):
+            members, told = fallback(kept), True
+    members = materialize(members.select(key, "label"))
+    counted = term_counts(kept.join(members, key), cluster="label", text=terms)
+    clusters = build_clusters(members, top_terms(class_tfidf(counted)))
+    none = members.select("label", F.lit(None).cast("string").alias("name")).limit(0)
+    named = name_clusters(clusters, answers if answers is not None and not told else none).withColumn("fallback", F.lit(told))
+    out = {"members": members, "clusters": named, "centroids": centroids(vectors.join(members, key))}
+    if readmes is not None and package is not None:
+        out["readmes"] = attach_readmes(kept.join(members, key).select("label", F.col(package).alias("package")), readmes)
+    return out

@@ -1,5 +1,8 @@
 """DuckDB SQL for the queries, over the same tables."""
 
+from callweave.functions.names import ANGLE_MARKERS
+from callweave.functions.text import STOP_WORDS
+
 CALLS = """calls as (select event_id as id, user_id, ts, event_type as callee, value, cast(json_extract_string(props, '$.k') as int) as k from events)"""
 SEQ = CALLS + """, seq as (select * from (select id as src, lead(id) over (partition by user_id order by ts, id) as dst, k from calls) where dst is not null)"""
 PARTSEQ = """partseq as (select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst from lineitem) where dst is not null)"""
@@ -115,4 +118,50 @@ SQL = {
         union all select 'missing-operation' from lineitem where l_partkey in (select e from m) and l_orderkey not in (select id from o)) select "check", count(*) as n from found group by "check" """,
     "payload_batches": """select doc_id // 32 as batch, '{"schemaVersion":"one","operations":[' || string_agg('{"id":' || doc_id || case when lang is null then '' else ',"entryPoint":"' || lang || '"' end || ',"subsequentMethods":[' || coalesce('"' || source || '"', 'null') || ']}', ',' order by doc_id) || ']}' as payload from documents group by 1""",
     "corpus_text": """select p_partkey as pos, 'Class: ' || p_name || chr(10) || '  Methods: ' || p_type || ', ' || p_brand || chr(10) || '  Members: ' || p_name as text from part""",
+    "throw_edges": f"""with {SEQ} select s.src, s.dst from seq s join calls a on a.id = s.src join calls b on b.id = s.dst where a.callee <> 'error' or b.callee = 'purchase'""",
+    "lambda_calls": """select 'o' || o_orderkey as id from orders where o_orderpriority like '1-%' and not exists (select 1 from customer where c_custkey = o_custkey and c_mktsegment = 'BUILDING')""",
+    "arm_outcomes": """with a as (select l_orderkey as g, l_linenumber as arm, list_sort(list_distinct(list(l_returnflag || '|' || l_linestatus))) as s from lineitem group by all) select g as groupId, count(distinct s) as outcomes from a group by g""",
+    "group_methods": """select o_orderkey as "group", 'c' || o_custkey as method from orders where o_orderstatus = 'F' union select o_orderkey, 's' || l_suppkey from orders join lineitem on l_orderkey = o_orderkey where o_orderstatus <> 'F'""",
+    "direct_flow": f"""with {PARTSEQ} select dst, count(*) as n, min(src) as first, max(src) as last from partseq join part a on a.p_partkey = src join part b on b.p_partkey = dst where a.p_size < 25 and b.p_size < 25 group by dst""",
+    "data_attached": f"""with {PARTSEQ}, {BRANDSEQ} select 'data' as type, src as id, count(*) as n from partseq join part a on a.p_partkey = src join part b on b.p_partkey = dst where a.p_size < 40 and b.p_size < 40 group by src union all select 'sequence', src, count(*) from brandseq group by src""",
+    "membership": f"""with {TREE}, a as (select n_name as operation, 'n' || n_nationkey as m from nation), b as (select operation, dst as m from a join tree on src = m), c as (select operation, dst as m from b join tree on src = m) select m as method, operation from (select * from a union select * from b union select * from c)""",
+    "operation_documents": """with m as (select l_orderkey as operation, l_partkey as k, min(l_linenumber) as pos from lineitem group by all) select operation, pos, 'p' || k as method, coalesce(p_name, 'p' || k) as name from m left join part on p_partkey = k and p_size < 25""",
+    "traversal": f"""with {TREE}, a as (select 'r' || r_regionkey as root, 'r' || r_regionkey as id, 0::bigint as rank from region),
+        b as (select root, dst as id, row_number() over (partition by root order by rank, length(dst), dst) as rank from a join tree on src = id),
+        nb as (select root, count(*) as n from b group by root), c as (select root, dst as id, 0 + (select n from nb where nb.root = b.root) + row_number() over (partition by root order by rank, length(dst), dst) as rank from b join tree on src = id),
+        nc as (select root, count(*) as n from c group by root), d as (select root, dst as id, (select n from nb where nb.root = c.root) + (select n from nc where nc.root = c.root) + row_number() over (partition by root order by rank, length(dst), dst) as rank from c join tree on src = id)
+        select * from a union all select * from b union all select * from c union all select * from d""",
+    "boundaries": f"""with {TURNS}, i as (select conv_id, turn, max(arguments) as a from turns group by all), n as (select conv_id, turn, a, lead(a) over (partition by conv_id order by turn) as b from i),
+        l as (select conv_id, turn, b, unnest(a[1:3]) as "left" from n where b is not null) select conv_id as method, turn::bigint as ordinal, "left", unnest(b[1:2]) as "right" from l""",
+    "evidence": r"""with w as (select doc_id as owner, unnest(string_split_regex(text, '[ \n\t]+')) as value, generate_subscripts(string_split_regex(text, '[ \n\t]+'), 1) - 1 as pos from documents where text is not null),
+        k as (select owner, pos, case when pos % 2 = 0 then 'literal' else 'identifier' end as kind, case when pos % 2 = 0 and regexp_full_match(value, '(".*"|''.*'')', 's') then value[2:-2] else value end as value from w),
+        f as (select owner, kind, value, min(pos) as pos from k where trim(value) <> '' group by all) select owner, kind, count(*) as n, sum(pos)::bigint as places from f group by all""",
+    "failure_counters": """select user_id, event_type as reason, sum(event_id % 3)::bigint as n from events where event_type <> 'view' and event_id % 3 > 0 group by all""",
+    "topic_answers": """with a as (select doc_id, (doc_id % 5 + quality)::int as g from labels), one as (select doc_id, min(g) as g from (select * from a union all select * from a where doc_id % 7 = 0) group by doc_id having count(*) = 1)
+        select d.doc_id as id, case when g in (select r_regionkey - 1 from region) and g <> -1 then g end as label from documents d left join one using (doc_id)""",
+    "cluster_names": """with c as (select label::int as label, count(*) as n_members from embeddings group by all) select label, case when label <> -1 and regexp_matches('Nation ' || n_name, '^[A-Za-z]+( [A-Za-z]+){1,3}$') then 'Nation ' || list_aggregate(list_transform(string_split(n_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), 'string_agg', ' ') else 't' || label end as name,
+        n_members, 't' || label as terms, row_number() over (order by label = -1, n_members desc, label) as place from c left join nation on n_nationkey = label""",
+    "label_subjects": """with s as (select distinct 's' || (conv_id // 2) as id, conv_id as pos from conversations), f as (select id, min(pos) as pos from s group by id),
+        e as (select conv_id as pos, role || case when conv_id % 3 = 0 then '' else turn::varchar end as p, length(text) > 100 as filled from conversations), g as (select pos from e group by pos having count(*) = count(distinct nullif(p, '')) and bool_or(filled)) select id, pos from f where pos in (select pos from g)""",
+    "readme_packages": """with r as (select lower(replace(replace(p_type, '#', ''), ' ', '')) as m, lower(replace(replace(p_brand, '#', ''), ' ', '')) as b from part) select 'src/' || m || '/README.md' as path, 'com.' || m || case when count(distinct b) = 1 then '.' || min(b) else '' end as package from r group by m""",
+    "anchors_check": """with n as (select l_orderkey as g, l_linenumber as k, min(l_returnflag) as f from lineitem group by all), o as (select o_orderkey as g, case when o_orderstatus = 'F' then 'loop' else 'branch' end as kind from orders),
+        a as (select g, 'entry' as role, 1 as k, 'A' as f from o union all select g, 'exit', 2, 'N' from o union all select g, 'decision', 3, 'R' from o where kind = 'branch')
+        select 'bad-' || role as "check", count(*) as n, count(*) as told from a left join n using (g, k) where n.f is null or n.f <> a.f group by role
+        union all select 'no-decision', count(*), count(*) from o where kind = 'branch' and not exists (select 1 from n where n.g = o.g and n.f = 'R') having count(*) > 0""",
+    "exits_check": """with e as (select l_orderkey as g, l_linestatus as a, case when l_linenumber = 1 then 'break' else 'return' end as kind, case when l_returnflag <> 'N' then l_suppkey end as d from lineitem)
+        select 'no-exit' as "check", count(*) as n from orders where not exists (select 1 from e where g = o_orderkey and a = o_orderstatus) having count(*) > 0
+        union all select 'exit-to-unknown', count(*) from e where d is not null and d not in (select s_suppkey from supplier where s_acctbal > 0) having count(*) > 0
+        union all select 'exit-to-nothing', count(*) from e where d is null and kind = 'break' having count(*) > 0""",
+    "visible_graph": """with k as (select event_id as src, lead(event_id) over w as dst, bool_or(event_type = 'click') over w as met from events where event_type <> 'view' window w as (partition by user_id order by ts, event_id)) select src, dst from k where dst is not null and met""",
+    "unfit_roots": """select 'no-body' as "check", c_custkey::varchar as key from customer where c_custkey not in (select o_custkey from orders) union all select 'no-name', c_custkey::varchar from customer where not c_acctbal > 0""",
+    "retained_calls": f"""with {TREE}, m as (select distinct src as method, case when src < 'c5' then 1 else 2 end as own from tree), c as (select method, own as n from m where method like 'c%'),
+        k as (select src as method, dst as call, c.n as n from tree join c on c.method = dst), nn as (select m.method, own + coalesce((select sum(n) from k where k.method = m.method and n > 1), 0) as n from m where m.method like 'n%'),
+        k2 as (select src as method, dst as call, nn.n as n from tree join nn on nn.method = dst) select method, count(*) as n from (select * from k union all select * from k2) where n > 1 group by method""",
+    "scoped_features": """with e as (select user_id, event_type as kind, json_extract_string(props, '$.k') as v from events where event_type in ('click', 'error', 'purchase'))
+        select user_id as node_id, coalesce(string_agg(distinct v, ',' order by v) filter (kind = 'click'), '') as click, coalesce(string_agg(distinct v, ',' order by v) filter (kind = 'error'), '') as error, coalesce(string_agg(distinct v, ',' order by v) filter (kind = 'purchase'), '') as purchase, string_agg(distinct kind, ',' order by kind) as observed
+        from e where user_id in (select c_custkey from customer where c_acctbal > 0) group by user_id""",
+    "preprocess": r"""with w as (select doc_id, unnest(string_split_regex(case when MARKED then '' else text end, '[^a-zA-Z0-9]+')) as part, generate_subscripts(string_split_regex(case when MARKED then '' else text end, '[^a-zA-Z0-9]+'), 1) as i from documents),
+        s as (select doc_id, i, unnest(string_split(regexp_replace(regexp_replace(part, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' ')) as x, generate_subscripts(string_split(regexp_replace(regexp_replace(part, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), ' '), 1) as k from w),
+        j as (select doc_id, string_agg(lower(x), ' ' order by i, k) as words from s where length(x) >= 3 and lower(x) not in (STOPS) group by doc_id)
+        select doc_id, length(coalesce(words, ''))::bigint as n_chars, md5(coalesce(words, '')) as digest from documents left join j using (doc_id)""".replace("MARKED", " or ".join(f"contains(text, '{m}')" for m in ANGLE_MARKERS)).replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS)),
 }

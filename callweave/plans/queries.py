@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.functions import names, text
 from callweave.functions.guards import no_guards
 from callweave.functions.signature import overlap
-from callweave.operators import batches, branches, bundle, gates, graph, phases, reports, topics, validate
+from callweave.operators import batches, branches, bundle, gates, graph, phases, reports, scoping, topics, validate
 from callweave.plans.oracles import SQL
 
 
@@ -272,7 +272,164 @@ def comment_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interval join: events between the first and the last purchase of their user."""
     rows = read(spark, sf_dir, "events")
     span = rows.where("event_type = 'purchase'").groupBy("user_id").agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
-    return rows.join(span, "user_id").where("ts between low and high").groupBy("user_id").agg(F.count("*").alias("n"))
+    return scoping.within_lines(rows, span, by="user_id", at="ts", low="low", high="high").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+def throw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors are throws and purchases throw exits: what is left behind errors leads to purchases."""
+    rows = calls(spark, sf_dir)
+    kind = F.when(F.col("callee") == "purchase", "exit").otherwise("call")
+    nodes = rows.select("id", kind.alias("type"), F.when(F.col("callee") == "error", "<operator>.throw").otherwise(F.col("callee")).alias("calleeFullName"), F.when(F.col("callee") == "purchase", "throw").alias("exitKind"))
+    return graph.valid_edges(sequence_edges(rows), nodes).select("src", "dst")
+
+
+def lambda_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are noise calls, but for those that invoke a customer of one segment."""
+    orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.lit("call").alias("type"), F.col("o_orderpriority").alias("calleeFullName"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("dst"))
+    bodies = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.lit("entry").alias("type"), F.col("c_mktsegment").alias("calleeFullName"))
+    invokes = orders.select(F.col("id").alias("src"), "dst", F.lit("invoke").alias("type"))
+    return graph.excluded_calls(orders.drop("dst").unionByName(bodies), invokes, F.col("calleeFullName").startswith("1-"), F.col("calleeFullName") == "BUILDING")
+
+
+def arm_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders branch by line status; an arm's exits are the ship modes and suppliers of its lines."""
+    exits = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("groupId"), F.col("l_linenumber").cast("string").alias("armLabel"), F.col("l_returnflag").alias("kind"), F.col("l_linestatus").alias("destination"))
+    return graph.arm_outcomes(exits).select("groupId", F.col("outcomes").cast("long").alias("outcomes"))
+
+
+def group_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that are done name their clerk; others belong to the suppliers of their lines."""
+    groups = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("c"), F.col("o_custkey").cast("string"))).alias("method"))
+    tags = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("method"))
+    return scoping.group_methods(groups, tags)
+
+
+def direct_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") < 25, "call").otherwise("leaf").alias("type"))
+    return scoping.flow_questions(scoping.direct_flow(part_edges(spark, sf_dir).withColumn("type", F.lit("data")), nodes))
+
+
+def data_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = read(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("id"))
+    found = scoping.attach_data_edges(brand_edges(spark, sf_dir).withColumn("type", F.lit("sequence")), part_edges(spark, sf_dir), nodes)
+    return found.groupBy("type", F.col("src").alias("id")).agg(F.count("*").alias("n"))
+
+
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations that are operations and all methods below them."""
+    starts = read(spark, sf_dir, "nation").select(F.col("n_name").alias("operation"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("entry"))
+    return scoping.memberships(tree_edges(spark, sf_dir), starts)
+
+
+def operation_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("operation"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("method"), F.col("l_linenumber").alias("pos"))
+    documents = read(spark, sf_dir, "part").where("p_size < 25").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("fullName"), F.col("p_name").alias("methodName"))
+    return scoping.operation_documents(members, documents).select("operation", "pos", "method", "name")
+
+
+def traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = tree_edges(spark, sf_dir).withColumn("pos", F.length("dst"))
+    starts = read(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("root")).withColumn("id", F.col("root"))
+    return scoping.traversal_rank(edges, starts)
+
+
+def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are siblings; their arguments are both frontiers."""
+    rows = turns(spark, sf_dir).groupBy("conv_id", "turn").agg(F.max("arguments").alias("entry"))
+    items = rows.select(F.col("conv_id").alias("method"), F.lit("").alias("container"), F.col("turn").alias("ordinal"), F.slice("entry", 1, 2).alias("entry"), F.slice("entry", 1, 3).alias("exit"))
+    found = scoping.boundary_pairs(items)
+    return found.select("method", F.col("ordinal").cast("long").alias("ordinal"), "left", "right")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents own the quoted and plain words of their texts."""
+    words = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("owner"), F.posexplode(F.split("text", "[ \n\t]+")).alias("pos", "value"))
+    kind = F.when(F.col("pos") % 2 == 0, "literal").otherwise("identifier")
+    found = scoping.evidence(words.select("owner", kind.alias("kind"), "value", "pos"))
+    return found.groupBy("owner", "kind").agg(F.count("*").alias("n"), F.sum("pos").alias("places"))
+
+
+def failure_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("reason"), F.when(F.col("event_type") == "view", 0).otherwise(F.col("event_id") % 3).alias("n"))
+    return batches.failure_counters(rows, by="user_id")
+
+
+def topic_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are asked for their topic, labels answer; some twice, some with unknown topics."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    told = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5 + F.col("quality")).cast("int").alias("group_id"))
+    told = told.unionByName(told.where("id % 7 = 0"))
+    topics_of = read(spark, sf_dir, "region").select((F.col("r_regionkey") - 1).cast("int").alias("label"))
+    return batches.topic_answers(docs, told, topics_of)
+
+
+def cluster_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of embeddings are clusters; nations answer for their names."""
+    found = read(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("label")).distinct()
+    told = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("id"), F.concat(F.lit("Nation "), F.initcap("n_name")).alias("label"))
+    names_of = batches.cluster_labels(found, told, text.valid_topic_label)
+    members = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("name"), F.col("label").cast("int").alias("label"))
+    terms = found.select(F.col("label").alias("cluster"), F.concat(F.lit("t"), F.col("label").cast("string")).alias("term"), F.lit(1).alias("rank"))
+    named = topics.name_clusters(topics.build_clusters(members, terms), names_of)
+    return topics.topic_list(named).select("label", "name", "n_members", F.array_join("terms", " ").alias("terms"), F.col("place").cast("long").alias("place"))
+
+
+def label_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns are phases of conversations; equal roles and empty words spoil a subject."""
+    rows = read(spark, sf_dir, "conversations")
+    subjects = rows.select(F.concat(F.lit("s"), F.floor(F.col("conv_id") / 2).cast("string")).alias("id"), F.col("conv_id").alias("pos")).distinct()
+    told = rows.select(F.col("conv_id").alias("pos"), F.concat("role", F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.col("turn").cast("string"))).alias("phase_id"), (F.length("text") > 100).alias("filled"))
+    return batches.label_subjects(subjects, told)
+
+
+def readme_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are classes in folders of type and brand; types have a readme."""
+    low = lambda c: F.lower(F.regexp_replace(c, "[# ]", ""))
+    rows = read(spark, sf_dir, "part").select(low(F.col("p_type")).alias("m"), low(F.col("p_brand")).alias("b"), "p_partkey")
+    classes = rows.select(F.concat_ws("/", F.lit("src"), "m", "b", F.concat(F.lit("C"), F.col("p_partkey").cast("string"))).alias("filename"), F.concat_ws(".", F.lit("com"), "m", "b").alias("package"))
+    return topics.readme_packages(rows.select(F.concat_ws("/", F.lit("src"), "m", F.lit("README.md")).alias("path")).distinct(), classes)
+
+
+def anchors_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are branches whose lines are their anchors by number: entry, exit, decisions."""
+    role = F.element_at(F.create_map(F.lit("A"), F.lit("entry"), F.lit("N"), F.lit("exit"), F.lit("R"), F.lit("decision")), F.col("l_returnflag"))
+    nodes = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("l_returnflag")).select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.lit("structure").alias("type"), F.col("l_orderkey").cast("string").alias("structureGroupId"), role.alias("structureRole"))
+    groups = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "F", "loop").otherwise("branch").alias("kind"), F.concat_ws("-", F.col("o_orderkey").cast("string"), F.lit("1")).alias("entryNodeId"), F.concat_ws("-", F.col("o_orderkey").cast("string"), F.lit("2")).alias("exitNodeId"), F.array(F.concat_ws("-", F.col("o_orderkey").cast("string"), F.lit("3"))).alias("decisions"))
+    return validate.bad_anchors(groups, nodes).groupBy("check").agg(F.count("*").alias("n"), F.count("detail").alias("told"))
+
+
+def exits_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arms = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("groupId"), F.col("o_orderstatus").alias("armLabel"))
+    exits = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("groupId"), F.col("l_linestatus").alias("armLabel"), F.when(F.col("l_linenumber") == 1, "break").otherwise("return").alias("kind"), F.when(F.col("l_returnflag") != "N", F.col("l_suppkey")).alias("destination"))
+    nodes = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("id"))
+    return validate.bad_exits(arms, exits, nodes).groupBy("check").agg(F.count("*").alias("n"))
+
+
+def visible_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views are hidden, clicks are roots."""
+    rows = calls(spark, sf_dir).withColumn("reqs", no_guards())
+    roots = rows.where("callee = 'click'").select("id")
+    return graph.visible_graph(sequence_edges(rows), rows.where("callee = 'view'").select("id"), roots).select("src", "dst")
+
+
+def unfit_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").cast("string").alias("fullName"))
+    own = read(spark, sf_dir, "orders").select(F.lit("call").alias("type"), F.col("o_custkey").cast("string").alias("callerMethod"))
+    return validate.unfit_roots(roots, own, read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))).select("check", "key")
+
+
+def retained_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls of the tree whose target has more than one effective phase, with how many lie below each method."""
+    edges = tree_edges(spark, sf_dir).select(F.col("src").alias("method"), F.col("dst").alias("call"), F.col("dst").alias("target"))
+    methods = edges.select("method").distinct().withColumn("own", F.when(F.col("method") < "c5", 1).otherwise(2))
+    return phases.retained_calls(phases.effective_counts(methods, edges), edges).groupBy("method").agg(F.count("*").alias("n"))
+
+
+def scoped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "events").select(F.col("user_id").alias("node_id"), F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("value"))
+    found = scoping.call_features(rows, ("click", "error", "purchase"))
+    kept = scoping.scoped_features(found, read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id")))
+    return kept.select("node_id", *(F.array_join(c, ",").alias(c) for c in ("click", "error", "purchase", "observed")))
 
 
 def topic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -392,7 +549,7 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.class_text(docs)
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text)
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

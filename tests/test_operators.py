@@ -1,5 +1,7 @@
 """Small literal tables for operators and functions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,9 +24,10 @@ def routes(df):
     return sorted((r["src"], r["dst"], tuple(tuple(g) for g in r["reqs"])) for r in df.collect())
 
 
-def test_two_guarded_routes_stay(spark):
-    e = edges(spark, ("before", "a", ("g", "if")), ("a", "after"), ("before", "b", ("g", "else")), ("b", "after"))
-    assert routes(graph.bridge(e, ids(spark, "a", "b"))) == [("before", "after", (("g", "else"),)), ("before", "after", (("g", "if"),))]
+def test_routes_of_different_guards_are_different_edges(spark):
+    rows = [("in", "skip1", ("tax", "due")), ("skip1", "skip2"), ("skip2", "out"), ("in", "skip3"), ("skip3", "out", ("vat", "none"), ("tax", "free")), ("skip2", "far")]
+    want = [("in", "far", (("tax", "due"),)), ("in", "out", (("tax", "due"),)), ("in", "out", (("vat", "none"), ("tax", "free")))]
+    assert routes(graph.bridge(edges(spark, *rows), ids(spark, "skip1", "skip2", "skip3"))) == sorted(want)
 
 
 def test_nested_guards_add_up_and_conflicts_end(spark):
@@ -78,16 +81,20 @@ def sig(spark, left, right):
     return spark.createDataFrame([(full(left), full(right))], f"a {kind}, b {kind}")
 
 
-def test_weighted_overlap(spark):
-    df = sig(spark, {"inputs": ["order"], "arguments": ["customer", "order"]}, {"inputs": ["locale", "order", "session"], "arguments": ["customer", "payment"]})
-    top, bottom = df.select(*signature.score("a", "b", {"inputs": 0.75, "arguments": 0.65})).first()
-    assert top == pytest.approx((0.75 + 0.65 * 0.5) / 1.4)
-    assert bottom == pytest.approx(1.4)
-
-
-def test_unobserved_is_not_negative(spark):
-    top, bottom = sig(spark, {"inputs": ["a"]}, {"inputs": ["b"], "observed": ["inputs"]}).select(*signature.score("a", "b")).first()
-    assert (top, bottom) == (0.0, 0.0)
+def test_scores_by_definition(spark):
+    """Random signatures against a plain reading of the rule."""
+    rng = random.Random(12)
+    pick = lambda: {d: rng.sample("pqrst", rng.randint(0, 3)) for d in signature.WEIGHTS} | {"observed": rng.sample(list(signature.WEIGHTS), rng.randint(0, 6))}
+    for _ in range(12):
+        a, b = pick(), pick()
+        top = bottom = 0.0
+        for d, weight in signature.WEIGHTS.items():
+            common = len(set(a[d]) & set(b[d]))
+            if common or (d in a["observed"] and d in b["observed"] and a[d] + b[d]):
+                bottom += weight
+                top += weight * common / max(1, min(len(a[d]), len(b[d])))
+        got = sig(spark, a, b).select(*signature.score("a", "b")).first()
+        assert tuple(got) == pytest.approx((top / bottom if bottom else 0.0, bottom))
 
 
 def calls(spark, *rows):
@@ -104,9 +111,13 @@ def test_segments_and_gates(spark):
 
 
 def test_effective_counts(spark):
-    m = spark.createDataFrame([("top", 1), ("mid", 2), ("x", 1), ("y", 1)], "method string, own int")
-    c = spark.createDataFrame([("top", "k1", "mid"), ("x", "k2", "y"), ("y", "k3", "x"), ("top", "k4", "external")], "method string, call string, target string")
-    assert {r[0]: r[1] for r in phases.effective_counts(m, c).collect()} == {"top": 3, "mid": 2, "x": None, "y": None}
+    own = {"top": 1, "mid": 2, "one": 1, "x": 1, "y": 1, "above": 1, "beside": 3, "self": 1}
+    data = [("top", "k1", "mid"), ("top", "k2", "one"), ("top", "k2", "mid"), ("top", "k3", "outside"), ("x", "k4", "y"), ("y", "k5", "x"), ("above", "k6", "x"), ("x", "k7", "mid"), ("self", "k8", "self"), ("beside", "k9", "one")]
+    m, c = spark.createDataFrame(list(own.items()), "method string, own int"), spark.createDataFrame(data, "method string, call string, target string")
+    counts = phases.effective_counts(m, c)
+    assert {r[0]: r[1] for r in counts.collect()} == {"top": 5, "mid": 2, "one": 1, "x": None, "y": None, "above": None, "beside": 3, "self": None}
+    assert sorted(map(tuple, phases.retained_calls(counts, c).collect())) == [("above", "k6"), ("self", "k8"), ("top", "k1"), ("top", "k2"), ("x", "k4"), ("x", "k7"), ("y", "k5")]
+    assert phases.effective_counts(m.limit(0), c).count() == 0
 
 
 def test_class_tfidf(spark):
