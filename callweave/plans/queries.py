@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.functions import names, text
 from callweave.functions.guards import no_guards
 from callweave.functions.signature import overlap
-from callweave.operators import batches, branches, bundle, gates, graph, phases, reports, scoping, topics, validate
+from callweave.operators import batches, branches, bundle, gates, graph, methods, phases, reports, scoping, topics, validate
 from callweave.plans.oracles import SQL
 
 
@@ -246,6 +246,20 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("run", F.col("pos").cast("long").alias("pos"), F.col("phase").cast("long").alias("phase"))
 
 
+def method_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are methods, turns their calls; from the third turn on, pairs of turns lie in arms by their role. Held against a plain reading in the tests."""
+    rows = turns(spark, sf_dir).groupBy("conv_id", "turn").agg(F.min(F.struct("role", "inputs", "arguments")).alias("x")).select("conv_id", "turn", "x.*")
+    key = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    arm = F.struct(F.concat_ws("-", F.col("conv_id").cast("string"), F.lit("g"), F.floor(F.col("turn") / 2).cast("string")).alias("groupId"), F.col("role").alias("armLabel"))
+    none = F.array().cast("array<string>")
+    path = F.when(F.col("turn") >= 2, F.array(arm)).otherwise(no_guards())
+    made = rows.select(F.col("conv_id").alias("method"), key.alias("id"), F.col("turn").cast("int").alias("rank"), F.when(F.col("turn") >= 2, F.floor(F.col("turn") / 2)).otherwise(0).cast("string").alias("run"), path.alias("arm_path"), F.lit(True).alias("eligible"), (F.col("turn") % 11 == 10).alias("retained"))
+    observed = F.array(*map(F.lit, ("receivers", "inputs", "arguments")))
+    signed = rows.select(key.alias("id"), F.array("role").alias("receivers"), "inputs", "arguments", *(none.alias(c) for c in ("fields_read", "fields_written", "domain_types", "method_terms", "output_types")), observed.alias("observed"))
+    found, _ = methods.analyse_methods(made, signed, made.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0))
+    return found.select("method", "id", "phase", F.col("at").cast("long").alias("at"), F.col("seq").cast("long").alias("seq"))
+
+
 def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.when(F.col("doc_id") % 2 == 0, "/* open\nstill\n*/\n").otherwise("// one\n\n"), F.col("text")).alias("text"))
     return reports.line_stats(rows, key="doc_id")
@@ -549,7 +563,7 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.class_text(docs)
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features)
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
