@@ -218,6 +218,11 @@ def test_run_summary(spark):
     assert got == {"methods": 2, "phases": 3, "members": 3, "retained": 1, "unresolved": 0, "excluded": 0, "merges": 2, "splits": 1}
 
 
+def test_outbound_edges_belong_to_their_source(spark):
+    e = table(spark, "src string, dst string, type string", ("a", "x", "invoke"), ("a", "b", "sequence"), ("q", "x", "invoke"))
+    assert pairs(scoping.outbound_invokes(e, table(spark, "id string, owner_entry_id string", ("a", "m"), ("b", "m"))), "owner_entry_id", "src", "dst") == [("m", "a", "x")]
+
+
 def test_interval_edges(spark):
     points = table(spark, "file string, line int", ("f", 3), ("f", 9), ("g", 3))
     spans = table(spark, "file string, start int, `end` int, method string", ("f", 1, 5, "a"), ("f", 9, None, "b"), ("f", None, 9, "c"))
