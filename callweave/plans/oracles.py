@@ -85,7 +85,7 @@ SQL = {
         select conv_id, turn, role, pos, label, regexp_matches(label, '^[\p{L}\p{N}]+(?:[''’.\-‐-―][\p{L}\p{N}]+)*(?:(?:\s+|\s+[&/\-‐-―]\s+)[\p{L}\p{N}]+(?:[''’.\-‐-―][\p{L}\p{N}]+)*)+$') and len(regexp_extract_all(label, '[\p{L}\p{N}]+(?:[''’.\-‐-―][\p{L}\p{N}]+)*')) between 2 and 6 as phase_ok,
         regexp_matches(label, '^[A-Za-z]+( [A-Za-z]+){1,3}$') as topic_ok from l""",
     "comment_interval": """with s as (select user_id, min(ts) as low, max(ts) as high from events where event_type = 'purchase' group by user_id) select e.user_id, count(*) as n from events e join s on s.user_id = e.user_id and e.ts between s.low and s.high group by e.user_id""",
-    "topic_report": """select d.doc_id as op_id, coalesce(toxic, -1) as label, case when l.doc_id is null then 0.0 else 0.5 end::double as similarity, case when l.doc_id is null then 'Unassigned' when toxic = 0 then 'clean' else 'topic ' || toxic end as topic from documents d left join labels l using (doc_id)""",
+    "topic_report": """select d.doc_id as op_id, coalesce(toxic, -1) as label, case when l.doc_id is null then 0.0::double else (d.doc_id % 17) / 17.0::double end as similarity, case when l.doc_id is null then 'Unassigned' when toxic = 0 then 'clean' else 'topic ' || toxic end as topic from documents d left join labels l using (doc_id)""",
     "run_totals": """select event_type, count(*) as calls, count(*) filter (event_type <> 'error') as successes, round(sum(value), 3) as duration from events group by event_type""",
     "dangling_edges": f"""with {PARTSEQ}, k as (select p_partkey as id from part where p_size < 40), x as (select src as key from partseq where src not in (select id from k) union all select dst from partseq where dst not in (select id from k)) select key::varchar as key, count(*) as n from x group by key""",
     "data_edges": f"""with {PARTSEQ} select src::varchar as key, count(*) as n from partseq where not src < dst group by src""",

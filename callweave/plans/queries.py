@@ -447,7 +447,7 @@ def scoped_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("op_id"), F.col("toxic").alias("label"), F.lit(0.5).alias("similarity"))
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("op_id"), F.col("toxic").alias("label"), (F.col("doc_id") % 17 / 17.0).alias("similarity"))
     tops = read(spark, sf_dir, "labels").select(F.col("toxic").alias("label")).distinct().withColumn("name", F.when(F.col("label") == 0, "clean"))
     return topics.topic_report(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("op_id")), labels, tops)
 
