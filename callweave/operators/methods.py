@@ -1,4 +1,4 @@
-"""Phase analysis of whole methods: runs cut to phases, phases merged across boundaries, methods bottom-up.
+"""Phase analysis of whole methods: runs cut to phases, phases merged across boundaries, methods bottom-up, retained calls put back.
 
 Nested structures stay flat tables: a call has the path of its arms, an item (run or branch group) its container and
 place. All methods of a level go through each step together.
@@ -6,14 +6,17 @@ place. All methods of a level go through each step together.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.signature import DIMENSIONS, verdict
 from callweave.operators.branches import nest_structure
-from callweave.operators.graph import peel
-from callweave.operators.phases import core_signature, segment_runs, tagged
+from callweave.operators.gates import gate_questions, resolve_gates, retained_frontiers
+from callweave.operators.graph import peel, reach
+from callweave.operators.phases import core_signature, effective_counts, segment_runs, tagged
 from callweave.session import Rounds, materialize, release
 
 #: Behind every place among siblings.
@@ -188,3 +191,95 @@ def analyse_bottom_up(calls: DataFrame, targets: DataFrame, signatures: DataFram
         counts.add(ready.join(own, "method", "left").join(more, "method", "left").select("method", total.cast("long").alias("count")))
         left = materialize(left.join(ready.select("method"), "method", "left_anti"))
     return members.all(), gates.all(), kept.all(), counts.all()
+
+
+def recheck_retained(members: DataFrame, gates: DataFrame, retained: DataFrame, targets: DataFrame, near: DataFrame, signatures: DataFrame, flow: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(members, gates, retained)`` after every retained call whose targets have one phase at most is put back, until there is none.
+
+    ``members`` and ``gates`` as of ``analyse_methods``, ``retained(method, id, rank)``, ``targets(id, target)``, ``near(method, id, before, after)`` as
+    of ``retained_frontiers``. The call joins the phases of its neighbours that it is related to, by flow or a field between the two
+    calls or by the phase's core signature: those before it, then the call, then those behind. The new phase takes the place of the
+    earliest of them; without one, the place before its earliest neighbour; without a neighbour, the end. Gates inside of it go. A round
+    puts back the first such call, by ``rank``, of each method below which no other method has one; where all wait for each other, of each method.
+    """
+    full = F.struct(*DIMENSIONS, "observed")
+    tags = signatures.select("id", F.flatten(F.array(*map(tagged, (*DIMENSIONS, "observed")))).alias("values"))
+    direct = flow.select(F.col("src").alias("l"), F.col("dst").alias("r"), F.lit(True).alias("__flow")).distinct()
+    now, open_, held = materialize(members.withColumn("at", F.col("at").cast("double"))), materialize(gates), materialize(retained.select("method", "id", "rank"))
+    everyone = materialize(members.select("method").unionByName(retained.select("method")).unionByName(targets.join(members.select(F.col("method").alias("target")), "target", "left_semi").select(F.col("target").alias("method"))).distinct())
+    while True:
+        own = everyone.join(now.groupBy("method").agg(F.count_distinct("phase").alias("own")), "method", "left").select("method", F.coalesce("own", F.lit(0)).alias("own"))
+        calls = held.join(targets, "id").select("method", F.col("id").alias("call"), "target")
+        counts = effective_counts(own, calls)
+        worst = calls.join(counts.select(F.col("method").alias("target"), "count", F.lit(True).alias("__known")), "target").groupBy("method", F.col("call").alias("id")).agg(F.max("count").alias("most"), F.bool_or(F.col("count").isNull()).alias("unknown"))
+        loose = materialize(held.join(worst, ["method", "id"], "left").where("not coalesce(unknown, false) and coalesce(most, 0) <= 1").select("method", "id", "rank"))
+        if loose.isEmpty():
+            return now, open_, held
+        up = calls.select(F.col("target").alias("src"), F.col("method").alias("dst")).distinct()
+        above = reach(up, loose.select(F.col("method").alias("root"), F.col("method").alias("id")).distinct()).where("level > 0").select(F.col("id").alias("method")).distinct()
+        ready = loose.join(above, "method", "left_anti")
+        ready = loose if ready.isEmpty() else ready
+        picked = materialize(ready.groupBy("method").agg(F.min_by("id", F.struct("rank", "id")).alias("id")))
+        found = picked.join(near, ["method", "id"], "left")
+        sides = [found.select("method", "id", F.lit(s).alias("side"), F.posexplode(c).alias("pos", "f")) for s, c in ((0, "before"), (2, "after"))]
+        beside = sides[0].unionByName(sides[1]).join(now.select("method", F.col("id").alias("f"), "phase", "at"), ["method", "f"])
+        beside = beside.join(signatures.select(F.col("id").alias("f"), full.alias("__f")), "f", "left").join(signatures.select("id", full.alias("__c")), "id", "left")
+        first = F.col("side") == 0
+        beside = beside.withColumns({"l": F.when(first, F.col("f")).otherwise(F.col("id")), "r": F.when(first, F.col("id")).otherwise(F.col("f"))}).join(direct, ["l", "r"], "left")
+        writes = F.when(first, F.arrays_overlap("__f.fields_written", "__c.fields_read")).otherwise(F.arrays_overlap("__c.fields_written", "__f.fields_read"))
+        key = F.struct("method", "phase")
+        core = core_signature(now.join(beside.select("method", "phase").distinct(), ["method", "phase"], "left_semi").join(tags, "id").select(key.alias("key"), "values"), by="key", values="values")
+        none = F.struct(*(F.array().cast("array<string>").alias(d) for d in (*DIMENSIONS, "observed")))
+        told = beside.join(core.select("key.method", "key.phase", as_signature(F.col("core")).alias("__p")), ["method", "phase"], "left")
+        told = told.withColumns({"__p": F.coalesce("__p", none), "__c": F.coalesce("__c", none)})
+        related = F.coalesce("__flow", F.lit(False)) | F.coalesce(writes, F.lit(False)) | (verdict("__p", "__c")["verdict"] == "RELATED")
+        told = materialize(told.select("method", "phase", "at", "side", "pos", related.alias("related")))
+        joins = told.where("related").groupBy("method", "phase").agg(F.min(F.struct("side", "pos")).alias("turn"))
+        name = joins.groupBy("method").agg(F.min_by("phase", "turn").alias("name"))
+        place = told.groupBy("method").agg(F.min(F.when(F.col("related"), F.col("at"))).alias("to"), (F.min("at") - 0.5).alias("before"))
+        end = now.groupBy("method").agg((F.max("at") + 1).alias("end"))
+        home = picked.join(name, "method", "left").join(place, "method", "left").join(end, "method", "left")
+        home = materialize(home.select("method", F.col("id").alias("call"), F.coalesce("name", "id").alias("name"), F.coalesce("to", "before", "end", F.lit(1.0)).alias("to")))
+        moving = now.join(joins, ["method", "phase"]).join(home, "method").select("method", F.col("name").alias("phase"), F.col("to").alias("at"), "id", F.struct("turn.side", "turn.pos", "seq").alias("o"))
+        back = home.select("method", F.col("name").alias("phase"), F.col("to").alias("at"), F.col("call").alias("id"), F.struct(F.lit(1).alias("side"), F.lit(0).alias("pos"), F.lit(0).alias("seq")).alias("o"))
+        moved = moving.unionByName(back).withColumn("seq", F.row_number().over(W.partitionBy("method", "phase").orderBy("o")) - 1).drop("o")
+        rest = now.join(joins.select("method", "phase"), ["method", "phase"], "left_anti")
+        after = rest.select("method", "phase", "at", "id", "seq").unionByName(moved)
+        # Places are counted anew, so that halves never meet.
+        order = after.groupBy("method", "phase").agg(F.min("at").alias("at")).withColumn("nth", F.row_number().over(W.partitionBy("method").orderBy("at", "phase")).cast("double"))
+        after = materialize(after.drop("at").join(order.select("method", "phase", F.col("nth").alias("at")), ["method", "phase"]).select("method", "phase", "at", "id", "seq"))
+        inside = lambda s: moved.select("method", F.col("id").alias(s), F.lit(True).alias(f"__{s}"))
+        kept = materialize(open_.join(inside("left_id"), ["method", "left_id"], "left").join(inside("right_id"), ["method", "right_id"], "left").where("__left_id is null or __right_id is null").select(*open_.columns))
+        fewer = materialize(held.join(picked, ["method", "id"], "left_anti").select("method", "id", "rank"))
+        release(now, open_, held, loose, picked, told, home)
+        now, open_, held = after, kept, fewer
+
+
+def analyse_phases(calls: DataFrame, targets: DataFrame, signatures: DataFrame, flow: DataFrame, answer: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
+    """The whole phase analysis: ``members``, ``gates``, ``retained``, ``questions`` about open gates and ``decisions``.
+
+    ``calls`` as for ``analyse_bottom_up`` with ``callee`` and ``code``; excluded calls are not eligible. ``answer`` takes the questions and
+    gives ``(method, gate, action, confidence, evidence)``; its merges are made, retained calls that then lead to one phase at most are
+    put back, and the questions are asked anew. Without it there are no decisions. Questions of a method are in the order of their gates.
+    """
+    members, gates, kept, counts = analyse_bottom_up(calls, targets, signatures, flow)
+
+    def questions(gates: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+        place = F.row_number().over(W.partitionBy("method").orderBy("gate", "left_id", "right_id"))
+        listed = gates.select("method", "gate", "left_id", "right_id", F.array().cast("array<string>").alias("evidence"), place.alias("pos"))
+        return listed, gate_questions(listed, members.join(calls.select("id", "callee", "code"), "id"), signatures)
+
+    listed, asked = questions(gates, members)
+    out = {"members": members, "gates": gates, "retained": kept, "counts": counts, "questions": asked}
+    if answer is None:
+        return out
+    listed = materialize(listed)
+    after, left, decisions = resolve_gates(members, listed, answer(asked))
+    items, arms = (materialize(df) for df in nest_structure(calls))
+    ends = frontiers(items, arms).groupBy("method", "container", "kind", "key", "side").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias("ids"))
+    end = lambda side: ends.where(F.col("side") == side).select("method", "container", "kind", "key", F.col("ids").alias(side))
+    shown = items.join(end("entry"), ["method", "container", "kind", "key"], "left").join(end("exit"), ["method", "container", "kind", "key"], "left")
+    near = retained_frontiers(shown, kept.select("method", "id"))
+    ranked = kept.select("method", "id").join(calls.select("id", "rank"), "id")
+    after, left, kept = recheck_retained(after, left.select("method", "gate", "left_id", "right_id"), ranked, targets, near, signatures, flow)
+    return out | {"members": after, "gates": left, "retained": kept, "questions": questions(left, after)[1], "decisions": decisions}

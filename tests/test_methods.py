@@ -180,3 +180,94 @@ def test_bottom_up(spark, random_methods):
     want = sizes | {names[i]: None for i in (4, 5, 6, 7)}
     assert {r["method"]: r["count"] for r in counts.collect()} == want
     assert {r["id"]: r["count"] for r in retained.collect()} == kept | {ids[i][0]: None for i in (4, 5, 6, 7)}
+
+
+def test_retained_calls_come_back(spark, random_methods):
+    """Against a plain loop over methods from the last to the first, whose calls lead to later ones."""
+    found, rng = random_methods
+    found = found[:10]
+    calls, sigs = tables(spark, found)
+    ids = [[r[1] for r in rows] for _, rows, _ in found]
+    names = [rows[0][0] for _, rows, _ in found]
+    every = {c: s for _, _, ss in found for c, s in ss.items()}
+    members, gates, retained, near, targets, flow = [], [], [], [], [], set()
+    state = {}
+    for i, name in enumerate(names):
+        held = set(rng.sample(ids[i], min(len(ids[i]), rng.randint(1, 3))))
+        free = [c for c in ids[i] if c not in held]
+        phases, at = [], 0
+        while at < len(free):
+            n = rng.randint(1, 3)
+            phases.append(free[at : at + n])
+            at += n
+        for k, p in enumerate(phases):
+            members += [(name, p[0], k + 1, c, n) for n, c in enumerate(p)]
+        pairs = list(zip(free, free[1:]))
+        gates += [(name, f"{a}-{b}", a, b) for a, b in pairs]
+        fronts = {c: (rng.sample(ids[i], min(len(ids[i]), rng.randint(0, 2))), rng.sample(ids[i], min(len(ids[i]), rng.randint(0, 2)))) for c in held}
+        near += [(name, c, *f) for c, f in fronts.items()]
+        retained += [(name, c, ids[i].index(c)) for c in held]
+        leads = {c: rng.choice([*names[i + 1 :], "outside"]) for c in held}
+        targets += leads.items()
+        flow |= {(a, c) for c, (b, _) in fronts.items() for a in b if rng.random() < 0.3}
+        state[name] = {"phases": phases, "gates": pairs, "held": held, "near": fronts, "leads": leads, "ids": ids[i]}
+
+    def count(name):
+        return len(state[name]["phases"]) + sum(n for n in (count(state[name]["leads"][c]) if state[name]["leads"][c] in state else 0 for c in state[name]["held"]) if n > 1)
+
+    for name in reversed(names):
+        s = state[name]
+        while True:
+            loose = [c for c in s["ids"] if c in s["held"] and (s["leads"][c] not in state or count(s["leads"][c]) <= 1)]
+            if not loose:
+                break
+            c = loose[0]
+            sides = []
+            for k, ends in enumerate(s["near"][c]):
+                mine = []
+                for f in ends:
+                    p = next((p for p in s["phases"] if f in p), None)
+                    if p is None:
+                        continue
+                    a, b = (f, c) if k == 0 else (c, f)
+                    if (a, b) in flow or every[a]["fields_written"] & every[b]["fields_read"] or judge(core([every[x] for x in p]), every[c]) == "RELATED":
+                        mine.append(p)
+                sides.append(mine)
+            related = sides[0] + sides[1]
+            beside = related or [p for ends in s["near"][c] for f in ends for p in s["phases"] if f in p]
+            place = min((s["phases"].index(p) for p in beside), default=len(s["phases"]))
+            new = list(dict.fromkeys([x for p in sides[0] for x in p] + [c] + [x for p in sides[1] for x in p]))
+            s["phases"] = [p for p in s["phases"] if not any(p is q for q in related)]
+            s["phases"].insert(place, new)
+            s["held"].discard(c)
+            s["gates"] = [(a, b) for a, b in s["gates"] if not (a in new and b in new)]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = methods.recheck_retained(
+        frame(members, "method string, phase string, at int, id string, seq int"), frame(gates, "method string, gate string, left_id string, right_id string"), frame(retained, "method string, id string, rank int"), frame(targets, "id string, target string"),
+        frame(near, "method string, id string, before array<string>, after array<string>"), sigs, frame(sorted(flow) or [("-", "-")], "src string, dst string"),
+    )
+    phases = {}
+    for r in got[0].orderBy("method", "at", "seq").collect():
+        phases.setdefault(r["method"], {}).setdefault(r["at"], []).append(r["id"])
+    assert {m: list(p.values()) for m, p in phases.items()} == {m: s["phases"] for m, s in state.items() if s["phases"]}
+    assert sorted(r["gate"] for r in got[1].collect()) == sorted(f"{a}-{b}" for s in state.values() for a, b in s["gates"])
+    assert {r["id"] for r in got[2].collect()} == {c for s in state.values() for c in s["held"]}
+
+
+def test_whole_analysis(spark, random_methods):
+    """Every call is in one phase or retained; merges leave no gate between phases; callees of one phase are put back."""
+    found = random_methods[0][10:12]
+    calls, sigs = tables(spark, found)
+    calls = calls.withColumns({"callee": F.col("id"), "code": F.lit("x()")})
+    ids = [[r[1] for r in rows] for _, rows, _ in found]
+    names = [rows[0][0] for _, rows, _ in found]
+    targets = spark.createDataFrame([(ids[0][0], names[1])], "id string, target string")
+    flow = spark.createDataFrame([], "src string, dst string")
+    plain = methods.analyse_phases(calls, targets, sigs, flow)
+    yes = lambda asked: asked.select("method", "gate", F.lit("MERGE").alias("action"), F.lit(0.9).alias("confidence"), F.lit("same").alias("evidence"))
+    got = methods.analyse_phases(calls, targets, sigs, flow, yes)
+    assert plain["questions"].count() == plain["decisions"].count() if "decisions" in plain else plain["questions"].count() > 0
+    placed = [r["id"] for r in got["members"].collect()] + [r["id"] for r in got["retained"].collect()]
+    assert sorted(placed) == sorted(c for x in ids for c in x)
+    assert got["questions"].count() == 0 and got["decisions"].where("action = 'MERGE'").count() > 0
+    assert got["members"].select("method", "phase").distinct().count() < plain["members"].select("method", "phase").distinct().count()
