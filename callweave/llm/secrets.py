@@ -82,9 +82,10 @@ def secrets(docs: DataFrame, *, owner: str = "source", repository: str = "doc_id
     keep = tuple(dict.fromkeys(("doc_id", owner, repository)))
     rows, placed = spans(docs, keep=keep)
     placed = materialize(beside_base(placed))
+    # The salted table grows with the corpus, so it is merged, not sent to all tasks.
     live = (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories)
     salted = ownership(placed, owner=owner, repository=repository).select("hash", live.alias("live"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    judged = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["hash", "salt"])
+    judged = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["hash", "salt"])
     base = F.col("kind") != OWNED
     span = F.struct("start", "kind", "end")
     count = lambda test: F.count(F.when(test, 1))
