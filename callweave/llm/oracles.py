@@ -123,3 +123,44 @@ by_row as (select r, count(*) filter (kind = 0) as n_assign, count(*) filter (ki
     count(*) filter (kind <> {OWNED} and live) as n_live, count(*) filter (kind <> {OWNED} and not live) as n_copied, {said} filter (kind <> {OWNED}) as base, {said} as spans from judged group by r)
 select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
     coalesce(n_owned, 0) as n_owned, coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied from d left join by_row using (r)"""
+
+
+def phrase_list() -> str:
+    """Operator 11: all phrases of one to three words counted as strings; 128-bit integers for the scores."""
+    return rf"""
+with d as (select coalesce(lang, 'und') as lang, {LOWER.format("coalesce(text, '')")} as low from documents),
+p as (select lang, unnest(string_split_regex(low, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as materialized (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+each as (select lang, size, unnest(list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))) as phrase
+    from w join (values (1), (2), (3)) s(size) on len(words) >= size),
+f as materialized (select lang, phrase, size, count(*) as f from each group by all having count(*) >= 10),
+n as (select lang, sum(len(words))::bigint as n from w group by lang),
+c as materialized (select lang, phrase, f as a, string_split(phrase, ' ') as words from f where size >= 2),
+cuts as (select lang, phrase, a, k, array_to_string(words[1:k], ' ') as head, array_to_string(words[k + 1:], ' ') as rest from c join (values (1), (2)) s(k) on k < len(words)),
+scored as (select cuts.lang, cuts.phrase, a, k, l.f as l, r.f as r, (1000000::hugeint * a * a // (l.f::hugeint * r.f))::bigint as score
+    from cuts join f l on l.lang = cuts.lang and l.phrase = head join f r on r.lang = cuts.lang and r.phrase = rest),
+best as (select * from (select *, row_number() over (partition by lang, phrase order by score, k) as nth from scored) where nth = 1),
+around as (select lang, phrase, max(a) as longer from (select lang, unnest([array_to_string(words[1:2], ' '), array_to_string(words[2:3], ' ')]) as phrase, a from c where len(words) = 3) group by all),
+kept as (select best.* from best left join around using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000"""
+
+
+def trie() -> str:
+    """Operator 13: prefixes as strings of digests, subtrees by the start of these strings."""
+    bits = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))"
+    crc = f"xor(list_reduce(list_concat([4294967295], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)), lambda c, b: {bits}), 4294967295)"
+    return rf"""
+with o as materialized (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as p,
+        coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+sizes as (select c, count(*) as size from o group by c),
+h as materialized (select c, {crc} % 4 as h, c - ((c % 20) + 20) % 20 as base from sizes),
+t as (select h.c, p as d, role, text from h join o on o.c = base and p <= h union all
+    select h.c, p - h + least(h, coalesce(size, 0)), role, text from h join o on o.c = h.c left join sizes on sizes.c = base where p > h),
+m as materialized (select c, d, string_agg(md5(role) || md5(text), '') over (partition by c order by d) as path, len(regexp_extract_all(text, {WORDS})) as words from t union all select c, 0, '', 0 from h),
+nodes as materialized (select path, d, min(c) as conv_id, count(*) as n, max(words) as words, left(path, length(path) - 64) as up from m group by path, d),
+kids as materialized (select up as path, count(*) as kids from nodes where d > 0 group by up),
+subs as (select v.path, sum((u.n - 1) * u.words)::bigint as saved, count(*) filter (kids is null) as leaves from nodes v join nodes u on starts_with(u.path, v.path) left join kids on kids.path = u.path group by v.path),
+ends as (select path, string_agg(c::varchar, ',' order by c) as ends from (select c, arg_max(path, d) as path from m group by c) group by path)
+select v.conv_id, v.d as depth, u.conv_id as parent_conv_id, v.n as n_convs, coalesce(kids, 0) as n_children, leaves as n_leaves, saved as saved_tokens, sha256(coalesce(ends, '')) as ends_sha256
+from nodes v left join nodes u on v.d > 0 and u.path = v.up left join kids on kids.path = v.path join subs on subs.path = v.path left join ends on ends.path = v.path"""
