@@ -32,7 +32,7 @@ TRANSLATION = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b
 #: A byte that no UTF-8 text holds stands for the end of a piece among the words.
 END = b"\xff"
 #: Bytes of a chunk's text and of a row of it, hashes of a range, bits of a hash.
-CHUNK_BYTES, SLICE_BYTES, RANGE_KEYS, KEY_BITS = 12 << 20, 1 << 16, 2_000_000, 48
+CHUNK_BYTES, SLICE_BYTES, RANGE_KEYS, KEY_BITS = 8 << 20, 1 << 16, 2_000_000, 48
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -141,12 +141,12 @@ def mined(chunks: DataFrame, *, support: int, shards: int, longest: int, range_k
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, shard, lang, rows in runs(batches):
-            found = [np.unique(keys, return_counts=True) for _, _, keys in Numbered(rows, lang).phrases(longest)]
-            keys, counts = (np.concatenate(x) for x in zip(*found))
-            order = keys.argsort(kind="stable")
-            keys, counts = keys[order], counts[order].astype(np.uint32)
+            keys = np.concatenate([keys for _, _, keys in Numbered(rows, lang).phrases(longest)])
             if not len(keys):
                 continue
+            keys.sort()
+            first = np.flatnonzero(np.diff(keys, prepend=keys[:1] + np.uint64(1)))
+            keys, counts = keys[first], np.diff(first, append=len(keys)).astype(np.uint32)
             ranges = (keys >> cut).astype(np.int64)
             starts = np.flatnonzero(np.diff(ranges, prepend=-1))
             squeeze = zstandard.ZstdCompressor(level=1).compress
