@@ -165,3 +165,44 @@ SQL = {
         j as (select doc_id, string_agg(lower(x), ' ' order by i, k) as words from s where length(x) >= 3 and lower(x) not in (STOPS) group by doc_id)
         select doc_id, length(coalesce(words, ''))::bigint as n_chars, md5(coalesce(words, '')) as digest from documents left join j using (doc_id)""".replace("MARKED", " or ".join(f"contains(text, '{m}')" for m in ANGLE_MARKERS)).replace("STOPS", ", ".join(f"'{w}'" for w in STOP_WORDS)),
 }
+
+LINES = """lines as (select distinct l_orderkey as o, l_linenumber as n from lineitem),
+    e0 as materialized (select o, o * 100 + n as src, o * 100 + nxt as dst from (select o, n, lead(n) over (partition by o order by n) as nxt from lines) where nxt is not null
+        union select l_orderkey, l_orderkey * 100 + l_linenumber, l_orderkey * 100 + 1 + l_suppkey % l_linenumber from lineitem where l_returnflag = 'R')"""
+CLOSED = """far(src, dst) as (select src, dst from e0 union select far.src, e0.dst from far join e0 on e0.src = far.dst),
+    ids as (select src as id from e0 union select dst from e0),
+    part as materialized (select ids.id, least(ids.id, coalesce(min(a.dst), ids.id)) as component from ids left join (select a.src, a.dst from far a join far b on a.src = b.dst and a.dst = b.src) a on a.src = ids.id group by ids.id)"""
+SQL["topo_levels"] = f"""with recursive {LINES}, {CLOSED},
+    dag as (select distinct a.component as src, b.component as dst from e0 join part a on a.id = src join part b on b.id = dst where a.component <> b.component),
+    walk(id, level) as (select component, 0 from part union select dst, level + 1 from walk join dag on src = walk.id), top as (select id, max(level) as level from walk group by id),
+    whole as (select part.id, component, level, part.id % 100 as rank, min(part.id % 100) over (partition by component) as first from part join top on top.id = component)
+    select id, component, level, row_number() over (partition by id // 100, level order by first, component, rank, id) as place from whole"""
+SQL["cycle_report"] = f"""with recursive {LINES}, {CLOSED},
+    inner_ as materialized (select src, dst, a.component from e0 join part a on a.id = src join part b on b.id = dst where a.component = b.component),
+    shape as (select component, count(distinct src) as nodes, count(*) as edges from inner_ group by component),
+    walk(component, here, path) as (select distinct component, component, [component] from inner_ union all select walk.component, dst, path || [dst] from walk join inner_ on inner_.src = here where dst <> walk.component and not list_contains(path, dst)),
+    closed as (select walk.component, path, row_number() over (partition by walk.component order by len(path), list_reverse(path)) as r from walk join inner_ on inner_.src = here and inner_.dst = walk.component)
+    select component, nodes, edges, len(path) as length, array_to_string(path, '>') as witness from shape join closed using (component) where r = 1"""
+
+
+def _cut(rounds: int = 8) -> str:
+    """Rounds one after the other: closure of each loop's part, first nodes of its cyclic components, edges to them sent to exits."""
+    steps = [
+        LINES,
+        "held as materialized (select o * 100 + n as id, n as rank, loop, depth from lines join orders on o_orderkey = o and o_orderstatus <> 'P' join (values ('o', 0), ('i', 1)) k(loop, depth) on depth = 0 or n between 2 and 4)",
+        "c0 as (select src, dst, false as cut from e0)",
+    ]
+    for k in range(rounds):
+        steps += [
+            f"k{k} as materialized (select src, dst, a.loop, a.depth, b.rank, src // 100 as o from c{k} join held a on a.id = src join held b on b.id = dst and b.loop = a.loop)",
+            f"f{k}(loop, src, dst) as (select loop, src, dst from k{k} union select f{k}.loop, f{k}.src, k{k}.dst from f{k} join k{k} on k{k}.src = f{k}.dst and k{k}.loop = f{k}.loop)",
+            f"b{k} as materialized (select a.loop, a.src, min(least(a.src, a.dst)) as part from f{k} a join f{k} b on a.loop = b.loop and a.src = b.dst and a.dst = b.src group by all)",
+            f"z{k} as (select k{k}.*, x.part from k{k} join b{k} x on x.loop = k{k}.loop and x.src = k{k}.src join b{k} y on y.loop = k{k}.loop and y.src = k{k}.dst and x.part = y.part)",
+            f"h{k} as (select *, first_value(dst) over (partition by loop, part order by rank, dst) as head from z{k})",
+            f"d{k} as materialized (select src, dst, arg_max(case loop when 'o' then -o else o * 100 + 5 end, depth) as out from h{k} where dst = head group by src, dst)",
+            f"c{k + 1} as materialized (with kept as (select src, dst, cut from c{k} where (src, dst) not in (select (src, dst) from d{k})) select * from kept union all select distinct src, out, true from d{k} where (src, out) not in (select (src, dst) from kept))",
+        ]
+    return f"with recursive {', '.join(steps)} select src, dst, cut from c{rounds}"
+
+
+SQL["cycle_cut"] = _cut()

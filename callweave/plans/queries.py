@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.functions import names, text
 from callweave.functions.guards import no_guards
 from callweave.functions.signature import overlap
-from callweave.operators import batches, branches, bundle, gates, graph, methods, phases, reports, scoping, topics, validate
+from callweave.operators import batches, branches, bundle, cycles, gates, graph, methods, phases, reports, scoping, topics, validate
 from callweave.plans.oracles import SQL
 
 
@@ -563,7 +563,40 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.class_text(docs)
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases)
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order follow each other; returned ones lead back to an earlier line, or to themselves."""
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    at = lambda n: F.col("l_orderkey") * 100 + n
+    lines = rows.select("l_orderkey", "l_linenumber").distinct()
+    nxt = F.lead("l_linenumber").over(W.partitionBy("l_orderkey").orderBy("l_linenumber"))
+    forward = lines.withColumn("to", nxt).where("to is not null").select("l_orderkey", at(F.col("l_linenumber")).alias("src"), at(F.col("to")).alias("dst"))
+    back = rows.where("l_returnflag = 'R'").select("l_orderkey", at(F.col("l_linenumber")).alias("src"), at(1 + F.col("l_suppkey") % F.col("l_linenumber")).alias("dst"))
+    return forward.unionByName(back).distinct()
+
+
+def cycle_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders are loops, lines 2 to 4 a loop inside of them; orders in process have no loop, so their cycles stay."""
+    orders = read(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().join(orders, "l_orderkey")
+    name = lambda p: F.concat(F.lit(p), F.col("l_orderkey").cast("string"))
+    around = F.when(F.col("l_linenumber").between(2, 4), F.array(name("o"), name("i"))).otherwise(F.array(name("o")))
+    nodes = lines.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("rank"), around.alias("loopIds"))
+    loops = orders.select(name("o").alias("id"), (-F.col("l_orderkey")).alias("exitNodeId")).unionByName(orders.select(name("i").alias("id"), (F.col("l_orderkey") * 100 + 5).alias("exitNodeId")))
+    return cycles.cut_cycle_edges(line_edges(spark, sf_dir).select("src", "dst"), nodes, loops)
+
+
+def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = line_edges(spark, sf_dir)
+    ranks = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("rank")).distinct()
+    return cycles.topo_levels(edges, ranks, within="l_orderkey")
+
+
+def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cycles.cycle_report(line_edges(spark, sf_dir), within="l_orderkey")
+    return found.select("component", "nodes", "edges", F.col("length").cast("long").alias("length"), F.array_join("witness", ">").alias("witness"))
+
+
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
