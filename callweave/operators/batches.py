@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from callweave.session import materialize
 
-#: Limits of a batch and sizes of the retry rounds.
+#: A code fence, limits of a batch and sizes of the retry rounds.
+FENCE = re.compile(r"^```(?:json|jsonl)?\s*|\s*```$", re.MULTILINE)
 INPUT_TOKENS, OUTPUT_TOKENS, CHARS_PER_ITEM, ROUND_SIZES = 10_000, 2_048, 180, (32, 32, 1)
 
 
@@ -80,12 +83,50 @@ def pack(items: DataFrame, *, key: str, order: str, size: str, max_items: int, o
     return packed.select(F.col("k").alias(key), F.col("o").alias(order), "batch")
 
 
+def scan_text(raw: str, decoder: json.JSONDecoder = json.JSONDecoder()) -> tuple[list[tuple[str, bool]], int]:
+    """The JSON values of an answer as ``(text, joined)``, and how many places hold none.
+
+    A value may run over lines and hold braces in its strings; the next one may follow without white space, which
+    joins the two. What is no value is skipped up to the end of its line. Code fences are left out.
+    """
+    text = FENCE.sub("", raw).strip()
+    found, malformed, at, ended = [], 0, 0, None
+    while at < len(text):
+        if text[at].isspace():
+            at += 1
+            continue
+        try:
+            _, end = decoder.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            malformed += 1
+            at, ended = text.find("\n", at) + 1 or len(text), None
+            continue
+        found.append((text[at:end], ended == at))
+        at = ended = end
+    return found, malformed
+
+
 def scan_records(answers: DataFrame, schema: str, *, text: str = "text") -> DataFrame:
-    """One row per JSON record of an answer (lines, adjacent objects too): all columns, ``record`` (null: malformed) and ``joined``."""
-    line = F.explode(F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != ""))
-    lines = answers.withColumn("__line", line)
-    parts = lines.withColumn("__parts", F.split("__line", r"(?<=\})\s*(?=\{)")).withColumn("joined", F.size("__parts") > 1)
-    return parts.withColumn("__part", F.explode("__parts")).withColumn("record", F.when(F.try_parse_json("__part").isNotNull(), F.from_json("__part", schema))).drop("__line", "__parts", "__part")
+    """One row per JSON value of an answer: all columns, ``pos``, ``record`` (null: no object) and ``joined``; one more row with ``malformed`` where an answer had such places.
+
+    ``joined``: no white space stands between a value and the one before it. ``malformed`` is the number of places
+    that hold no JSON; its row has no record. Null and blank answers give no row. Each answer is read once, in its task.
+    """
+
+    @F.udf("array<struct<value:string,joined:boolean,malformed:int>>", useArrow=True)
+    def scan(raw: str | None) -> list[tuple]:
+        found, malformed = scan_text(raw or "")
+        return [(v, j, 0) for v, j in found] + [(None, False, malformed)] * (malformed > 0)
+
+    parts = answers.select("*", F.posexplode(scan(text)).alias("pos", "__part"))
+    record = F.when(F.col("__part.value").startswith("{"), F.from_json("__part.value", schema))
+    return parts.select(*answers.columns, "pos", record.alias("record"), F.col("__part.joined").alias("joined"), F.col("__part.malformed").alias("malformed"))
+
+
+def parse_failures(scanned: DataFrame, *, by: str) -> DataFrame:
+    """``(by, records, malformed, joined, not_object)``: what ``scan_records`` met in the answers of each value of ``by``."""
+    value = F.col("malformed") == 0
+    return scanned.groupBy(by).agg(F.count_if(value & F.col("record").isNotNull()).alias("records"), F.sum("malformed").cast("long").alias("malformed"), F.count_if("joined").alias("joined"), F.count_if(value & F.col("record").isNull()).alias("not_object"))
 
 
 def correlate(requested: DataFrame, answers: DataFrame) -> DataFrame:

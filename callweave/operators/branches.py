@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.guards import merge, no_guards
-from callweave.operators.graph import reach
+from callweave.operators.graph import clean_graph, reach
 
 
 def refresh_branches(groups: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,6 +33,16 @@ def refresh_branches(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.withColumns({"arms": F.coalesce("__arms", "arms"), "enclosing": held}).select(*groups.columns)
 
 
+def clean_branches(nodes: DataFrame, edges: DataFrame, groups: DataFrame, loops: DataFrame, exits: DataFrame, *, noise: Column, is_lambda: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``clean_graph`` and, in the same pass, the metadata of the branch groups that stay: ``(nodes, edges, groups, loops)``.
+
+    ``groups(id, entryNodeId, arms, enclosing, …)``; their arms lose exits to nodes that are gone and are empty once
+    no call is left in them.
+    """
+    nodes, edges, stay = clean_graph(nodes, edges, groups, loops, exits, noise=noise, is_lambda=is_lambda)
+    return nodes, edges, refresh_branches(groups.join(stay, "id", "left_semi"), nodes), loops.join(stay, "id", "left_semi")
+
+
 def derive_guards(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """``(src, dst, type, reqs)`` from ``edges(src, dst, type, alternatives)`` and ``nodes(id, branchArms)``.
 

@@ -49,11 +49,13 @@ def resolve_gates(members: DataFrame, gates: DataFrame, answers: DataFrame) -> t
 
     ``members(method, phase, at, id, seq)``: ``at`` is the phase's place in the method, ``seq`` the call's place in
     the phase. An answer counts if it says MERGE or SPLIT and has a confidence and evidence; it is held against
-    the phases as earlier answers left them, in the order of ``gates.pos``. MERGE gives both phases the left
+    the phases as earlier answers left them, in the order of ``gates.pos``. A confidence lies in [0, 1]; several
+    answers about one gate void each other, whatever they say. MERGE gives both phases the left
     one's id and the earlier place, the right one's calls behind the left one's. Gates that no longer
     separate phases go without a decision. Round r takes the r-th answer of all methods at once.
     """
-    valid = answers.where("action in ('MERGE', 'SPLIT') and confidence is not null and evidence is not null").dropDuplicates(["method", "gate"])
+    once = answers.groupBy("method", "gate").count().where("count = 1").select("method", "gate")
+    valid = answers.where("action in ('MERGE', 'SPLIT') and confidence between 0 and 1 and evidence is not null").join(once, ["method", "gate"])
     asked = _open(gates, members).select("method", "gate", "left_id", "right_id", "pos")
     asked = asked.join(valid, ["method", "gate"]).withColumn("round", F.row_number().over(W.partitionBy("method").orderBy("pos", "gate")))
     asked, now, log, done = materialize(asked), members, None, 0

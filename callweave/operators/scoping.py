@@ -51,10 +51,40 @@ def attach_data_edges(edges: DataFrame, data: DataFrame, nodes: DataFrame) -> Da
     return edges.select("src", "dst", "type").unionByName(data.select("src", "dst", F.lit("data").alias("type"))).distinct()
 
 
+def cells(low: Column, high: Column) -> Column:
+    """The least set of cells ``(level, cell)`` that makes up [low, high]: of level k are runs of 2^k numbers that begin at a multiple of it."""
+    state = F.struct(low.alias("l"), (high + 1).alias("r"), F.expr("cast(array() as array<struct<level:int,cell:bigint>>)").alias("cells"))
+
+    def halve(s: Column, k: Column) -> Column:
+        open_, odd = s["l"] < s["r"], lambda c: c.bitwiseAND(F.lit(1)) == 1
+        left, right = open_ & odd(s["l"]), open_ & odd(s["r"])
+        one = lambda yes, c: F.when(yes, F.array(F.struct(k.alias("level"), c.alias("cell")))).otherwise(F.expr("cast(array() as array<struct<level:int,cell:bigint>>)"))
+        further = F.concat(s["cells"], one(left, s["l"]), one(right & (~left | (s["l"] + 1 < s["r"])), s["r"] - 1))
+        return F.struct(F.shiftright(s["l"] + left.cast("long"), 1).alias("l"), F.shiftright(s["r"] - right.cast("long"), 1).alias("r"), further.alias("cells"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), state, halve, lambda s: s["cells"])
+
+
 def within_lines(points: DataFrame, spans: DataFrame, *, by: str, at: str = "line", low: str = "start", high: str = "end") -> DataFrame:
-    """Points of ``points(by, at, …)`` with every span ``(by, low, high, …)`` they lie in, ends included; no end: the start; no start: none."""
+    """Points of ``points(by, at, …)`` with every span ``(by, low, high, …)`` they lie in, ends included; no end: the start; no start: none.
+
+    Spans of whole numbers, dates or times are cut into cells of doubling width, two of a width at most. A point
+    lies in one cell of each width, and in at most one cell of a span, so an equal join on cells gives each row of
+    the result once and no other row, whatever a file holds. Ends before the start hold nothing.
+    """
+    kind = dict(points.dtypes)[at]
+    micros = lambda c: F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    number = {"timestamp": F.unix_micros, "timestamp_ntz": micros, "date": F.unix_date}.get(kind, lambda c: c)
+    if kind not in ("timestamp", "timestamp_ntz", "date", "tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"points of type {kind} have no cells")
     bound = spans.where(F.col(low).isNotNull()).withColumn(high, F.coalesce(F.col(high), F.col(low)))
-    return points.join(bound, by).where(F.col(at).between(F.col(low), F.col(high)))
+    bound = bound.withColumn("__cell", F.explode(cells(number(F.col(low)).cast("long"), number(F.col(high)).cast("long"))))
+    # At most 63 widths.
+    widths = sorted(r[0] for r in bound.select("__cell.level").distinct().collect())
+    mine = lambda k: F.struct(F.lit(k).alias("level"), F.shiftright(number(F.col(at)).cast("long"), k).alias("cell"))
+    none = F.expr("cast(array() as array<struct<level:int,cell:bigint>>)")
+    placed = points.where(F.col(at).isNotNull()).withColumn("__cell", F.explode(F.array(*map(mine, widths)) if widths else none))
+    return placed.join(bound, [by, "__cell"]).drop("__cell")
 
 
 def memberships(edges: DataFrame, operations: DataFrame) -> DataFrame:

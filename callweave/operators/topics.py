@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,8 @@ from callweave.operators.graph import components
 from callweave.session import materialize
 
 UNICODE_TOKEN, ASCII_TOKEN = r"(?U)\w\w+", "[a-z0-9_]{2,}"
-#: Presets: neighbours, dimensions, least cluster, least samples.
+#: Fixed values of the degeneracy test. Presets: neighbours, dimensions, least cluster, least samples.
+LEAST_CLASSES, MOST_NOISE = 20, 0.7
 PRESETS = {"fine": (5, 5, 3, 1), "balanced": (5, 5, 5, 3), "coarse": (10, 10, 8, 5)}
 
 
@@ -158,6 +159,29 @@ def embed(docs: DataFrame, *, key: str, text: str = "text", features: int = 4096
     return out.select(key, vector_to_array(F.col(column), "float32").alias("embedding"))
 
 
+def embed_with(docs: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]], *, key: str, text: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+    """``(key, embedding)`` by a model of the caller: ``load`` makes it once a task and gives a function of texts to a matrix of as many rows.
+
+    A call gets texts of about ``batch_bytes`` in all, or one longer text, so that what it holds is bounded by
+    bytes, not by rows. Null texts are empty. A matrix of another number of rows is an error.
+    """
+    source = docs.select(key, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = load()
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+            cuts = np.flatnonzero(np.diff(sizes.cumsum() // batch_bytes, prepend=0)).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if hi > lo:
+                    found = np.asarray(model(batch.column(1).slice(lo, hi - lo).to_pylist()), dtype=np.float32)
+                    if found.ndim != 2 or len(found) != hi - lo:
+                        raise ValueError(f"the model gave an array of shape {found.shape} for {hi - lo} texts")
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(list(found), pa.list_(pa.float32()))], names=[key, "embedding"])
+
+    return source.mapInArrow(run, f"`{key}` {dict(source.dtypes)[key]}, embedding array<float>")
+
+
 def package_prefixes(package: Column) -> Column:
     """The package and all its dotted ancestors."""
     parts = F.split(package, r"\.")
@@ -188,12 +212,13 @@ def best_readmes(readmes: DataFrame) -> DataFrame:
 
 
 def coverage(classes: DataFrame, members: DataFrame) -> DataFrame:
-    """One row: total, clustered, noise, represented, omitted distinct classes, coverage and the degeneracy test."""
+    """One row: total, clustered, noise, represented, omitted distinct classes, coverage and the degeneracy test:
+    under ``LEAST_CLASSES``, no topic, or over ``MOST_NOISE`` of the classes in none."""
     seen = classes.select("name").distinct().join(members.select("name", "label"), "name", "left")
     n = lambda c: F.count_distinct(F.when(c, F.col("name")))
     out = seen.agg(F.count_distinct("name").alias("total"), n(F.col("label") != -1).alias("clustered"), n(F.col("label") == -1).alias("noise"), n(F.col("label").isNotNull()).alias("represented"), n(F.col("label").isNull()).alias("omitted"), F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("topics"))
     ratio = F.when(F.col("total") > 0, F.col("clustered") / F.col("total")).otherwise(0.0)
-    return out.withColumn("coverage", ratio).withColumn("degenerate", (F.col("total") < 20) | (F.col("topics") == 0) | (F.col("noise") > 0.7 * F.col("total")))
+    return out.withColumn("coverage", ratio).withColumn("degenerate", (F.col("total") < LEAST_CLASSES) | (F.col("topics") == 0) | (F.col("noise") > MOST_NOISE * F.col("total")))
 
 
 def topic_report(operations: DataFrame, assignments: DataFrame, topics: DataFrame) -> DataFrame:
@@ -235,12 +260,13 @@ def topic_list(topics: DataFrame) -> DataFrame:
 
 
 def discover_topics(
-    documents: DataFrame, *, key: str, text: str = "text", terms: str = "text", preset: str = "fine", readmes: DataFrame | None = None, package: str | None = None, answers: DataFrame | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None, force: bool = False
+    documents: DataFrame, *, key: str, text: str = "text", terms: str = "text", preset: str = "fine", embedder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None, readmes: DataFrame | None = None, package: str | None = None, answers: DataFrame | None = None, fallback: Callable[[DataFrame], DataFrame] | None = None, force: bool = False
 ) -> dict[str, DataFrame]:
     """Topics of documents: ``members(key, label)``, ``clusters(label, n_members, terms, name, fallback)``, ``centroids`` and ``readmes(label, path)``.
 
     Blank texts are left out. Embeddings are reduced and clustered by density with the preset's sizes; terms come from
-    class-based TF-IDF. If the clusters are degenerate and there is a ``fallback``, or it is forced, its ``members(key, label)`` take
+    class-based TF-IDF. An ``embedder`` (see ``embed_with``) takes the place of the hashed TF-IDF; its vectors are clustered
+    as they are. If the clusters are degenerate (see ``coverage``) and there is a ``fallback``, or it is forced, its ``members(key, label)`` take
     their place; otherwise ``answers(label, name)`` name the clusters. Readmes are attached by the members' ``package``.
     """
     if force and fallback is None:
@@ -248,16 +274,15 @@ def discover_topics(
     neighbours, dimensions, least, samples = PRESETS[preset]
     kept = materialize(prepared(documents, text=text))
     # The principal components need a matrix of features by features on the driver: 512 make 2 MB.
-    reduced = embed(kept, key=key, text=text, features=512, dimensions=dimensions)
+    reduced = embed(kept, key=key, text=text, features=512, dimensions=dimensions) if embedder is None else embed_with(kept, embedder, key=key, text=text)
     vectors = materialize(reduced.select(key, unit(F.transform("embedding", lambda x: x.cast("double"))).alias("embedding")))
     told = False
     if force:
         members, told = fallback(kept), True
     else:
         members = materialize(density_clusters(vectors, min_cluster=least, min_samples=samples, neighbours=neighbours, key=key))
-        # Degenerate: one topic or none, or over half of the documents in none.
-        shape = members.agg(F.count_distinct(F.when(F.col("label") != -1, F.col("label"))).alias("topics"), F.count_if(F.col("label") == -1).alias("noise"), F.count("*").alias("n")).first()
-        if fallback is not None and (shape["topics"] < 2 or 2 * shape["noise"] > shape["n"]):
+        # The classes that were asked for count, blank ones included.
+        if fallback is not None and coverage(documents.select(F.col(key).alias("name")), members.select(F.col(key).alias("name"), "label")).first()["degenerate"]:
             members, told = fallback(kept), True
     members = materialize(members.select(key, "label"))
     counted = term_counts(kept.join(members, key), cluster="label", text=terms)

@@ -206,3 +206,8 @@ def _cut(rounds: int = 8) -> str:
 
 
 SQL["cycle_cut"] = _cut()
+
+SQL["answer_records"] = """select conv_id, 3 * count(*) as records, sum(1 + len(list_filter(string_split(text, chr(10))[2:], lambda x: trim(x) <> '')))::bigint as malformed,
+    count(*) as joined, count(*) as not_object from conversations group by conv_id"""
+SQL["span_events"] = """with s as (select user_id, event_id as span, ts as a, coalesce(lead(ts, 2) over (partition by user_id order by ts, event_id), ts) as b from events where event_type = 'purchase')
+    select span, count(*) as n, min(event_id) as first, max(event_id) as last from s join events using (user_id) where ts between a and b group by span"""

@@ -563,6 +563,25 @@ def corpus_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.class_text(docs)
 
 
+def answer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn is an answer: two joined records with braces in their strings, a line of its own words, a list and a last record over two lines."""
+    rows = read(spark, sf_dir, "conversations")
+    record = lambda n: F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn", F.lit(n)).alias("id"), F.concat_ws(" } {", "role", "text").alias("label")))
+    last = F.concat(F.lit('{"id":\n'), F.to_json(F.struct(F.col("role").alias("x"))), F.lit("}"))
+    answer = F.concat(F.lit("```json\n"), record("a"), record("b"), F.lit("\n["), "text", F.lit("\n[1, 2] "), last, F.lit("\n```"))
+    scanned = batches.scan_records(rows.select("conv_id", answer.alias("text")), "id string, label string")
+    return batches.parse_failures(scanned, by="conv_id")
+
+
+def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user in the spans from each purchase to the user's second next one."""
+    rows = read(spark, sf_dir, "events")
+    until = F.lead("ts", 2).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    spans = rows.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("start"), until.alias("end"), F.col("event_id").alias("span"))
+    found = scoping.within_lines(rows, spans, by="user_id", at="ts")
+    return found.groupBy("span").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
+
+
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order follow each other; returned ones lead back to an earlier line, or to themselves."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
@@ -587,7 +606,8 @@ def cycle_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = line_edges(spark, sf_dir)
-    ranks = read(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.col("l_linenumber").alias("rank")).distinct()
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    ranks = ends.select("id", (F.col("id") % 100).alias("rank"))
     return cycles.topo_levels(edges, ranks, within="l_orderkey")
 
 
@@ -596,7 +616,7 @@ def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("component", "nodes", "edges", F.col("length").cast("long").alias("length"), F.array_join("witness", ">").alias("witness"))
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report)
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report, answer_records, span_events)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
