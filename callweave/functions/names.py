@@ -45,6 +45,26 @@ def is_builtin(name: Column) -> Column:
     return F.coalesce(any_of([name.startswith(x) for x in BUILTIN]), F.lit(False))
 
 
+def is_synthetic(name: Column) -> Column:
+    """A name of generated code: holds a marker, lambdas and constructors included, is an accessor, a lambda body or an anonymous class."""
+    found = any_of([*(name.contains(x) for x in ANGLE_MARKERS), name.startswith(ACCESSOR), name.rlike(LAMBDA), name.rlike(ANONYMOUS_CLASS)])
+    return F.coalesce(found, F.lit(False))
+
+
+def is_document_type(name: Column, full_name: Column) -> Column:
+    """Types that get a document: neither synthetic nor of the standard library."""
+    return ~(is_synthetic(name) | is_synthetic(full_name) | is_builtin(full_name))
+
+
+def is_document_method(name: Column) -> Column:
+    """Methods that get a document: not synthetic, constructors included."""
+    return ~is_synthetic(name) | (name == "<init>")
+
+
+def is_document_identifier(name: Column) -> Column:
+    return ~(is_synthetic(name) | (name == "this") | name.startswith("$"))
+
+
 def filter_methods(methods: DataFrame, name: str = "fullName") -> DataFrame:
     """Methods whose names are neither noise nor of the standard library."""
     return methods.where(~is_noise(F.col(name)) & ~is_builtin(F.col(name)))

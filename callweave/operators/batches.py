@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,26 +108,83 @@ def scan_text(raw: str, decoder: json.JSONDecoder = json.JSONDecoder()) -> tuple
 
 
 def scan_records(answers: DataFrame, schema: str, *, text: str = "text") -> DataFrame:
-    """One row per JSON value of an answer: all columns, ``pos``, ``record`` (null: no object) and ``joined``; one more row with ``malformed`` where an answer had such places.
+    """One row per JSON value of an answer: all columns, ``pos``, ``value``, ``record`` (null: no object), ``joined`` and ``follows``; one more row with ``malformed`` where an answer had such places.
 
-    ``joined``: no white space stands between a value and the one before it. ``malformed`` is the number of places
-    that hold no JSON; its row has no record. Null and blank answers give no row. Each answer is read once, in its task.
+    ``follows``: no white space stands between a value and the one before it; ``joined``: nor before or behind it.
+    ``malformed`` is the number of places that hold no JSON; its row has no record. Null and blank answers give no
+    row. Each answer is read once, in its task.
     """
 
-    @F.udf("array<struct<value:string,joined:boolean,malformed:int>>", useArrow=True)
+    @F.udf("array<struct<value:string,joined:boolean,follows:boolean,malformed:int>>", useArrow=True)
     def scan(raw: str | None) -> list[tuple]:
         found, malformed = scan_text(raw or "")
-        return [(v, j, 0) for v, j in found] + [(None, False, malformed)] * (malformed > 0)
+        next_one = [follows for _, follows in found[1:]] + [False]
+        return [(v, f or n, f, 0) for (v, f), n in zip(found, next_one)] + [(None, False, False, malformed)] * (malformed > 0)
 
     parts = answers.select("*", F.posexplode(scan(text)).alias("pos", "__part"))
     record = F.when(F.col("__part.value").startswith("{"), F.from_json("__part.value", schema))
-    return parts.select(*answers.columns, "pos", record.alias("record"), F.col("__part.joined").alias("joined"), F.col("__part.malformed").alias("malformed"))
+    return parts.select(*answers.columns, "pos", F.col("__part.value").alias("value"), record.alias("record"), *(F.col("__part")[c].alias(c) for c in ("joined", "follows", "malformed")))
 
 
 def parse_failures(scanned: DataFrame, *, by: str) -> DataFrame:
     """``(by, records, malformed, joined, not_object)``: what ``scan_records`` met in the answers of each value of ``by``."""
     value = F.col("malformed") == 0
-    return scanned.groupBy(by).agg(F.count_if(value & F.col("record").isNotNull()).alias("records"), F.sum("malformed").cast("long").alias("malformed"), F.count_if("joined").alias("joined"), F.count_if(value & F.col("record").isNull()).alias("not_object"))
+    return scanned.groupBy(by).agg(F.count_if(value & F.col("record").isNotNull()).alias("records"), F.sum("malformed").cast("long").alias("malformed"), F.count_if("follows").alias("joined"), F.count_if(value & F.col("record").isNull()).alias("not_object"))
+
+
+def correlated(requested: DataFrame, scanned: DataFrame, *, required: tuple[str, ...] = ("id",), exact: bool = False, valid: Callable[[Column], Column] = F.isnotnull) -> tuple[DataFrame, DataFrame]:
+    """``(id, record)`` of the requested ids that one valid record answers, and ``(reason, n)``, what else was met.
+
+    ``requested(id)``, ``scanned`` of ``scan_records``; an id is a JSON text. A record needs the ``required`` keys, with ``exact``
+    no others, and to pass ``valid``. Unknown ids answer nothing; several records about one id void each other. Reasons:
+    malformed_json, concatenated_json, invalid_value, invented_id, duplicate_id, missing_id; what wasn't met has no row.
+    """
+    parsed = F.try_parse_json("value")
+    told = scanned.where("value is not null").select("record", "value", F.monotonically_increasing_id().alias("at"), F.when(F.schema_of_variant(F.try_variant_get(parsed, "$.id", "variant")) == "STRING", F.try_variant_get(parsed, "$.id", "string")).alias("id"))
+    told = materialize(told.withColumn("keys", F.json_object_keys("value")))
+    asked = requested.select("id").distinct()
+    known = told.where("id is not null").join(asked, "id")
+    keys = F.array(*map(F.lit, required))
+    fits = (F.size(F.array_except(keys, "keys")) == 0) & ((F.size("keys") == len(required)) if exact else F.lit(True))
+    first = known.groupBy("id").agg(F.count("*").alias("n"), F.min_by(F.struct("record", F.coalesce(fits & valid(F.col("record")), F.lit(False)).alias("ok")), "at").alias("x"))
+    first = materialize(first.select("id", "n", "x.record", "x.ok"))
+    count = lambda df, reason, n: df.agg(n.cast("long").alias("n")).select(F.lit(reason).alias("reason"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    one = F.count(F.lit(1))
+    reasons = [
+        count(scanned, "malformed_json", F.sum("malformed")),
+        count(scanned, "concatenated_json", F.count_if("follows")),
+        count(told.where("id is null").select("id").unionAll(first.where("not ok").select("id")), "invalid_value", one),
+        count(told.where("id is not null").join(asked, "id", "left_anti"), "invented_id", one),
+        count(first, "duplicate_id", F.sum(F.col("n") - 1)),
+        count(asked.join(first.select("id"), "id", "left_anti"), "missing_id", one),
+    ]
+    return first.where("ok and n = 1").select("id", "record"), reduce(DataFrame.unionByName, reasons).where("n > 0")
+
+
+def grouping_members(groups: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(name, label)`` of all ``known(name)`` after an answer that groups them, and its violations ``(check, key)``; any voids the whole answer.
+
+    ``groups(pos, label, members)``: labels are texts that differ, case and outer blanks aside; members are known names,
+    each in one group and once. Groups are numbered by ``pos`` from 0; names that no group has are labelled -1.
+    """
+    named = groups.select("pos", F.lower(F.trim("label")).alias("label"), "members")
+    bad = lambda df, check, key: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("key"))
+    each = named.select("pos", F.explode("members").alias("member"))
+    twice = lambda df, *c: df.groupBy(*c).count().where("count > 1")
+    found = [
+        bad(named.where("label is null or label = ''"), "blank-label", "pos"),
+        bad(twice(named.where("label <> ''"), "label"), "label-twice", "label"),
+        bad(named.where("members is null or size(members) = 0"), "no-members", "pos"),
+        bad(each.where("member is null"), "no-text", "pos"),
+        bad(twice(each, "pos", "member"), "member-twice", "member"),
+        bad(each.where("member is not null").select("member").distinct().join(known.select(F.col("name").alias("member")), "member", "left_anti"), "unknown-member", "member"),
+        bad(twice(each.select("pos", "member").distinct(), "member"), "two-groups", "member"),
+    ]
+    violations = materialize(reduce(DataFrame.unionByName, found))
+    good = each if violations.isEmpty() else each.limit(0)
+    places = groups.select("pos").distinct().withColumn("label", F.row_number().over(W.orderBy("pos")) - 1)  # an answer's groups are few
+    placed = good.join(places, "pos").select(F.col("member").alias("name"), "label")
+    return known.select("name").distinct().join(placed, "name", "left").select("name", F.coalesce("label", F.lit(-1)).alias("label")), violations
 
 
 def correlate(requested: DataFrame, answers: DataFrame) -> DataFrame:

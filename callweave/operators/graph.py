@@ -70,6 +70,14 @@ def roots_and_orphans(nodes: DataFrame, edges: DataFrame, *, by: tuple[str, ...]
     return free.select("id", F.when(F.col("calls"), "root").otherwise("orphan").alias("kind"))
 
 
+def ordered_roots(kinds: DataFrame) -> DataFrame:
+    """``(id, kind, place)``: roots and orphans of ``roots_and_orphans``, each kind in ascending order of id from 1; no task sees all of a kind."""
+    from callweave.operators.gates import number
+
+    each = [number(kinds.where(F.col("kind") == kind).select("id", "kind"), "id", "place") for kind in ("root", "orphan")]
+    return each[0].unionByName(each[1]).select("id", "kind", "place")
+
+
 def callees(invokes: DataFrame, internal: DataFrame) -> DataFrame:
     """``(src, targets)``: sorted distinct internal targets of every call."""
     return invokes.join(internal.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))

@@ -228,6 +228,47 @@ def topic_report(operations: DataFrame, assignments: DataFrame, topics: DataFram
     return named.select("op_id", "label", "similarity", F.when(F.col("label") == -1, "Unassigned").otherwise(F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.concat(F.lit("topic "), F.col("label").cast("string")))).alias("topic"))
 
 
+def display_label(llm: Column, terms: Column, label: Column) -> Column:
+    """What a topic is called: its answer, else its first term that isn't blank, else ``Unassigned`` or its number."""
+    filled = lambda c: F.nullif(F.trim(c), F.lit(""))
+    term = F.get(F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.trim(t) != ""), F.lit(0))
+    return F.coalesce(filled(llm), term, F.when(label == -1, "Unassigned").otherwise(F.concat(F.lit("topic "), label.cast("string"))))
+
+
+def is_unnamed(llm: Column, terms: Column, label: Column) -> Column:
+    """The label that is shown is a stand-in."""
+    blank = ~F.exists(F.coalesce(terms, F.array().cast("array<string>")), lambda t: F.trim(t) != "")
+    return (label != -1) & (F.coalesce(F.trim(llm), F.lit("")) == "") & blank
+
+
+def drill_down(operations: DataFrame, assignments: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(topic, place, op_id, label, root, similarity)``: the operations of each topic by their labels, case aside, from 1.
+
+    ``operations(op_id, root)``, ``assignments(op_id, label, similarity)``, ``labels(op_id, label)``. An operation
+    without a label is called by its id; one without a topic is in -1 with similarity 0; equal labels stand by id.
+    """
+    named = operations.select("op_id", "root").join(labels.select("op_id", F.nullif("label", F.lit("")).alias("said")), "op_id", "left")
+    placed = named.join(assignments.select("op_id", F.col("label").alias("topic"), "similarity"), "op_id", "left")
+    rows = placed.select(F.coalesce("topic", F.lit(-1)).alias("topic"), "op_id", F.coalesce("said", F.col("op_id").cast("string")).alias("label"), "root", F.when(F.col("topic").isNull(), 0.0).otherwise(F.col("similarity")).alias("similarity"))
+    order = W.partitionBy("topic").orderBy(F.lower("label"), "op_id")
+    return rows.withColumn("place", F.row_number().over(order)).select("topic", "place", "op_id", "label", "root", "similarity")
+
+
+def assign_operations(operations: DataFrame, topics: DataFrame, *, embedder: Callable[[DataFrame], DataFrame], answers: DataFrame | None = None) -> DataFrame:
+    """``(op_id, label, similarity)`` of the operations that get a topic, by what formed the topics.
+
+    ``operations(op_id, text)``, ``topics(label, centroid, fallback)``. Topics of a whole-corpus fallback take ``answers(op_id,
+    label)`` with similarity 1, and nothing where there is none; they never fall back to centroids. Other topics take
+    the nearest centroid of ``embedder(operations)``, ``(op_id, embedding)``; blank texts and no centroids give none.
+    """
+    if not topics.where("fallback").isEmpty():
+        if answers is None:
+            raise ValueError("topics of a fallback need answers")
+        known = answers.where("label is not null").join(operations.select("op_id"), "op_id", "left_semi")
+        return known.select("op_id", "label", F.lit(1.0).alias("similarity"))
+    return assign_topics(embedder(prepared(operations)), topics.where("centroid is not null"), key="op_id")
+
+
 def build_clusters(members: DataFrame, terms: DataFrame) -> DataFrame:
     """``(label, n_members, terms)`` of every label, -1 included, from ``members(name, label)`` and ``terms(cluster, term, rank)``; the members stay a table."""
     top = terms.groupBy(F.col("cluster").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("terms"))

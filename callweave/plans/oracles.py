@@ -211,3 +211,21 @@ SQL["answer_records"] = """select conv_id, 3 * count(*) as records, sum(1 + len(
     count(*) as joined, count(*) as not_object from conversations group by conv_id"""
 SQL["span_events"] = """with s as (select user_id, event_id as span, ts as a, coalesce(lead(ts, 2) over (partition by user_id order by ts, event_id), ts) as b from events where event_type = 'purchase')
     select span, count(*) as n, min(event_id) as first, max(event_id) as last from s join events using (user_id) where ts between a and b group by span"""
+
+SQL["topic_drill_down"] = """with o as (select c_custkey as op_id, c_name as root, case when c_acctbal >= 0 then c_nationkey::int else -1 end as topic, case when c_acctbal >= 0 then (c_custkey % 8) / 8.0::double else 0.0 end as similarity,
+    case when c_custkey % 3 <> 0 then c_custkey::varchar when c_custkey % 2 = 0 then lower(c_mktsegment) else c_mktsegment end as label from customer)
+    select topic, row_number() over (partition by topic order by lower(label), op_id) as place, op_id, label, root, similarity from o"""
+SQL["ordered_roots"] = f"""select id, kind, row_number() over (partition by kind order by id) as place from ({SQL["roots_orphans"]})"""
+SQL["document_names"] = r"""with n as (select p_partkey, (['', '$', 'access$', 'lambda$a$', '<init>', 'a.<lambda>', 'java.util.'])[p_size % 7 + 1] || case when p_size % 7 = 4 then '' else p_type end || case when p_partkey % 5 = 0 then '$' || p_size else '' end as name from part),
+    s as (select *, regexp_matches(name, '<(operator|clinit|unresolvedNamespace|unknownFullName|empty|lambda|init)>') or starts_with(name, 'access$') or regexp_matches(name, '^lambda\$.*\$[0-9]+(:.*)?$') or regexp_matches(name, '\$[0-9]+$') as synthetic from n)
+    select p_partkey, synthetic, not synthetic and not starts_with(name, 'java.') as type, not synthetic or name = '<init>' as method, not synthetic and not starts_with(name, '$') as identifier from s"""
+SQL["correlated_answers"] = """with t as (select conv_id, turn, conv_id % 4 <> 3 as asked, case when turn = 0 then case when conv_id % 5 = 0 then 'short' else 'plain' end when turn = 1 then 'number' when turn = 2 and conv_id % 2 = 0 then 'glued' else 'none' end as kind from conversations),
+    k as (select conv_id, count(*) filter (kind in ('short', 'plain', 'glued')) as n, arg_min(kind, turn) filter (kind in ('short', 'plain', 'glued')) as first from t where asked group by conv_id),
+    r as (select 'malformed_json' as reason, count(*) as n from t where kind = 'none' union all select 'concatenated_json', count(*) from t where kind = 'glued'
+    union all select 'invalid_value', (select count(*) from t where kind in ('number', 'glued')) + (select count(*) from k where first = 'short') union all select 'invented_id', count(*) from t where not asked and kind in ('short', 'plain', 'glued')
+    union all select 'duplicate_id', sum(n - 1) from k where n > 0 union all select 'missing_id', count(*) from k where n = 0 union all select 'resolved', count(*) from k where n = 1 and first <> 'short')
+    select reason, n::bigint as n from r where n > 0 or reason = 'resolved'"""
+SQL["source_stats"] = r"""with d as (select doc_id, '// first' || chr(10) || chr(10) || text || chr(10) || 'public class A$1 { enum B {} }' || chr(10) as text from documents),
+    l as (select trim(unnest(string_split_regex(text, '\r?\n')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from d)
+    select (select count(*) from d) as files, (select sum(strlen(text)) from d)::bigint as bytes, (select sum(len(regexp_extract_all(text, '\b(?:class|interface|enum|record)\s+[A-Za-z_$][\w$]*'))) from d)::bigint as declared_types,
+    count(*) as physical_lines, count(*) filter (s = '') as blank_lines, count(*) filter (starts_with(s, '//') or starts_with(s, '/*')) as comment_lines, count(*) filter (s <> '' and not starts_with(s, '//') and not starts_with(s, '/*')) as source_lines from l"""

@@ -582,6 +582,42 @@ def span_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("span").agg(F.count("*").alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last"))
 
 
+def topic_drill_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are operations of their nation, debtors of none; every third has a label."""
+    rows = read(spark, sf_dir, "customer")
+    operations = rows.select(F.col("c_custkey").alias("op_id"), F.col("c_name").alias("root"))
+    told = rows.where("c_acctbal >= 0").select(F.col("c_custkey").alias("op_id"), F.col("c_nationkey").cast("int").alias("label"), (F.col("c_custkey") % 8 / 8).alias("similarity"))
+    labels = rows.where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("op_id"), F.when(F.col("c_custkey") % 2 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")).alias("label"))
+    return topics.drill_down(operations, told, labels).withColumn("place", F.col("place").cast("long"))
+
+
+def ordered_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.ordered_roots(roots_orphans(spark, sf_dir))
+
+
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' names and types as identifiers, methods and types; some are made synthetic by their size."""
+    made = F.concat(F.element_at(F.array(*map(F.lit, ("", "$", "access$", "lambda$a$", "<init>", "a.<lambda>", "java.util."))), (F.col("p_size") % 7 + 1).cast("int")), F.when(F.col("p_size") % 7 == 4, "").otherwise(F.col("p_type")), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("$"), F.col("p_size").cast("string"))).otherwise(""))
+    n = F.col("name")
+    rows = read(spark, sf_dir, "part").select("p_partkey", made.alias("name"))
+    return rows.select("p_partkey", names.is_synthetic(n).alias("synthetic"), names.is_document_type(F.col("name"), n).alias("type"), names.is_document_method(n).alias("method"), names.is_document_identifier(n).alias("identifier"))
+
+
+def correlated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations are asked for; turns answer, some twice, some about others, without text ids, keys or form."""
+    rows = read(spark, sf_dir, "conversations")
+    asked = rows.where("conv_id % 4 <> 3").select(F.col("conv_id").cast("string").alias("id"))
+    plain = F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), F.col("role").alias("label")))
+    answer = F.when(F.col("turn") == 0, F.when(F.col("conv_id") % 5 == 0, F.to_json(F.struct(F.col("conv_id").cast("string").alias("id")))).otherwise(plain)).when(F.col("turn") == 1, F.to_json(F.struct(F.col("conv_id").alias("id"), F.col("role").alias("label")))).when((F.col("turn") == 2) & (F.col("conv_id") % 2 == 0), F.concat(plain, F.lit("[0]"))).otherwise("none")
+    found, reasons = batches.correlated(asked, batches.scan_records(rows.select(answer.alias("text")), "id string, label string"), required=("id", "label"), exact=True)
+    return reasons.unionByName(found.agg(F.count("*").alias("n")).select(F.lit("resolved").alias("reason"), "n"))
+
+
+def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("// first\n\n"), "text", F.lit("\npublic class A$1 { enum B {} }\n")).alias("text"))
+    return reports.source_stats(rows, key="doc_id")
+
+
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order follow each other; returned ones lead back to an earlier line, or to themselves."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
@@ -616,7 +652,7 @@ def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("component", "nodes", "edges", F.col("length").cast("long").alias("length"), F.array_join("witness", ">").alias("witness"))
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report, answer_records, span_events)
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report, answer_records, span_events, topic_drill_down, ordered_roots, document_names, correlated_answers, source_stats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,7 +20,7 @@ def test_records_are_scanned_by_strings_and_depth():
 def test_scanned_answers_and_their_failures(spark):
     rows = [(1, '{"id": "x", "label": "a } { b"}{"id": "y"}\nnothing\n7'), (2, None), (3, "  "), (4, '{"id": 5')]
     got = batches.scan_records(spark.createDataFrame(rows, "call int, text string"), "id string, label string")
-    assert sorted((r["call"], r["pos"], tuple(r["record"]) if r["record"] else None, r["joined"], r["malformed"]) for r in got.collect()) == [(1, 0, ("x", "a } { b"), False, 0), (1, 1, ("y", None), True, 0), (1, 2, None, False, 0), (1, 3, None, False, 1), (4, 0, None, False, 1)]
+    assert sorted((r["call"], r["pos"], tuple(r["record"]) if r["record"] else None, r["joined"], r["malformed"]) for r in got.collect()) == [(1, 0, ("x", "a } { b"), True, 0), (1, 1, ("y", None), True, 0), (1, 2, None, False, 0), (1, 3, None, False, 1), (4, 0, None, False, 1)]
     assert {r["call"]: tuple(r)[1:] for r in batches.parse_failures(got, by="call").collect()} == {1: (2, 1, 1, 1), 4: (0, 1, 0, 0)}
 
 
