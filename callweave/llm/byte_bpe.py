@@ -88,7 +88,7 @@ class Seen:
 
     def new(self) -> list[str]:
         """Strings that have no ids yet."""
-        return list(itertools.islice(self.numbers, len(self.ends) - 1, None))
+        return list(itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.ends) + 1))[::-1]
 
     def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
         self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])

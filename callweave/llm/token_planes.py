@@ -11,6 +11,7 @@ can be read without the others (``read_block``).
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -24,12 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callweave.llm.byte_bpe import Seen
 from callweave.llm.common import small_batches, table
 from callweave.session import shared_dir
 
 BLOCK, CHUNK_IDS, END_ID = 1 << 14, 1 << 18, 2
-#: Pieces that a worker keeps encoded in each of two generations (about 80 MB each), and how the vocabulary writes a space.
-REMEMBERED, SPACE = 400_000, "\u0120"
+#: Pieces that a worker keeps encoded (about 200 bytes each), and how the vocabulary writes a space.
+REMEMBERED, SPACE = 700_000, "\u0120"
 RUN = re.compile(r" \s")
 _tokenizers: dict[str, tuple] = {}
 
@@ -78,8 +80,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     The byte-level pattern always cuts before a single space between two other characters than white space, and
     no piece looks beyond such a cut, so pieces need encoding once. New pieces of some texts are encoded
     together as one text; only the first token of a piece begins with a space, which parts their ids again.
-    A worker keeps two generations of at most ``REMEMBERED`` pieces (and those of the texts at hand): a full
-    generation grows old, pieces used again move on to the young one, and what is not used again is forgotten.
+    A worker numbers its pieces and gathers a text's ids by their numbers; once it knows more than
+    ``REMEMBERED`` pieces it begins again.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -89,33 +91,25 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         vocabulary = tokenizer.get_vocab()
         leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        _tokenizers[path] = (tokenizer, leads, [{}, {}])
-    tokenizer, leads, generations = _tokenizers[path]
+        _tokenizers[path] = (tokenizer, leads, [Seen()])
+    tokenizer, leads, known = _tokenizers[path]
 
-    def learn(pieces: list[str]) -> list[bytes]:
-        out: list[bytes] = []
+    def learn(seen: Seen) -> None:
+        pieces = seen.new()
         for at in range(0, len(pieces), 2000):
-            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(pieces[at : at + 2000])], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = 4 * np.flatnonzero(leads[ids])
-            data = ids.tobytes()
-            out.extend(data[x:y] for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(data)]))
-        return out
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(pieces[at : at + 2000])], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            seen.add(np.diff(np.flatnonzero(leads[ids]), append=len(ids)), ids)
 
     def encode(texts: list[str]) -> list[bytes]:
+        if len(known[0].numbers) > REMEMBERED:
+            known[0] = Seen()
+        seen = known[0]
         # Texts with other white space after a space, or a space at their end, go to the tokenizer whole.
         plain = [None if RUN.search(t) or t[-1:] == " " else t.split(" ") for t in texts]
         heads = tokenizer.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, plain)], add_special_tokens=False)
-        young, old = generations
-        wanted = set().union(*(x[1:] for x in plain if x)) - young.keys()
-        again = wanted & old.keys()
-        young.update((w, old[w]) for w in again)
-        new = list(wanted - again)
-        young.update(zip(new, learn(new)))
-        get = young.__getitem__
-        out = [np.array(head.ids, dtype="<u4").tobytes() + b"".join(map(get, pieces[1:])) if pieces else np.array(head.ids, dtype="<u4").tobytes() for head, pieces in zip(heads, plain)]
-        if len(young) > REMEMBERED:
-            generations[:] = {}, young
-        return out
+        named = [seen.name(itertools.islice(p, 1, None)) if p and len(p) > 1 else None for p in plain]
+        learn(seen)
+        return [np.array(head.ids, dtype="<u4").tobytes() + (b"" if n is None else seen.ids(n).astype("<u4").tobytes()) for head, n in zip(heads, named)]
 
     return encode
 

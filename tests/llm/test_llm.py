@@ -272,7 +272,7 @@ def test_pieces_equal_whole_texts():
     whole, pieces = Tokenizer.from_file(token_planes.default_tokenizer()), token_planes.encoder(token_planes.default_tokenizer())
     rng = random.Random(0)
     texts = ["".join(rng.choice([" ", "a", "b.", "\n", "\t", "é", "'s", "12", "  ", "<|endoftext|>", "\x1c", "　", "\x00"]) for _ in range(rng.randint(0, 14))) for _ in range(2000)]
-    token_planes.REMEMBERED = 50  # generations turn
+    token_planes.REMEMBERED = 50  # the worker begins again
     pieces(texts[:500])
     assert pieces(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
 
