@@ -1,10 +1,37 @@
-"""DuckDB SQL for the operators that SQL can express, over the same tables; written from the contracts, not from the Spark plans."""
+"""DuckDB SQL for the operators that SQL can express, over the same tables.
+
+Rules and patterns of the contracts are written out here, not taken from the operators, so that an error in
+either shows.
+"""
 
 from __future__ import annotations
 
-from callweave.llm.mixing import DIMENSIONS, TOPICS
-from callweave.llm.secrets import OWNED, PATTERNS
-from callweave.llm.url_filter import LINK, RULES, TWIN
+# Rules of operator 5 (verdict, host, path), its twin hosts and links.
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+TWIN = "^(?:www[0-9]?|m|mobile|amp|blog|news|shop)[.](.+[.].+)$"
+LINK = r"""\b(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
+# Kinds of operator 6, their patterns and the group that holds the secret; lengths are in the SQL.
+PATTERNS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1),
+    ("access", "AKIA[A-Z0-9]{12,}", 0),
+    ("hex", "[0-9a-f]{32,}", 0),
+    ("owned", "[A-Za-z0-9+/_=-]{16,}", 0),
+)
+OWNED = 3
+# Topics of operator 3 in order, their strings, and a pattern with strings that stand in its matches.
+DIMENSIONS = ("source", "lang", "topic")
+TOPICS = (
+    ("legal", ("license ", "licence ", "licensed ", "licenced ", "copyright", "all rights reserved"), ()),
+    ("technical", ("password", "secret", "token", "api_key", "apikey", "http://", "https://"), ()),
+    ("contact", ("@",), ((), "[0-9]{3}[- ][0-9]{3}")),
+    ("tabular", (), (("| ", " |"), "[|] [^|]* [|]")),
+)
 
 WORDS = r"'[^\x20\x09-\x0D]+'"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -77,11 +104,10 @@ def urls(rounds: int = 120) -> str:
         fits.append((f"(host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '{start}')", kind, name + start))
     rule = "case " + " ".join(f"when {c} then '{r}'" for c, _, r in fits) + " end"
     verdict = "case " + " ".join(f"when {c} then '{k}'" for c, k, _ in fits) + " end"
-    link = LINK.removeprefix("(?i)")
     return rf"""
 with recursive p as materialized (select page_id, {host.format("url")} as host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) as path, coalesce(html, '') as html from pages),
 judged as materialized (select page_id, host, path, {rule} as rule, {verdict} as ruled from p),
-found as (select host as src, unnest(regexp_extract_all(html, {quote("(?i)" + link)}, 1)) as link from p where host <> ''),
+found as (select host as src, unnest(regexp_extract_all(html, {quote("(?i)" + LINK)}, 1)) as link from p where host <> ''),
 linked as (select src, {LOWER.format("regexp_extract(link, '([^@]*)$', 1)")} as dst from found),
 l as (select src, dst, count(*) as n from linked where src <> dst and dst <> '' group by all),
 known as (select host as h from p where host <> '' union select dst from l),
@@ -105,7 +131,7 @@ select page_id, judged.host as host, path, rule, coalesce(ruled, case when distr
 def secret_spans() -> str:
     """Operator 6: spans by running sums of gaps and matches, owners and repositories of their hashes."""
     kinds = []
-    for k, (_, pattern, group, _) in enumerate(PATTERNS):
+    for k, (_, pattern, group) in enumerate(PATTERNS):
         q = quote(pattern)
         kinds.append(f"select r, {k} as kind, unnest(regexp_extract_all(text, {q}, 0)) as token, unnest(regexp_extract_all(text, {q}, {group})) as value, unnest(list_slice(string_split_regex(text, {q}), 1, len(regexp_extract_all(text, {q})))) as gap, generate_subscripts(regexp_extract_all(text, {q}), 1) as nth from d")
     names = "case kind " + " ".join(f"when {k} then '{p[0]}'" for k, p in enumerate(PATTERNS)) + " end"
