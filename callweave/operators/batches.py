@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callweave.session import materialize
+from callweave.session import Rounds, materialize, release
 
 #: A code fence, limits of a batch and sizes of the retry rounds.
 FENCE = re.compile(r"^```(?:json|jsonl)?\s*|\s*```$", re.MULTILINE)
@@ -209,6 +209,53 @@ def retry_rounds(items: DataFrame, complete: Callable[[DataFrame, int], DataFram
     return done
 
 
+def batched_rounds(
+    items: DataFrame, complete: Callable[[DataFrame, DataFrame, int], DataFrame], *, key: str = "key", sizes: tuple[int, ...] = ROUND_SIZES, overhead: Callable[[DataFrame, int], int] | None = None, max_input: int = INPUT_TOKENS, max_output: int = OUTPUT_TOKENS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(key, id, answer, attempt)``, ``(key, id, attempt)`` of what is too large to be asked for, and a row of totals.
+
+    ``items(key, id, pos, size, …)``: places differ inside a key, sizes are rendered bytes. Each attempt packs what is open
+    again, with the attempt's batch size and the bytes that ``overhead(answers so far, attempt)`` takes from every
+    batch, as those answers are the next one's context. An item that exceeds the input alone is set aside for good.
+    ``complete(batches, answers so far, attempt)`` gets ``items`` with ``batch`` and gives ``(key, batch, id, answer)``: an
+    answer counts in the batch that asked for it, several void each other there, null is none. A first answer stays.
+    Totals: requested, resolved, unresolved, oversized, attempts, request_batches, retry_items.
+    """
+    left = materialize(items)
+    requested = left.count()
+    answered, large = Rounds(), Rounds()
+    # A missing round's tables begin empty, so that callers see their columns.
+    large.add(left.select(key, "id", F.lit(0).alias("attempt")).limit(0))
+    so_far, attempts, batches_sent, retried, open_items = None, 0, 0, 0, requested
+    for attempt, most in enumerate(sizes):
+        if not open_items:
+            break
+        attempts, retried = attempt + 1, retried + (open_items if attempt else 0)
+        none = left.select(key, "id", F.lit(None).cast("string").alias("answer"), F.lit(attempt).alias("attempt")).limit(0)
+        known = none if so_far is None else so_far
+        extra = overhead(known, attempt) if overhead is not None else 0
+        packed = pack(left, key=key, order="pos", size="size", max_items=most, overhead=extra, max_input=max_input, max_output=max_output)
+        packed = materialize(left.join(packed, [key, "pos"]))
+        # Nothing is packed with an item that fills more than a batch, so its size alone tells.
+        over = F.coalesce(F.col("size").cast("long"), F.lit(0)) + extra > 3 * max_input
+        aside = large.add(packed.where(over).select(key, "id", F.lit(attempt).alias("attempt")))
+        asked = materialize(packed.where(~over))
+        batches_sent += asked.select(key, "batch").distinct().count()
+        got = complete(asked, known, attempt).where("answer is not null").select(key, "batch", "id", "answer").join(asked.select(key, "batch", "id"), [key, "batch", "id"])
+        once = got.groupBy(key, "id").agg(F.count("*").alias("n"), F.min("answer").alias("answer")).where("n = 1")
+        new = answered.add(once.select(key, "id", "answer", F.lit(attempt).alias("attempt")))
+        so_far = answered.all()
+        after = materialize(left.join(new.select(key, "id"), [key, "id"], "left_anti").join(aside.select(key, "id"), [key, "id"], "left_anti"))
+        release(left, packed, asked)
+        left, open_items = after, after.count()
+    if so_far is None:
+        so_far = left.select(key, "id", F.lit(None).cast("string").alias("answer"), F.lit(0).alias("attempt")).limit(0)
+    resolved, oversized = so_far.count(), large.all().count()
+    row = [(requested, resolved, requested - resolved, oversized, attempts, batches_sent, retried)]
+    totals = items.sparkSession.createDataFrame(row, "requested long, resolved long, unresolved long, oversized long, attempts long, request_batches long, retry_items long")
+    return so_far, large.all(), totals
+
+
 def unique_labels(labels: DataFrame, *, topic: str, label: str, order: str) -> DataFrame:
     """The first label of a topic among equal ones, case aside."""
     rank = F.row_number().over(W.partitionBy(topic, F.lower(label)).orderBy(order))

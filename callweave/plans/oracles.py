@@ -229,3 +229,29 @@ SQL["source_stats"] = r"""with d as (select doc_id, '// first' || chr(10) || chr
     l as (select trim(unnest(string_split_regex(text, '\r?\n')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as s from d)
     select (select count(*) from d) as files, (select sum(strlen(text)) from d)::bigint as bytes, (select sum(len(regexp_extract_all(text, '\b(?:class|interface|enum|record)\s+[A-Za-z_$][\w$]*'))) from d)::bigint as declared_types,
     count(*) as physical_lines, count(*) filter (s = '') as blank_lines, count(*) filter (starts_with(s, '//') or starts_with(s, '/*')) as comment_lines, count(*) filter (s <> '' and not starts_with(s, '//') and not starts_with(s, '/*')) as source_lines from l"""
+
+SQL["slice_parts"] = f"""with recursive {TREE}, starts as (select 'r' || r_regionkey as root from region union all select 'n' || n_nationkey from nation),
+    w(root, id) as (select root, root from starts union select root, dst from w join tree on src = w.id),
+    all_edges as (select src, dst from tree union all select 'o' || o_orderkey, 'c' || o_custkey from orders where o_orderstatus = 'F'),
+    n as (select root, count(*) as nodes from w group by root), e as (select a.root, count(*) as edges from all_edges join w a on a.id = src join w b on b.id = dst and b.root = a.root group by a.root),
+    k as (select w.root, o.* from w join orders o on w.id = 'o' || o_orderkey),
+    b as (select root, count(*) as branches from (select root, id from w where id like 'c%' union all select distinct root, 'g' || (o_orderkey % 50) from k where o_orderkey % 50 in (select o_orderkey % 60 from orders)) group by root),
+    l as (select root, count(*) as loops from (select root, id from w where id like 'n%' union all select distinct root, o_orderstatus from k) group by root)
+    select root, coalesce(nodes, 0) as nodes, coalesce(edges, 0) as edges, coalesce(branches, 0) as branches, coalesce(loops, 0) as loops from starts left join n using (root) left join e using (root) left join b using (root) left join l using (root)"""
+SQL["targeted_flow"] = f"""with recursive {BRANDSEQ}, asked as materialized (select src, dst from brandseq union select a.src, b.dst from brandseq a join brandseq b on a.dst = b.src),
+    t as (select distinct dst as id, dst in (select p_partkey from part where p_size % 3 <> 1) as known from asked), kept as materialized (select p_partkey as id from part where p_size < 25),
+    w(root, id, level) as (select id, id, 0 from t where known union select root, e.src, level + 1 from w join brandseq e on e.dst = w.id where level < 10 and (level = 0 or w.id not in (select id from kept))),
+    seen as materialized (select root, id, min(level) as level from w group by root, id),
+    met as (select id as src, root as dst from seen where level > 0 and id in (select id from kept) and (id, root) in (select (src, dst) from asked)), v as (select root, count(*) as n from seen group by root)
+    select dst, count(*) as n, min(src) as first from met group by dst union all select null, sum(n)::bigint, max(n) from v union all select null, count(*), count(*) filter (not known) from t"""
+
+SQL["retry_batches"] = """select source as key, doc_id as id, case when strlen(text) <= 30000 and doc_id % 4 < 3 then 'a' || doc_id end as answer,
+    case when strlen(text) > 30000 then -1 when doc_id % 4 < 3 then doc_id % 4 end as attempt from documents"""
+
+SQL["call_instances"] = """with c as (select *, case when c_mktsegment = 'MACHINERY' then row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey desc) else row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) end as place from customer),
+    r as (select 'r' || r_regionkey as i, r_regionkey from region), n as (select i || '/' || n_name || '/0:n' || n_nationkey as j, i, n_name, n_nationkey, n_regionkey from r join nation on n_regionkey = r_regionkey),
+    k as (select j || '/' || c_mktsegment || '/' || c_custkey || ':c' || c_custkey as l, j, c_mktsegment, c_custkey, c_acctbal from n join c on c_nationkey = n_nationkey and place = 1),
+    g as (select i || '#' || i as id, i as method, 0 as depth, false as expandable, false as cut, 0 as invokes, (select count(*) from n where n.i = r.i) as follows from r
+    union all select i || '#' || n_name, i, 0, true, false, 1, 0 from n union all select j || '#n' || n_nationkey, 'n' || n_nationkey, 1, false, false, 0, (select count(*) from k where k.j = n.j) from n where n_nationkey is not null
+    union all select j || '#' || c_mktsegment, 'n' || n_nationkey, 1, true, false, 1, 0 from k join n using (j) union all select l || '#c' || c_custkey, 'c' || c_custkey, 2, false, false, 0, (c_acctbal < 0)::int from k
+    union all select l || '#back', 'c' || c_custkey, 2, true, true, 0, 0 from k where c_acctbal < 0) select * from g"""

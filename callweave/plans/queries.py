@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from callweave.functions import names, text
 from callweave.functions.guards import no_guards
 from callweave.functions.signature import overlap
-from callweave.operators import batches, branches, bundle, cycles, gates, graph, methods, phases, reports, scoping, topics, validate
+from callweave.operators import batches, branches, bundle, cycles, gates, graph, instances, methods, phases, reports, scoping, slices, topics, validate
 from callweave.plans.oracles import SQL
 
 
@@ -618,6 +618,65 @@ def source_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.source_stats(rows, key="doc_id")
 
 
+def slice_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices of regions and nations over the tree: orders are calls in arms and loops, finished ones flow back to their customer."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    orders, tree = read(spark, sf_dir, "orders"), tree_edges(spark, sf_dir)
+    starts = read(spark, sf_dir, "region").select(tag("r", "r_regionkey").alias("id")).unionByName(read(spark, sf_dir, "nation").select(tag("n", "n_nationkey").alias("id")))
+    entries = starts.unionByName(read(spark, sf_dir, "customer").select(tag("c", "c_custkey").alias("id")))
+    none, arm = no_guards(), lambda c: F.array(F.struct(c.alias("groupId"), F.lit("x").alias("armLabel")))
+    nodes = entries.select("id", F.lit("entry").alias("type"), F.col("id").alias("calleeFullName"), none.alias("branchArms"), F.array().cast("array<string>").alias("loopIds"))
+    nodes = nodes.unionByName(orders.select(tag("o", "o_orderkey").alias("id"), F.lit("call").alias("type"), F.lit("f").alias("calleeFullName"), arm(F.concat(F.lit("g"), (F.col("o_orderkey") % 50).cast("string"))).alias("branchArms"), F.array(tag("l", "o_orderpriority"), F.concat(F.lit("l"), F.col("o_orderstatus"))).alias("loopIds")))
+    data = orders.where("o_orderstatus = 'F'").select(tag("o", "o_orderkey").alias("src"), tag("c", "o_custkey").alias("dst"), F.lit("data").alias("type"))
+    groups = lambda df, key, method: df.select(key.alias("id"), method.cast("string").alias("method"))
+    branches_of = groups(read(spark, sf_dir, "customer"), tag("b", "c_custkey"), tag("c", "c_custkey")).unionByName(groups(orders.select((F.col("o_orderkey") % 60).alias("k")).distinct(), tag("g", "k"), F.lit(None)))
+    loops_of = groups(read(spark, sf_dir, "nation"), tag("m", "n_nationkey"), tag("n", "n_nationkey")).unionByName(groups(orders.select(F.col("o_orderstatus").alias("k")).distinct(), tag("l", "k"), F.lit(None)))
+    parts = slices.slice_graph(nodes, tree.withColumn("type", F.lit("invoke")).unionByName(data), branches_of, loops_of, starts)
+    counts = [df.groupBy("root").agg(F.count("*").alias(name)) for name, df in parts.items()]
+    out = starts.withColumnRenamed("id", "root")
+    for df in counts:
+        out = out.join(df, "root", "left")
+    return out.fillna(0)
+
+
+def targeted_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts flow along orders of their brand; small ones are retained, and asked for two steps before each part; odd sizes are no nodes."""
+    edges, part = brand_edges(spark, sf_dir), read(spark, sf_dir, "part")
+    two = edges.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
+    size = lambda where: part.where(where).select(F.col("p_partkey").alias("id"))
+    found, stats = slices.targeted_flow(edges, edges.unionByName(two), size("p_size < 25"), size("p_size % 3 <> 1"))
+    kept = found.groupBy("dst").agg(F.count("*").alias("n"), F.min("src").alias("first"))
+    return kept.unionByName(stats.select(F.lit(None).alias("dst"), "visited", "most_visited").toDF("dst", "n", "first")).unionByName(stats.select(F.lit(None).alias("dst"), "targets", "missing").toDF("dst", "n", "first"))
+
+
+def retry_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents are asked for by source; each is answered in the attempt of its number, every fourth never; long ones are set aside."""
+    rows = read(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), F.octet_length("text").cast("long").alias("size"))
+    complete = lambda asked, known, attempt: asked.where(F.col("id") % 4 <= attempt).select("key", "batch", "id", F.concat(F.lit("a"), F.col("id").cast("string")).alias("answer"))
+    found, large, _ = batches.batched_rounds(rows, complete)
+    none = F.lit(None).cast("string").alias("answer")
+    told = found.select("key", "id", "answer", "attempt").unionByName(large.select("key", "id", none, F.lit(-1).alias("attempt")))
+    return rows.select("key", "id").join(told, ["key", "id"], "left").select("key", "id", "answer", F.col("attempt").cast("long").alias("attempt"))
+
+
+def call_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions call their nations, nations a customer of each market segment, of the last segment the one with the largest key; debtors call their region again."""
+    tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    nation, customer = read(spark, sf_dir, "nation"), read(spark, sf_dir, "customer")
+    segment = customer.select(tag("n", "c_nationkey").alias("method"), F.col("c_mktsegment").alias("call"), F.col("c_custkey").alias("pos"), tag("c", "c_custkey").alias("target"))
+    back = customer.where("c_acctbal < 0").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(tag("c", "c_custkey").alias("method"), F.lit("back").alias("call"), F.lit(0).cast("long").alias("pos"), tag("r", "n_regionkey").alias("target"))
+    first = nation.select(tag("r", "n_regionkey").alias("method"), F.col("n_name").alias("call"), F.lit(0).cast("long").alias("pos"), tag("n", "n_nationkey").alias("target"))
+    calls_of = first.unionByName(segment).unionByName(back)
+    entries = calls_of.select(F.explode(F.array("method", "target")).alias("method")).distinct()
+    nodes = entries.select("method", F.col("method").alias("node")).unionByName(calls_of.select("method", F.col("call").alias("node")).distinct())
+    path = F.concat(tag("r", "n_regionkey"), F.lit("/"), F.col("n_name"), F.lit("/0:"), tag("n", "n_nationkey"))
+    last = segment.where("call = 'MACHINERY'").groupBy("method", "call").agg(F.max_by("target", "pos").alias("target"))
+    chosen = nation.select(path.alias("instance"), tag("n", "n_nationkey").alias("method")).join(last, "method")
+    visible, edges = instances.instantiate(read(spark, sf_dir, "region").select(tag("r", "r_regionkey").alias("method")), nodes, calls_of.select("method", F.col("method").alias("src"), F.col("call").alias("dst")).distinct(), calls_of, chosen=chosen)
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count_if(F.col("type") == "invoke").alias("invokes"), F.count_if(F.col("type") == "sequence").alias("follows"))
+    return visible.join(out, "id", "left").select("id", "method", F.col("depth").cast("long").alias("depth"), "expandable", "cut", F.coalesce("invokes", F.lit(0)).alias("invokes"), F.coalesce("follows", F.lit(0)).alias("follows"))
+
+
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order follow each other; returned ones lead back to an earlier line, or to themselves."""
     rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
@@ -652,7 +711,7 @@ def cycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("component", "nodes", "edges", F.col("length").cast("long").alias("length"), F.array_join("witness", ">").alias("witness"))
 
 
-FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report, answer_records, span_events, topic_drill_down, ordered_roots, document_names, correlated_answers, source_stats)
+FOUND = (bridge_events, bridge_guarded, call_pairs, noise_filter, reach_parts, reach_tree, depth_capped, roots_orphans, callers_callees, peel_tree, part_components, linear_runs, expand_tree, effective_count, name_predicates, split_identifiers, preprocess, doc_dedupe, ctfidf_terms, centroids, assign_nearest, knn5, density, coverage, package_attach, package_prefix, overlap_pairs, core_signature, segments, line_stats, pack_batches, correlate, label_check, comment_interval, topic_report, run_totals, dangling_edges, data_edges, token_estimate, graph_stats, derived_guards, call_resolution, phase_keys, nested_items, gate_answers, label_groups, method_bundle, bundle_checks, payload_batches, corpus_text, throw_edges, lambda_calls, arm_outcomes, group_methods, direct_flow, data_attached, membership, operation_documents, traversal, boundaries, evidence, failure_counters, topic_answers, cluster_names, label_subjects, readme_packages, anchors_check, exits_check, visible_graph, unfit_roots, retained_calls, scoped_features, method_phases, cycle_cut, topo_levels, cycle_report, answer_records, span_events, topic_drill_down, ordered_roots, document_names, correlated_answers, source_stats, slice_parts, targeted_flow, retry_batches, call_instances)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
