@@ -233,7 +233,8 @@ def classified(words: DataFrame, of_unit: np.ndarray, moves: np.ndarray, classes
             near = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype="<u4")
             of_entry = np.repeat(group, lengths)
             c = np.bincount(group, weights=counts).astype(np.int64)
-            sums = np.bincount(of_entry * CODES + (near >> COUNT_BITS), weights=near & ((1 << COUNT_BITS) - 1), minlength=len(starts) * CODES).reshape(-1, CODES)
+            # Of no entries bincount gives whole numbers, which floats can't be added to.
+            sums = np.bincount(of_entry * CODES + (near >> COUNT_BITS), weights=near & ((1 << COUNT_BITS) - 1), minlength=len(starts) * CODES).astype(np.float64).reshape(-1, CODES)
             first = word[0].as_py()
             if open_word is not None and first != open_word:
                 yield finish([open_word], np.array([0]), places, np.array([total]), heard[None])

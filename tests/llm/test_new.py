@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import byte_bpe, phrases, prefix_trie
+from callweave.llm import byte_bpe, class_lm, phrases, prefix_trie
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -209,3 +209,11 @@ def test_running_values_across_tasks(spark):
         n, x, s = want.get((k, i - 1), (0, 0, 0))
         want[k, i] = (n + 1, x ^ v, s + v)
     assert {(r["k"], r["i"]): (r["nth"], r["v"], r["s"]) for r in got} == want
+
+
+def test_words_that_no_training_text_has(spark):
+    """A batch of words without a neighbour in training text, as held-out texts alone give it."""
+    rows = [(bytearray(w), p, i, 0, bytearray()) for i, (w, p) in enumerate([(b"a", 1), (b"a", 2), (b"b", 1)])]
+    words = spark.createDataFrame(rows, "word binary, part long, number int, n long, near binary")
+    found = class_lm.classified(words, np.zeros(class_lm.UNITS + 2, dtype=np.int64), np.ones((4, 4)), 2)
+    assert sorted((r["of_part"], r["number"], r["c"], r["class"]) for r in found.collect()) == [(1, 0, 0, 0), (1, 2, 0, 0), (2, 1, 0, 0)]
