@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.operators.graph import reach
-from callweave.session import Rounds
+from callweave.session import Rounds, materialize
 
 
 def scoped_features(features: DataFrame, ids: DataFrame) -> DataFrame:
@@ -51,8 +51,11 @@ def attach_data_edges(edges: DataFrame, data: DataFrame, nodes: DataFrame) -> Da
     return edges.select("src", "dst", "type").unionByName(data.select("src", "dst", F.lit("data").alias("type"))).distinct()
 
 
-def cells(low: Column, high: Column) -> Column:
-    """The least set of cells ``(level, cell)`` that makes up [low, high]: of level k are runs of 2^k numbers that begin at a multiple of it."""
+def cells(low: Column, high: Column, widths: Column | None = None) -> Column:
+    """The least set of cells ``(level, cell)`` that makes up [low, high]: of level k are runs of 2^k numbers that begin at a multiple of it.
+
+    Levels up to ``widths`` are tried, 62 by default; the number of bits of ``high`` + 1 is enough above zero.
+    """
     state = F.struct(low.alias("l"), (high + 1).alias("r"), F.expr("cast(array() as array<struct<level:int,cell:bigint>>)").alias("cells"))
 
     def halve(s: Column, k: Column) -> Column:
@@ -62,29 +65,44 @@ def cells(low: Column, high: Column) -> Column:
         further = F.concat(s["cells"], one(left, s["l"]), one(right & (~left | (s["l"] + 1 < s["r"])), s["r"] - 1))
         return F.struct(F.shiftright(s["l"] + left.cast("long"), 1).alias("l"), F.shiftright(s["r"] - right.cast("long"), 1).alias("r"), further.alias("cells"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(62)), state, halve, lambda s: s["cells"])
+    return F.aggregate(F.sequence(F.lit(0), F.lit(62) if widths is None else widths), state, halve, lambda s: s["cells"])
+
+
+def _counted(spans: DataFrame, points: DataFrame, *, by: str, at: str, end: str, side: int, name: str) -> DataFrame:
+    """``spans`` with the number of ``points`` of their ``by`` that lie before ``end`` (side 0) or not behind it (side 2)."""
+    marks = points.select(by, F.col(at).alias("__x"), F.lit(1).alias("__side"))
+    marks = marks.unionByName(spans.select(by, F.col(end).alias("__x"), F.lit(side).alias("__side"), F.struct("*").alias("__span")), allowMissingColumns=True)
+    order = W.partitionBy(by).orderBy("__x", "__side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return marks.withColumn(name, F.count_if(F.col("__side") == 1).over(order)).where("__span is not null").select("__span.*", name)
 
 
 def within_lines(points: DataFrame, spans: DataFrame, *, by: str, at: str = "line", low: str = "start", high: str = "end") -> DataFrame:
     """Points of ``points(by, at, …)`` with every span ``(by, low, high, …)`` they lie in, ends included; no end: the start; no start: none.
 
-    Spans of whole numbers, dates or times are cut into cells of doubling width, two of a width at most. A point
-    lies in one cell of each width, and in at most one cell of a span, so an equal join on cells gives each row of
-    the result once and no other row, whatever a file holds. Ends before the start hold nothing.
+    Points are ranked within ``by``, and a span becomes the range of the ranks that lie in it, so a span without a
+    point is gone. Ranges are cut into cells of doubling width, two of a width at most, which are never more than the
+    points in it. A point lies in one cell of each width, and in at most one cell of a span, so an equal join on cells
+    gives each row of the result once and no other row, whatever a file holds. The points of one value of ``by`` are
+    sorted in one task. Ends before the start hold nothing.
     """
     kind = dict(points.dtypes)[at]
-    micros = lambda c: F.unix_date(c.cast("date")).cast("long") * 86_400_000_000 + (F.hour(c) * 3600 + F.minute(c) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
-    number = {"timestamp": F.unix_micros, "timestamp_ntz": micros, "date": F.unix_date}.get(kind, lambda c: c)
     if kind not in ("timestamp", "timestamp_ntz", "date", "tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"points of type {kind} have no cells")
-    bound = spans.where(F.col(low).isNotNull()).withColumn(high, F.coalesce(F.col(high), F.col(low)))
-    bound = bound.withColumn("__cell", F.explode(cells(number(F.col(low)).cast("long"), number(F.col(high)).cast("long"))))
+    points = points.where(F.col(at).isNotNull() & F.col(by).isNotNull())
+    bound = spans.where(F.col(low).isNotNull() & F.col(by).isNotNull()).withColumn(high, F.coalesce(F.col(high), F.col(low)))
+    bound = _counted(bound, points, by=by, at=at, end=low, side=0, name="__before")
+    bound = _counted(bound, points, by=by, at=at, end=high, side=2, name="__through").where("__before < __through")
+    # Ties have the rank of their first, so all of them or none lie in a range.
+    bits = F.length(F.bin(F.col("__through") + 1))
+    bound = materialize(bound.withColumn("__cell", F.explode(cells(F.col("__before") + 1, F.col("__through"), bits))).drop("__before", "__through"))
     # At most 63 widths.
     widths = sorted(r[0] for r in bound.select("__cell.level").distinct().collect())
-    mine = lambda k: F.struct(F.lit(k).alias("level"), F.shiftright(number(F.col(at)).cast("long"), k).alias("cell"))
+    mine = lambda k: F.struct(F.lit(k).alias("level"), F.shiftright(F.col("__rank"), k).alias("cell"))
     none = F.expr("cast(array() as array<struct<level:int,cell:bigint>>)")
-    placed = points.where(F.col(at).isNotNull()).withColumn("__cell", F.explode(F.array(*map(mine, widths)) if widths else none))
-    return placed.join(bound, [by, "__cell"]).drop("__cell")
+    ranked = points.withColumn("__rank", F.rank().over(W.partitionBy(by).orderBy(at)).cast("long"))
+    placed = ranked.withColumn("__cell", F.explode(F.array(*map(mine, widths)) if widths else none)).drop("__rank")
+    # Cells are written small and are many in memory: they are never broadcast.
+    return placed.join(bound.hint("merge"), [by, "__cell"]).drop("__cell")
 
 
 def memberships(edges: DataFrame, operations: DataFrame) -> DataFrame:

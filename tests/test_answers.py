@@ -76,3 +76,14 @@ def test_points_meet_the_spans_around_them(spark):
     got = scoping.within_lines(spark.createDataFrame(points, "file string, line int, p int"), spark.createDataFrame(spans, "file string, start int, end int, s int"), by="file")
     want = sorted((p, s) for f, n, p in points for g, a, b, s in spans if f == g and n is not None and a is not None and a <= n <= (a if b is None else b))
     assert sorted((r["p"], r["s"]) for r in got.collect()) == want
+
+
+def test_spans_are_cut_by_their_points(spark):
+    """Cells of a span never outnumber its points, however wide it is, and are not broadcast."""
+    points = spark.createDataFrame([("f", 1000003 * i + 7, i) for i in range(40)], "file string, line long, p int")
+    spans = spark.createDataFrame([("f", i, 1000003 * (i + 3), i) for i in range(30)] + [("f", 11, 12, 99), (None, 0, 10**9, 98)], "file string, start long, end long, s int")
+    found = scoping.within_lines(points, spans, by="file")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+    held = spark.read.parquet(*[f for f in found.inputFiles() if "callweave-" in f])
+    assert held.count() <= found.count() == sum(a <= 1000003 * i + 7 <= b for i in range(40) for a, b in ((n, 1000003 * (n + 3)) for n in range(30)))
