@@ -6,6 +6,10 @@ of its chains. Every round is a join over written tables, which are deleted afte
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+from itertools import accumulate
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -94,19 +98,25 @@ def tarjan(edges: list[tuple]) -> dict:
     return part
 
 
+def _folded(rows: DataFrame, by: str, run: Callable[[pa.Table], pa.Table], schema: str, fold: int) -> DataFrame:
+    """``run`` over tables of about ``fold`` rows that hold whole values of ``by``, many of them if they are small."""
+    many = max(1, -(-rows.count() // max(1, fold)))
+    return rows.withColumn("__fold", F.pmod(F.xxhash64(by), F.lit(many))).groupBy("__fold").applyInArrow(run, schema)
+
+
 def strong_components(edges: DataFrame, *, within: str | None = None, fold: int = 100_000) -> DataFrame:
     """``(id, component)`` of every node of ``edges(src, dst)``; the component is its smallest node.
 
     ``within`` names a column of which every node has one value, like its method: values of up to ``fold`` edges
-    are folded in one task each. The others, and all without it, take rounds of joins. Repeated edges and
-    self-loops are allowed; nulls are no nodes; no edges give no rows.
+    are folded in tasks that take about ``fold`` edges at once. The others, and all without it, take rounds of joins.
+    Repeated edges and self-loops are allowed; nulls are no nodes; no edges give no rows.
     """
     edges = edges.where("src is not null and dst is not null")
     if within is None:
         return _by_colours(edges)
     kind = dict(edges.dtypes)["src"]
     each = materialize(edges.select(F.coalesce(F.col(within).cast("string"), F.lit("")).alias("within"), "src", "dst").distinct())
-    small = each.groupBy("within").count().where(F.col("count") <= fold).select("within")
+    big = materialize(each.groupBy("within").count().where(F.col("count") > fold).select("within"))
 
     def run(group: pa.Table) -> pa.Table:
         # Nodes are numbered in their order, so that the smallest number is the smallest node.
@@ -114,11 +124,13 @@ def strong_components(edges: DataFrame, *, within: str | None = None, fold: int
         nodes = nodes.take(pc.array_sort_indices(nodes))
         a, b = (pc.index_in(group.column(c), nodes).to_pylist() for c in ("src", "dst"))
         part = tarjan(list(zip(a, b)))
-        return pa.table({"id": nodes, "component": nodes.take(pa.array([part[i] for i in range(len(nodes))]))})
+        return pa.table({"id": nodes, "component": nodes.take(pa.array([part[i] for i in range(len(nodes))], pa.int64()))})
 
-    folded = each.join(small, "within", "left_semi").groupBy("within").applyInArrow(run, f"id {kind}, component {kind}")
-    large = materialize(each.join(small, "within", "left_anti"))
-    return folded if large.isEmpty() else folded.unionByName(_by_colours(large))
+    schema = f"id {kind}, component {kind}"
+    if big.isEmpty():
+        return _folded(each, "within", run, schema, fold)
+    folded = _folded(materialize(each.join(big, "within", "left_anti")), "within", run, schema, fold)
+    return folded.unionByName(_by_colours(materialize(each.join(big, "within", "left_semi"))))
 
 
 def _by_colours(edges: DataFrame) -> DataFrame:
@@ -168,13 +180,22 @@ def cyclic(edges: DataFrame, parts: DataFrame) -> DataFrame:
     return edges.join(side("src"), "src").join(side("dst"), "dst").where("src_part = dst_part").withColumn("component", F.col("src_part")).drop("src_part", "dst_part")
 
 
-def shortest_cycle(edges: list[tuple], start: int) -> list[int]:
-    """A shortest cycle through ``start`` by breadth-first levels, then back from its end over the smallest nodes of each level."""
-    into: dict = {}
+def around(edges: list[tuple]) -> tuple[dict, dict]:
+    """The nodes behind and before each node."""
     to: dict = {}
+    into: dict = {}
     for a, b in edges:
         to.setdefault(a, []).append(b)
         into.setdefault(b, []).append(a)
+    return to, into
+
+
+def shortest_cycle(edges: list[tuple], start: int) -> list[int]:
+    """A shortest cycle through ``start`` by breadth-first levels, then back from its end over the smallest nodes of each level."""
+    return _cycle(*around(edges), start)
+
+
+def _cycle(to: dict, into: dict, start: int) -> list[int]:
     level, layer, depth = {start: 0}, [start], 0
     while layer and not any(start in to[n] for n in layer):
         layer = list(dict.fromkeys(m for n in layer for m in to[n] if m not in level))
@@ -191,25 +212,36 @@ def cycle_report(edges: DataFrame, *, within: str | None = None, fold: int = 100
 
     The witness is a shortest cycle through the component's smallest node, beginning there; of several the one
     whose nodes, read from its end, are the smallest. ``nodes`` and ``edges`` count those on cycles. Components of
-    up to ``fold`` edges are searched in one task each; in larger ones a round of joins is made for each level.
+    up to ``fold`` edges are searched in tasks that take about ``fold`` edges at once; in larger ones a round of joins
+    is made for each level.
     """
     distinct = edges.select("src", "dst").distinct()
     inside = materialize(cyclic(distinct, strong_components(edges, within=within, fold=fold)))
     kind = dict(inside.dtypes)["component"]
-    shape = materialize(inside.groupBy("component").agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges")))
-    small = shape.where(F.col("edges") <= fold).select("component")
+    large = materialize(inside.groupBy("component").count().where(F.col("count") > fold).select("component"))
+    small = inside if large.isEmpty() else materialize(inside.join(large, "component", "left_anti"))
 
     def run(group: pa.Table) -> pa.Table:
+        # Components share no node, so all of a task are searched in one graph. A component is named by its smallest node.
         nodes = pc.unique(group.column("src"))
         nodes = nodes.take(pc.array_sort_indices(nodes))
-        a, b = (pc.index_in(group.column(c), nodes).to_pylist() for c in ("src", "dst"))
-        walk = nodes.take(pa.array(shortest_cycle(list(zip(a, b)), 0)))
-        return pa.table({"component": nodes.slice(0, 1), "length": pa.array([len(walk)], pa.int32()), "witness": pa.ListArray.from_arrays([0, len(walk)], walk)})
-
-    folded = inside.join(small, "component", "left_semi").groupBy("component").applyInArrow(run, f"component {kind}, length int, witness array<{kind}>")
-    inside = materialize(inside.join(small, "component", "left_anti"))
-    found = folded if inside.isEmpty() else folded.unionByName(_witnesses(inside))
-    return shape.join(found, "component").select("component", "nodes", "edges", "length", "witness")
+        a, b, of = (pc.index_in(group.column(c), nodes).to_pylist() for c in ("src", "dst", "component"))
+        to, into = around(list(zip(a, b)))
+        starts = sorted(set(of))
+        walks = [_cycle(to, into, n) for n in starts]
+        edges_of = Counter(of)
+        nodes_of = Counter(dict(zip(a, of)).values())
+        held = pa.array([n for walk in walks for n in walk], pa.int64())
+        cuts = pa.array(list(accumulate(map(len, walks), initial=0)), pa.int32())
+        counts = {"nodes": [nodes_of[n] for n in starts], "edges": [edges_of[n] for n in starts]}
+        return pa.table({"component": nodes.take(pa.array(starts, pa.int64())), **{c: pa.array(v, pa.int64()) for c, v in counts.items()}, "length": pa.array(list(map(len, walks)), pa.int32()), "witness": pa.ListArray.from_arrays(cuts, nodes.take(held))})
+
+    folded = _folded(small, "component", run, f"component {kind}, nodes long, edges long, length int, witness array<{kind}>", fold)
+    if large.isEmpty():
+        return folded
+    rest = materialize(inside.join(large, "component", "left_semi"))
+    shape = rest.groupBy("component").agg(F.count_distinct("src").alias("nodes"), F.count("*").alias("edges"))
+    return folded.unionByName(shape.join(_witnesses(rest), "component").select("component", "nodes", "edges", "length", "witness"))
 
 
 def _witnesses(inside: DataFrame) -> DataFrame:
