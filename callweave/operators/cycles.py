@@ -10,6 +10,7 @@ from collections import Counter
 from collections.abc import Callable
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -104,6 +105,23 @@ def _folded(rows: DataFrame, by: str, run: Callable[[pa.Table], pa.Table], schem
     return rows.withColumn("__fold", F.pmod(F.xxhash64(by), F.lit(many))).groupBy("__fold").applyInArrow(run, schema)
 
 
+def _parts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Strong components of both ends of the edges from a to b, named by their smallest node; nodes that no cycle can hold are trimmed before the search."""
+    nodes, ends = np.unique(np.stack([a, b]), return_inverse=True)
+    ends = ends.reshape(2, -1)
+    part, live = np.arange(len(nodes)), ends[:, ends[0] != ends[1]]
+    for _ in range(20):
+        goes, met = np.zeros(len(nodes), dtype=bool), np.zeros(len(nodes), dtype=bool)
+        goes[live[0]], met[live[1]] = True, True
+        kept = met[live[0]] & goes[live[1]]
+        if kept.all():
+            break
+        live = live[:, kept]
+    for n, least in tarjan(list(zip(*live.tolist()))).items():
+        part[n] = least
+    return nodes[part[ends]]
+
+
 def strong_components(edges: DataFrame, *, within: str | None = None, fold: int = 100_000) -> DataFrame:
     """``(id, component)`` of every node of ``edges(src, dst)``; the component is its smallest node.
 
@@ -122,9 +140,10 @@ def strong_components(edges: DataFrame, *, within: str | None = None, fold: int
         # Nodes are numbered in their order, so that the smallest number is the smallest node.
         nodes = pc.unique(pa.chunked_array([*group.column("src").chunks, *group.column("dst").chunks]))
         nodes = nodes.take(pc.array_sort_indices(nodes))
-        a, b = (pc.index_in(group.column(c), nodes).to_pylist() for c in ("src", "dst"))
-        part = tarjan(list(zip(a, b)))
-        return pa.table({"id": nodes, "component": nodes.take(pa.array([part[i] for i in range(len(nodes))], pa.int64()))})
+        a, b = (pc.index_in(group.column(c), nodes).to_numpy() for c in ("src", "dst"))
+        part, of = np.arange(len(nodes)), _parts(a, b)
+        part[a], part[b] = of
+        return pa.table({"id": nodes, "component": nodes.take(pa.array(part))})
 
     schema = f"id {kind}, component {kind}"
     if big.isEmpty():
@@ -311,6 +330,40 @@ def topo_levels(edges: DataFrame, ranks: DataFrame, *, within: str | None = None
     return ranked.withColumn("first", first).select("id", "component", "level", F.row_number().over(order).cast("long").alias("place"))
 
 
+def _closing(inner: DataFrame, fold: int) -> DataFrame:
+    """``(loop, depth, src, dst)``: the edges of ``inner(loop, depth, src, dst, to)`` that close a cycle of a loop's own part of the graph: those
+    of a strong component to its first node by rank ``to``. Loops of up to ``fold`` edges are folded, many in a task."""
+    big = materialize(inner.groupBy("loop").count().where(F.col("count") > fold).select("loop"))
+    kinds = dict(inner.dtypes)
+
+    def run(group: pa.Table) -> pa.Table:
+        loop, src, dst = (group.column(c).combine_chunks() for c in ("loop", "src", "dst"))
+        names, loops = pc.unique(pa.concat_arrays([src, dst])), pc.index_in(loop, pc.unique(loop)).to_numpy().astype(np.int64)
+        x, y = (loops * len(names) + pc.index_in(c, names).to_numpy() for c in (src, dst))
+        part = _parts(x, y)
+        at = np.flatnonzero(part[0] == part[1])
+        kept, part = group.take(pa.array(at)), part[1][at].tolist()
+        y = y[at].tolist()
+        order = pc.sort_indices(kept.select(["to", "dst"]), sort_keys=[("to", "ascending"), ("dst", "ascending")], null_placement="at_start").to_pylist()
+        first: dict = {}
+        for i in order:
+            first.setdefault(part[i], y[i])
+        return kept.take(pa.array([i for i, n in enumerate(y) if first[part[i]] == n], pa.int64())).select(["loop", "depth", "src", "dst"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("loop", "depth", "src", "dst"))
+    if big.isEmpty():
+        return _folded(inner, "loop", run, schema, fold)
+    folded = _folded(materialize(inner.join(big, "loop", "left_anti")), "loop", run, schema, fold)
+    # A node is told by its loop and its id.
+    node = lambda c: F.to_json(F.struct("loop", F.col(c).alias("id")))
+    keyed = materialize(inner.join(big, "loop", "left_semi").withColumns({"x": node("src"), "y": node("dst")}))
+    ends = keyed.select("loop", F.col("x").alias("src"), F.col("y").alias("dst"))
+    closed = cyclic(ends.select("src", "dst"), strong_components(ends, within="loop", fold=fold)).select(F.col("src").alias("x"), F.col("dst").alias("y"), "component")
+    closed = materialize(keyed.join(closed, ["x", "y"]).select("loop", "depth", "src", "dst", "to", "component"))
+    heads = closed.groupBy("component").agg(F.min(F.struct("to", "dst")).alias("head")).select("component", F.col("head.dst").alias("dst"))
+    return folded.unionByName(closed.join(heads, ["component", "dst"]).select("loop", "depth", "src", "dst"))
+
+
 def cut_cycle_edges(edges: DataFrame, nodes: DataFrame, loops: DataFrame, *, fold: int = 100_000) -> DataFrame:
     """``edges(src, dst, …)`` without cycles whose nodes share a loop: ``(src, dst, …, cut)``.
 
@@ -326,19 +379,17 @@ def cut_cycle_edges(edges: DataFrame, nodes: DataFrame, loops: DataFrame, *, fol
     exits = materialize(exits.join(inside, ["loop", "exit"], "left").select("loop", F.when(F.col("inner").isNull(), F.col("exit")).alias("exit")))
     more = [c for c in edges.columns if c not in ("src", "dst")]
     now = materialize(edges.withColumn("cut", F.lit(False)))
+    a = held.select(F.col("id").alias("src"), "loop", "depth")
+    b = held.select(F.col("id").alias("dst"), "loop", F.col("rank").alias("to"))
+    placed = lambda pairs: materialize(pairs.join(a, "src").join(b, ["dst", "loop"]).select("loop", "depth", "src", "dst", "to"))
+    inner = placed(now.where("src is not null and dst is not null").select("src", "dst").distinct())
+    asked = inner
     while True:
-        pairs = now.select("src", "dst").distinct()
-        a = held.select(F.col("id").alias("src"), "loop", "depth", F.col("rank").alias("from"))
-        b = held.select(F.col("id").alias("dst"), "loop", F.col("rank").alias("to"))
-        keyed = materialize(pairs.join(a, "src").join(b, ["dst", "loop"]).select("loop", "depth", "src", "dst", "from", "to", F.to_json(F.struct("loop", F.col("src").alias("id"))).alias("x"), F.to_json(F.struct("loop", F.col("dst").alias("id"))).alias("y")))
-        ends = keyed.select("loop", F.col("x").alias("src"), F.col("y").alias("dst"))
-        closed = cyclic(ends.select("src", "dst"), strong_components(ends, within="loop", fold=fold)).select(F.col("src").alias("x"), F.col("dst").alias("y"), "component")
-        closed = materialize(keyed.join(closed, ["x", "y"]).select("loop", "depth", "src", "dst", "to", "component"))
-        if closed.isEmpty():
-            release(keyed, closed)
+        closing = materialize(_closing(asked, fold))
+        if closing.isEmpty():
+            release(inner, asked, closing)
             return now.select("src", "dst", *more, "cut")
-        heads = closed.groupBy("component").agg(F.min(F.struct("to", "dst")).alias("head")).select("component", F.col("head.dst").alias("dst"))
-        cut = closed.join(heads, ["component", "dst"]).groupBy("src", "dst").agg(F.max_by("loop", F.struct("depth", "loop")).alias("loop"))
+        cut = closing.groupBy("src", "dst").agg(F.max_by("loop", F.struct("depth", "loop")).alias("loop"))
         cut = materialize(cut.join(exits, "loop", "left").select("src", "dst", "exit", F.lit(True).alias("closes")))
         told = now.join(cut, ["src", "dst"], "left")
         kept = told.where("closes is null").select("src", "dst", *more, "cut")
@@ -346,5 +397,11 @@ def cut_cycle_edges(edges: DataFrame, nodes: DataFrame, loops: DataFrame, *, fol
         # Several edges of one node may meet at an exit: the one of the smallest other columns stays.
         sent = sent.groupBy("src", "dst").agg(F.min(F.struct(*more, "cut")).alias("x")).select("src", "dst", *(F.col("x")[c].alias(c) for c in (*more, "cut")))
         sent = sent.join(kept.select("src", "dst"), ["src", "dst"], "left_anti")
+        sent = materialize(sent)
         before, now = now, materialize(kept.unionByName(sent))
-        release(before, keyed, closed, cut)
+        # A loop without a cycle stays without one until an edge is sent into it, so only the others are looked at again.
+        added = placed(sent.select("src", "dst"))
+        again = materialize(closing.select("loop").unionByName(added.select("loop")).distinct())
+        past, inner = (inner, asked), materialize(inner.join(cut.select("src", "dst"), ["src", "dst"], "left_anti").unionByName(added))
+        asked = materialize(inner.join(again, "loop", "left_semi"))
+        release(before, closing, cut, sent, added, again, *past)

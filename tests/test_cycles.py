@@ -136,3 +136,32 @@ def test_cycles_of_a_loop_are_cut(spark):
         assert {(r["src"], r["dst"]): r["cut"] for r in got} == cut_by_hand(edges, nodes, exits) and len(got) == len({(r["src"], r["dst"]) for r in got})
     kept = set(cut_by_hand(path, nested, {"L": "lx", "M": "mx"}))
     assert ("c", "mx") in kept and ("d", "lx") in kept and ("p", "q") in kept and ("q", "p") in kept and not kept & {("c", "b"), ("d", "h"), ("b", "b")}
+
+
+def test_many_groups_share_a_call(spark, monkeypatch):
+    """Values of within are folded together: ten thousand small graphs are searched in few calls."""
+    ring = [(f"g{i}", 3 * i + k, 3 * i + (k + 1) % 3) for i in range(10000) for k in range(3)]
+    edges = spark.createDataFrame(ring, "g string, src long, dst long")
+    calls = spark.sparkContext.accumulator(0)
+    plain = cycles._folded
+
+    def counted(rows, by, run, schema, fold):
+        def told(group):
+            calls.add(1)
+            return run(group)
+
+        return plain(rows, by, told, schema, fold)
+
+    monkeypatch.setattr(cycles, "_folded", counted)
+    rows = cycles.cycle_report(edges, within="g").collect()
+    assert sorted((r["component"], r["nodes"], r["edges"], list(r["witness"])) for r in rows) == [(3 * i, 3, 3, [3 * i, 3 * i + 1, 3 * i + 2]) for i in range(10000)]
+    assert calls.value <= 4
+
+
+def test_a_loop_is_looked_at_again_when_an_edge_is_sent_into_it(spark):
+    """The inner loop's exit closes a cycle of an outer loop that had none."""
+    nodes = spark.createDataFrame([(1, 1, ["o", "i"]), (2, 2, ["o", "i"]), (3, 0, ["o"]), (4, 3, ["p"]), (5, 4, ["p", "q"]), (6, 5, ["p", "q"])], "id long, rank int, loopIds array<string>")
+    loops = spark.createDataFrame([("o", 9), ("i", 3), ("p", 8), ("q", 4)], "id string, exitNodeId long")
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 5), (5, 6), (6, 5)], "src long, dst long")
+    got = sorted((r["src"], r["dst"], r["cut"]) for r in cycles.cut_cycle_edges(edges, nodes, loops).collect())
+    assert got == [(1, 2, False), (2, 9, True), (3, 1, False), (4, 5, False), (5, 6, False), (6, 8, True)]
