@@ -254,3 +254,10 @@ def test_shared_folder_is_never_local_on_a_cluster(spark):
 def test_reports_stay(spark):
     log = table(spark, "kind string, success boolean, duration double", ("a", True, 1.0), ("a", False, 2.0))
     assert reports.run_totals(log, by="kind").count() == 1
+
+
+def test_evidence_shuffles_texts_once(spark):
+    from callweave.plans import queries
+
+    plan = queries.evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
