@@ -72,15 +72,16 @@ def assign_topics(vectors: DataFrame, topics: DataFrame, *, key: str, vector: st
     return best.select(F.col("id").alias(key), F.col("neighbour").alias("label"), "similarity")
 
 
-def nearest(left: DataFrame, right: DataFrame, *, k: int, block_rows: int = 2048, other: bool = False) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, *, k: int, block_rows: int | None = None, other: bool = False) -> DataFrame:
     """Exact ``(id, neighbour, similarity, rank)``: for every row of ``left(id, v)`` the ``k`` rows of ``right(neighbour, w)`` of the largest dot product.
 
-    Rows are hashed to blocks of about ``block_rows``; each pair of blocks is one matrix product in one task, and
-    only ``k`` rows a left row leave it. Similarities that agree to 12 digits tie; the smaller neighbour wins. With
+    Rows are hashed to blocks of about ``block_rows``, by default a sixteenth of a side within 2048 and 16,384; each pair
+    of blocks is multiplied in one task, 8 million products at once, and only ``k`` rows a left row leave it. Similarities that agree to 12 digits tie; the smaller neighbour wins. With
     ``other``, a row is not its own neighbour. Rows without a vector have none.
     """
     left, right = left.where("v is not null"), right.where("w is not null")
-    blocks = [max(1, -(-df.count() // block_rows)) for df in (left, right)]
+    sizes = [df.count() for df in (left, right)]
+    blocks = [max(1, -(-n // (block_rows or min(16384, max(2048, n // 16))))) for n in sizes]
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     ours = left.select("id", "v", deal("id", blocks[0]).alias("a"), every(blocks[1]).alias("b"))
@@ -89,34 +90,40 @@ def nearest(left: DataFrame, right: DataFrame, *, k: int, block_rows: int = 2048
 
     def best(x: pa.Table, y: pa.Table) -> pa.Table:
         ids, names = x.column("id").combine_chunks(), y.column("neighbour").combine_chunks()
-        matrix = lambda t, c: np.stack(t.column(c).to_numpy()) if len(t) else np.zeros((0, 0))
+        matrix = lambda t, c: np.stack(t.column(c).to_numpy()).astype(np.float64)
         if not len(x) or not len(y):
             return pa.table({"id": ids.slice(0, 0), "neighbour": names.slice(0, 0), "similarity": pa.array([], pa.float64())})
         order = pc.array_sort_indices(names)
         names = names.take(order)
-        found = (matrix(x, "v") @ matrix(y, "w")[order.to_numpy()].T).round(12)
-        if other:
-            place = pc.index_in(ids, names).to_numpy(zero_copy_only=False)
-            own = ~np.isnan(place.astype(float))
-            found[np.flatnonzero(own), place[own].astype(int)] = -np.inf
-        take = min(k, found.shape[1])
-        least = np.partition(found, found.shape[1] - take, axis=1)[:, -take]
-        row, column = np.nonzero((found >= least[:, None]) & np.isfinite(found))
-        value = found[row, column]
-        ranked = np.lexsort((column, -value, row))
-        row, column, value = row[ranked], column[ranked], value[ranked]
-        first = np.searchsorted(row, row)
-        kept = np.arange(len(row)) - first < take
-        return pa.table({"id": ids.take(pa.array(row[kept])), "neighbour": names.take(pa.array(column[kept])), "similarity": pa.array(value[kept])})
+        ours, theirs = matrix(x, "v"), matrix(y, "w")[order.to_numpy()].T
+        step, out = max(1, 8_000_000 // len(names)), []
+        for at in range(0, len(ids), step):
+            some = ids.slice(at, step)
+            found = (ours[at : at + step] @ theirs).round(12)
+            if other:
+                place = pc.index_in(some, names).to_numpy(zero_copy_only=False)
+                own = ~np.isnan(place.astype(float))
+                found[np.flatnonzero(own), place[own].astype(int)] = -np.inf
+            take = min(k, found.shape[1])
+            least = np.partition(found, found.shape[1] - take, axis=1)[:, -take]
+            row, column = np.nonzero((found >= least[:, None]) & np.isfinite(found))
+            value = found[row, column]
+            ranked = np.lexsort((column, -value, row))
+            row, column, value = row[ranked], column[ranked], value[ranked]
+            first = np.searchsorted(row, row)
+            kept = np.arange(len(row)) - first < take
+            out.append(pa.table({"id": some.take(pa.array(row[kept])), "neighbour": names.take(pa.array(column[kept])), "similarity": pa.array(value[kept])}))
+        return pa.concat_tables(out)
 
     pairs = ours.groupBy("a", "b").cogroup(theirs.groupBy("a", "b")).applyInArrow(best, f"id {kinds['id']}, neighbour {kinds['neighbour']}, similarity double")
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("similarity"), F.asc("neighbour")))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn(vectors: DataFrame, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", block_rows: int = 2048) -> DataFrame:
+def knn(vectors: DataFrame, *, k: int = 5, key: str = "vec_id", vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """Exact ``(key, neighbour, similarity, rank)`` of every row against all others."""
-    rows = materialize(vectors.select(F.col(key).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")))
+    # Vectors travel as they are; products are of doubles.
+    rows = materialize(vectors.select(F.col(key).alias("id"), F.col(vector).alias("v")))
     found = nearest(rows, rows.select(F.col("id").alias("neighbour"), F.col("v").alias("w")), k=k, block_rows=block_rows, other=True)
     return found.select(F.col("id").alias(key), "neighbour", "similarity", "rank")
 

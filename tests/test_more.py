@@ -261,3 +261,12 @@ def test_evidence_shuffles_texts_once(spark):
 
     plan = queries.evidence(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1
+
+
+def test_vectors_are_shuffled_as_floats(spark):
+    from callweave.operators import topics
+
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i)]) for i in range(50)], "vec_id long, embedding array<float>")
+    found = topics.knn(rows, k=3, block_rows=8)
+    assert "array<double>" not in "".join(t.simpleString() for t in found.sparkSession.read.parquet(*found.inputFiles()).schema.fields[1:2] for t in [t.dataType])
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, topics.knn(rows, k=3).collect()))
