@@ -161,6 +161,24 @@ def test_methods_by_a_plain_reading(spark, random_methods):
     assert any("region" in g for w in want.values() for g in w.gates)
 
 
+def test_folded_methods_equal_rounds(spark, random_methods):
+    """Methods folded in tasks and in rounds: the same members, places, gates and verdicts."""
+    found = sorted(random_methods[0], key=lambda f: len(f[1]))[8:12]
+    _, sigs = tables(spark, found)
+    rng, members, pairs = random.Random(4), [("alone", "x", 1, "x", 0)], [("nobody", 1, "p", "q")]
+    for _, rows, _ in found:
+        m, cs = rows[0][0], [r[1] for r in rows]
+        members += [(m, cs[i - i % 2], i // 2 + 1, c, i % 2) for i, c in enumerate(cs)]
+        pairs += [(m, k + 1, *rng.sample([*cs, "retained"], 2)) for k in range(3)]
+    frames = spark.createDataFrame(members, "method string, phase string, at int, id string, seq int"), spark.createDataFrame(pairs, "method string, rank int, left_id string, right_id string")
+    flow = spark.createDataFrame([pairs[1][2:]], "src string, dst string")
+    got = []
+    for fold in (0, 10_000):
+        after, gates = methods.merge_boundaries(*frames, sigs, flow, fold=fold)
+        got.append((sorted(map(tuple, after.select("method", "phase", "at", "id", "seq").collect())), sorted(map(repr, gates.select("method", "gate", "left_id", "right_id", "told").collect()))))
+    assert got[0] == got[1] and len(got[0][0]) == len(members) and got[0][1]
+
+
 def test_bottom_up(spark, random_methods):
     found, rng = random_methods
     found = found[:8]
