@@ -15,10 +15,12 @@ def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
 
     Every kept source gets edges to the nearest kept nodes behind excluded ones; guards along a route are merged
     and a conflict ends it. Self-loops go after merging; equal edges are one; cycles of excluded nodes give none.
+    Excluded nodes with one edge out of a type are passed by doubling, so rounds follow the branchings of excluded
+    nodes and the logarithm of the length of their chains.
     """
     out = excluded.select("id").distinct()
     start = edges.select("src", "dst", "type", "reqs").distinct().join(out.withColumnRenamed("id", "src"), "src", "left_anti")
-    inner = materialize(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "type", F.col("reqs").alias("more")).join(out.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct())
+    inner = _shortcuts(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "type", F.col("reqs").alias("more")).join(out.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct())
     hit = out.select(F.col("id").alias("dst"), F.lit(True).alias("hidden"))
     key = ["src", "dst", "type", "reqs"]
     first = materialize(start.join(hit, "dst", "left"))
@@ -34,6 +36,35 @@ def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
     return done.all().where("src <> dst").distinct()
 
 
+def _shortcuts(inner: DataFrame) -> DataFrame:
+    """``inner(dst, to, type, more)``, the edges out of excluded nodes, with those that lead to the only edge of an excluded node led on to the end of its chain.
+
+    Merging guards is associative, so a chain has one conjunction, or a conflict and no edge. Chains that never end are cycles and go.
+    """
+    alone = F.count("*").over(W.partitionBy("dst", "type")) == 1
+    marked = materialize(inner.withColumn("alone", alone))
+    jump = materialize(marked.where("alone").select("dst", "to", "type", "more"))
+    ended = Rounds(jump.join(jump.select(F.col("dst").alias("to"), "type"), ["to", "type"], "left_anti").select("dst", "to", "type", "more"))
+    live = materialize(jump.join(ended.all().select("dst", "type"), ["dst", "type"], "left_anti"))
+    release(jump)
+    # An open chain goes on with its end's chain, which has ended or is as long as itself.
+    bound = live.count().bit_length() + 1
+    for _ in range(bound):
+        if live.isEmpty():
+            break
+        far = ended.all().withColumn("end", F.lit(True)).unionByName(live.withColumn("end", F.lit(False)))
+        far = far.select(F.col("dst").alias("to"), "type", F.col("to").alias("next"), F.col("more").alias("rest"), "end")
+        step = materialize(live.join(far, ["to", "type"]).select("dst", F.col("next").alias("to"), "type", merge(F.col("more"), F.col("rest")).alias("more"), "end").where("more is not null"))
+        ended.add(step.where("end").drop("end"))
+        before, live = live, materialize(step.where("not end").drop("end"))
+        release(before, step)
+    onward = ended.all().select(F.col("dst").alias("to"), "type", F.col("to").alias("next"), F.col("more").alias("rest"))
+    single = marked.where("alone").select(F.col("dst").alias("to"), "type", F.lit(True).alias("chained"))
+    passed = marked.where("not alone").join(single, ["to", "type"], "left").join(onward, ["to", "type"], "left")
+    led = passed.where("chained is null or next is not null").select("dst", F.coalesce("next", "to").alias("to"), "type", F.when(F.col("chained").isNull(), F.col("more")).otherwise(merge(F.col("more"), F.col("rest"))).alias("more"))
+    return materialize(ended.all().unionByName(led.where("more is not null")).distinct())
+
+
 def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """``(root, id, level)`` of all nodes reachable from ``roots(root, id)`` over ``edges(src, dst)``, each once.
 
@@ -51,6 +82,26 @@ def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, s
     return seen.all()
 
 
+def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(id)`` of the nodes that ``edges(src, dst)`` lead to from any of ``roots(id)``, those included.
+
+    A node with one edge in is reached if the node before it is, so chains and trees are passed by doubling; rounds follow the nodes where ways join.
+    """
+    start = materialize(roots.select("id").distinct())
+    steps = edges.select("src", "dst").distinct().where("src <> dst").join(start.select(F.col("id").alias("dst")), "dst", "left_anti")
+    steps = materialize(steps.withColumn("alone", F.count("*").over(W.partitionBy("dst")) == 1))
+    behind, closed = _heads(steps.where("alone").select("src", "dst"))
+    if closed is not None:
+        behind = behind.join(closed, "id", "left_anti")
+    behind = materialize(behind.select("id", F.col("run").alias("top")))
+    # What stands for a node of a chain is its top; nodes of and behind closed rings have an edge in, but no top.
+    joins = steps.where("not alone").join(behind.select(F.col("id").alias("src"), "top"), "src", "left")
+    if closed is not None:
+        joins = joins.join(closed.select(F.col("id").alias("src")), "src", "left_anti")
+    found = reach(joins.select(F.coalesce("top", "src").alias("src"), "dst"), start.select(F.lit(0).alias("root"), "id")).select("id")
+    return found.unionByName(behind.join(found.select(F.col("id").alias("top")), "top", "left_semi").select("id"))
+
+
 def owners(nodes: DataFrame, *, by: tuple[str, ...] = ()) -> DataFrame:
     """``(id, owner_entry_id)``: entries own themselves, other nodes the last entry of their method; without one: left out.
 
@@ -312,7 +363,7 @@ def _leave(nodes: DataFrame, removed: DataFrame) -> DataFrame:
 def visible_graph(edges: DataFrame, hidden: DataFrame, roots: DataFrame) -> DataFrame:
     """Sequence edges ``(src, dst, reqs)`` after the ``hidden(id)`` nodes are spliced out, as far as ``roots(id)`` reach them; guards are sorted, so equal sets are one edge."""
     left = materialize(bridge(edges.withColumn("type", F.lit("sequence")), hidden).select("src", "dst", F.array_sort("reqs").alias("reqs")).distinct())
-    found = reach(left, roots.select(F.lit(0).alias("root"), "id")).select(F.col("id").alias("src")).distinct()
+    found = reached(left, roots).select(F.col("id").alias("src"))
     return left.join(found, "src", "left_semi").select("src", "dst", "reqs")
 
 

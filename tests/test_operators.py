@@ -40,6 +40,36 @@ def test_cycles_of_excluded_nodes_and_self_loops_give_nothing(spark):
     assert routes(graph.bridge(e, ids(spark, "a", "b"))) == []
 
 
+def test_long_chains_of_excluded_nodes_take_few_tables(spark, monkeypatch):
+    """A chain of 40 excluded nodes, chains that meet, part, conflict, end nowhere or never end: all routes, with rounds of the logarithm."""
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(1) or write(df))
+    chain = [(f"h{i}", f"h{i + 1}") for i in range(40)]
+    rows = [("s", "h0", ("g", "a")), ("t", "h20"), *chain[:20], ("h20", "h21", ("k", "x")), *chain[21:], ("h40", "p"), ("h40", "q", ("g", "b")), ("r", "h39", ("g", "b"))]
+    rows += [("p", "d0"), ("d0", "d1"), ("q", "z1"), ("z1", "z2"), ("z2", "z1"), ("u", "c1"), ("c1", "c2", ("m", "a")), ("c2", "v", ("m", "b"))]
+    hidden = ids(spark, *(f"h{i}" for i in range(41)), "d0", "d1", "z1", "z2", "c1", "c2")
+    want = [("r", "p", (("g", "b"),)), ("r", "q", (("g", "b"),)), ("s", "p", (("g", "a"), ("k", "x"))), ("t", "p", (("k", "x"),)), ("t", "q", (("k", "x"), ("g", "b")))]
+    assert routes(graph.bridge(edges(spark, *rows), hidden)) == want
+    assert len(written) < 30
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_reached_by_a_plain_walk(spark, monkeypatch, seed):
+    """Chains, joins, rings and roots inside of them; long chains take tables by the logarithm of their length."""
+    rng = random.Random(seed)
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(40) if i != 20] + [(f"n{rng.randrange(60)}", f"n{rng.randrange(40, 60)}") for _ in range(25)]
+    rows += [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("r3", "n55"), ("o1", "o2"), ("o2", "o1"), ("n10", "n10")]
+    roots = {"n3", "n30", "o1", "lonely"}
+    todo, want = list(roots), set(roots)
+    while todo:
+        at = todo.pop()
+        new = {b for a, b in rows if a == at} - want
+        want |= new
+        todo += new
+    found = [r["id"] for r in graph.reached(spark.createDataFrame(rows, "src string, dst string"), ids(spark, *roots)).collect()]
+    assert sorted(found) == sorted(want)
+
+
 def test_roots_need_a_call(spark):
     nodes = spark.createDataFrame([("e1", "entry", "m1", None), ("c1", "call", "x", "m1"), ("e2", "entry", "m2", None), ("e3", "entry", "m3", None), ("c3", "call", "x", "m3")], "id string, type string, calleeFullName string, callerMethod string")
     found = graph.roots_and_orphans(nodes, spark.createDataFrame([("c3", "e3", "invoke")], "src string, dst string, type string"))
