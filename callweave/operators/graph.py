@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from callweave.functions.guards import merge
 from callweave.session import Rounds, materialize, release
@@ -82,6 +87,67 @@ def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, s
     return seen.all()
 
 
+def reach_folded(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, fold: int = 100_000, share: int = 1_000) -> DataFrame:
+    """``reach`` for deep walks from many roots, whose rounds each look through all that was found before.
+
+    Nodes never leave the part of the graph that edges link them to. Parts of up to ``fold`` edges are walked whole in tasks, in shares of
+    ``share`` roots or more, so that edges are repeated for at most eight rows a root; larger parts take the rounds of ``reach``.
+    Null ids are no nodes.
+    """
+    steps = materialize(edges.select("src", "dst").distinct().where("src <> dst"))
+    starts = roots.select("root", "id").distinct()
+    linked = materialize(components(steps)).select("id", F.col("root").alias("part"))
+    placed = materialize(starts.join(linked, "id", "left").select("root", "id", "part"))
+    inside = materialize(steps.join(linked.withColumnRenamed("id", "src"), "src").select("part", "src", "dst"))
+    sizes = inside.groupBy("part").agg(F.count("*").alias("n")).join(placed.groupBy("part").agg(F.count("*").alias("many")), "part")
+    sizes = materialize(sizes.withColumn("shares", F.ceil(F.col("many") / F.greatest(F.lit(share), F.col("n") / 8))))
+    small = sizes.where(F.col("n") <= fold).select("part", "shares")
+    led = inside.join(small, "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("src").alias("id"), "dst")
+    begun = placed.join(small, "part").select("part", F.pmod(F.xxhash64("root"), "shares").alias("share"), "root", "id")
+    rows = materialize(led.unionByName(begun, allowMissingColumns=True))
+    schema = f"root {dict(rows.dtypes)['root']}, id {dict(rows.dtypes)['id']}, level int"
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+    tasks = rows.withColumn("__fold", F.pmod(F.xxhash64("part", "share"), F.lit(-(-rows.count() // (10 * share)) or 1))).drop("part", "share")
+
+    # The type hints tell Spark that batches are passed, not whole tables.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _walked(batches, shape, max_depth)
+
+    found = tasks.groupBy("__fold").applyInArrow(run, schema)
+    found = found.unionByName(placed.where("part is null").select("root", "id", F.lit(0).alias("level")))
+    large = sizes.where(F.col("n") > fold).select("part")
+    if large.isEmpty():
+        return found
+    return found.unionByName(reach(inside.join(large, "part", "left_semi"), placed.join(large, "part", "left_semi"), max_depth=max_depth))
+
+
+def _walked(batches: Iterator[pa.RecordBatch], shape: pa.Schema, max_depth: int | None, size: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """``(root, id, level)`` from rows of edges ``(id, dst)`` and of roots, whose dst is null; about ``size`` rows at a time."""
+    to: dict = {}
+    starts: dict = {}
+    for batch in batches:
+        for root, at, dst in zip(*(batch.column(c).to_pylist() for c in ("root", "id", "dst"))):
+            if dst is None:
+                starts.setdefault(root, set()).add(at)
+            else:
+                to.setdefault(at, set()).add(dst)
+    out: tuple[list, list, list] = ([], [], [])
+    for root, now in starts.items():
+        seen, level = set(), 0
+        while now:
+            seen |= now
+            for column, values in zip(out, ([root] * len(now), now, [level] * len(now))):
+                column.extend(values)
+            if level == max_depth:
+                break
+            now = set().union(*(to[at] for at in now if at in to)) - seen
+            level += 1
+        if len(out[0]) >= size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, shape)], schema=shape)
+            out = ([], [], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, shape)], schema=shape)
+
+
 def reached(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """``(id)`` of the nodes that ``edges(src, dst)`` lead to from any of ``roots(id)``, those included.
 

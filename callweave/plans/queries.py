@@ -97,7 +97,7 @@ def noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reach_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("id"))
-    return graph.reach(brand_edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("n"))
+    return graph.reach_folded(brand_edges(spark, sf_dir), roots).groupBy("root").agg(F.count("*").alias("n"))
 
 
 def reach_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callweave.functions import signature, text
 from callweave.functions.guards import GUARDS
 from callweave.operators import batches, graph, phases, reports, topics, validate
+from callweave.plans import queries
 
 EDGE = f"src string, dst string, type string, reqs {GUARDS}"
 
@@ -70,6 +71,29 @@ def test_reached_by_a_plain_walk(spark, monkeypatch, seed):
     assert sorted(found) == sorted(want)
 
 
+@pytest.mark.parametrize("fold, depth", [(1_000, None), (1_000, 3), (20, None), (20, 2)])
+def test_folded_walks_are_those_of_rounds(spark, fold, depth):
+    """Chains, joins, rings, several starts of a root, roots without edges; parts above the fold take the rounds, small shares split the roots of a part."""
+    rng = random.Random(fold)
+    rows = [(f"a{i}", f"a{i + 1}") for i in range(12)] + [(f"b{rng.randrange(15)}", f"b{rng.randrange(15)}") for _ in range(40)] + [("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("a3", "a3"), ("a3", "a9")]
+    begin = [(n, n) for n in sorted({x for row in rows for x in row})] + [("both", "a9"), ("both", "a2"), ("both", "b1"), ("both", "lonely"), ("lonely", "lonely")]
+    e, r = spark.createDataFrame(rows * 2, "src string, dst string"), spark.createDataFrame(begin * 2, "root string, id string")
+    want = sorted(map(tuple, graph.reach(e, r, max_depth=depth).collect()))
+    assert sorted(map(tuple, graph.reach_folded(e, r, max_depth=depth, fold=fold, share=3).collect())) == want
+
+
+def test_deep_walks_from_many_roots_take_few_tables(spark, monkeypatch):
+    """The rounds of ``reach`` write a table for each step of a chain of 60; the fold writes those of its contraction alone."""
+    written, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df: written.append(1) or write(df))
+    rows = [(i, i + 1) for i in range(60)]
+    monkeypatch.setattr("callweave.plans.queries.brand_edges", lambda spark, sf_dir: spark.createDataFrame(rows, "src long, dst long"))
+    monkeypatch.setattr("callweave.plans.queries.read", lambda spark, sf_dir, name: spark.createDataFrame([(i,) for i in range(62)], "p_partkey long"))
+    found = queries.reach_parts(spark, "").collect()
+    assert sorted(map(tuple, found)) == [(i, 61 - i) for i in range(61)] + [(61, 1)]
+    assert len(written) < 30
+
+
 def test_roots_need_a_call(spark):
     nodes = spark.createDataFrame([("e1", "entry", "m1", None), ("c1", "call", "x", "m1"), ("e2", "entry", "m2", None), ("e3", "entry", "m3", None), ("c3", "call", "x", "m3")], "id string, type string, calleeFullName string, callerMethod string")
     found = graph.roots_and_orphans(nodes, spark.createDataFrame([("c3", "e3", "invoke")], "src string, dst string, type string"))
