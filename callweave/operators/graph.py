@@ -24,14 +24,14 @@ def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
     nodes and the logarithm of the length of their chains.
     """
     out = excluded.select("id").distinct()
-    start = edges.select("src", "dst", "type", "reqs").distinct().join(out.withColumnRenamed("id", "src"), "src", "left_anti")
-    inner = _shortcuts(edges.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "type", F.col("reqs").alias("more")).join(out.withColumnRenamed("id", "dst"), "dst", "left_semi").distinct())
     hit = out.select(F.col("id").alias("dst"), F.lit(True).alias("hidden"))
     key = ["src", "dst", "type", "reqs"]
-    first = materialize(start.join(hit, "dst", "left"))
-    done = Rounds(first.where("hidden is null").select(*key))
+    first = materialize(edges.select(*key).distinct().join(out.select(F.col("id").alias("src"), F.lit(True).alias("inner")), "src", "left").join(hit, "dst", "left"))
+    inner = _shortcuts(first.where("inner").select(F.col("src").alias("dst"), F.col("dst").alias("to"), "type", F.col("reqs").alias("more")))
+    done = Rounds(first.where("inner is null and hidden is null").select(*key))
     seen = Rounds()
-    frontier = seen.add(first.where("hidden").select(*key))
+    frontier = seen.add(first.where("inner is null and hidden").select(*key))
+    release(first)
     while not frontier.isEmpty():
         moved = frontier.join(inner, ["dst", "type"]).select("src", F.col("to").alias("dst"), "type", merge(F.col("reqs"), F.col("more")).alias("reqs"))
         step = materialize(moved.where("reqs is not null").distinct().join(hit, "dst", "left"))
@@ -42,15 +42,17 @@ def bridge(edges: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def _shortcuts(inner: DataFrame) -> DataFrame:
-    """``inner(dst, to, type, more)``, the edges out of excluded nodes, with those that lead to the only edge of an excluded node led on to the end of its chain.
+    """``inner(dst, to, type, more)``, the distinct edges out of excluded nodes, with those that lead to the only edge of an excluded node led on to the end of its chain.
 
     Merging guards is associative, so a chain has one conjunction, or a conflict and no edge. Chains that never end are cycles and go.
     """
     alone = F.count("*").over(W.partitionBy("dst", "type")) == 1
     marked = materialize(inner.withColumn("alone", alone))
-    jump = materialize(marked.where("alone").select("dst", "to", "type", "more"))
-    ended = Rounds(jump.join(jump.select(F.col("dst").alias("to"), "type"), ["to", "type"], "left_anti").select("dst", "to", "type", "more"))
-    live = materialize(jump.join(ended.all().select("dst", "type"), ["dst", "type"], "left_anti"))
+    onto = marked.where("alone").select(F.col("dst").alias("to"), "type", F.lit(False).alias("end"))
+    jump = marked.where("alone").join(onto, ["to", "type"], "left").select("dst", "to", "type", "more", F.coalesce("end", F.lit(True)).alias("end"))
+    jump = materialize(jump)
+    ended = Rounds(jump.where("end").drop("end"))
+    live = materialize(jump.where("not end").drop("end"))
     release(jump)
     # An open chain goes on with its end's chain, which has ended or is as long as itself.
     bound = live.count().bit_length() + 1
@@ -67,7 +69,8 @@ def _shortcuts(inner: DataFrame) -> DataFrame:
     single = marked.where("alone").select(F.col("dst").alias("to"), "type", F.lit(True).alias("chained"))
     passed = marked.where("not alone").join(single, ["to", "type"], "left").join(onward, ["to", "type"], "left")
     led = passed.where("chained is null or next is not null").select("dst", F.coalesce("next", "to").alias("to"), "type", F.when(F.col("chained").isNull(), F.col("more")).otherwise(merge(F.col("more"), F.col("rest"))).alias("more"))
-    return materialize(ended.all().unionByName(led.where("more is not null")).distinct())
+    # A node of a chain has one edge, so only the other ones can be repeated.
+    return ended.all().unionByName(materialize(led.where("more is not null").distinct()))
 
 
 def reach(edges: DataFrame, roots: DataFrame, *, max_depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:

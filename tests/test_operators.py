@@ -54,6 +54,21 @@ def test_long_chains_of_excluded_nodes_take_few_tables(spark, monkeypatch):
     assert len(written) < 30
 
 
+def test_bridge_computes_its_edges_once(spark):
+    """Edges made by a window over a large table are not made again for the excluded nodes and the kept ones."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    e = edges(spark, ("s", "a", ("g", "if")), ("a", "b"), ("b", "t"), ("a", "c", ("g", "else")), ("s", "t"), ("t", "d"))
+    want = [("s", "t", ()), ("s", "t", (("g", "if"),))]
+    assert routes(graph.bridge(e.mapInArrow(count, EDGE), ids(spark, "a", "b", "c", "d"))) == want
+    assert made.value == 6
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_reached_by_a_plain_walk(spark, monkeypatch, seed):
     """Chains, joins, rings and roots inside of them; long chains take tables by the logarithm of their length."""
