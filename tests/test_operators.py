@@ -101,6 +101,7 @@ def test_deep_walks_from_many_roots_take_few_tables(spark, monkeypatch):
     """The rounds of ``reach`` write a table for each step of a chain of 60; the fold writes those of its contraction alone."""
     written, write = [], graph.materialize
     monkeypatch.setattr(graph, "materialize", lambda df: written.append(1) or write(df))
+    monkeypatch.setattr("callweave.session.materialize", graph.materialize)
     rows = [(i, i + 1) for i in range(60)]
     monkeypatch.setattr("callweave.plans.queries.brand_edges", lambda spark, sf_dir: spark.createDataFrame(rows, "src long, dst long"))
     monkeypatch.setattr("callweave.plans.queries.read", lambda spark, sf_dir, name: spark.createDataFrame([(i,) for i in range(62)], "p_partkey long"))
