@@ -11,7 +11,6 @@ can be read without the others (``read_block``).
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 import uuid
@@ -20,19 +19,24 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.byte_bpe import Seen
+from callweave.llm.byte_bpe import Seen, blocks
 from callweave.llm.common import small_batches, table
 from callweave.session import shared_dir
 
 BLOCK, CHUNK_IDS, END_ID = 1 << 14, 1 << 18, 2
-#: Pieces that a worker keeps encoded (about 200 bytes each), and how the vocabulary writes a space.
-REMEMBERED, SPACE = 700_000, "\u0120"
-RUN = re.compile(r" \s")
+#: Text of a block, pieces that are cut at once, parts that a worker keeps encoded (about 200 bytes each), and how the vocabulary writes a space.
+BLOCK_BYTES, PIECES, REMEMBERED, SPACE = 16 << 20, 50_000, 700_000, "\u0120"
+#: White space after a space, or a space at the end.
+RUN = r" [\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $"
+#: Parts of pieces: letters, numbers and signs as far as these few make the end of a match certain, a line break before a letter, or the rest.
+LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+PART = re.compile(rf" ?[{LETTER}]+(?=[\x00-@\[-`{{-\x7f]|\Z)| ?[0-9]+(?=[\x00-/:-\x7f]|\Z)| ?[!-&(-/:-@\[-`{{-~]+(?=[A-Za-z0-9\n ]|\Z)|\n(?=[{LETTER}])| ?[^ ]+")
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -74,14 +78,15 @@ def unpack(n_ids: int, sizes: list[int], data: bytes) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype="<u4"), *(read_block(k, n_ids, sizes, data) for k in range(-(-n_ids // BLOCK)))])
 
 
-def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+def encoder(path: str) -> Callable[[pa.Array | list[str]], list[bytes]]:
     """Texts to the bytes of their ids.
 
     The byte-level pattern always cuts before a single space between two other characters than white space, and
-    no piece looks beyond such a cut, so pieces need encoding once. New pieces of some texts are encoded
-    together as one text; only the first token of a piece begins with a space, which parts their ids again.
-    A worker numbers its pieces and gathers a text's ids by their numbers; once it knows more than
-    ``REMEMBERED`` pieces it begins again.
+    no piece looks beyond such a cut, so each piece of the texts given together is looked at once. It also cuts
+    where a run of letters, numbers or signs surely ends, so pieces are made of fewer parts (``PART``), which
+    the tokenizer encodes once for a worker. New parts that begin with a space are encoded together as one text;
+    only the first token of each begins with a space, which parts their ids again. A worker numbers its parts;
+    once it knows more than ``REMEMBERED`` it begins again.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -91,29 +96,81 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         vocabulary = tokenizer.get_vocab()
         leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
-        _tokenizers[path] = (tokenizer, leads, [Seen()])
-    tokenizer, leads, known = _tokenizers[path]
+        # Texts with one of the added tokens, which no pattern cuts, or with spaces in a run go to the tokenizer whole.
+        whole = "|".join([RUN, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
+        _tokenizers[path] = (tokenizer, leads, whole, [Seen()])
+    tokenizer, leads, whole, known = _tokenizers[path]
+
+    def alone(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(seen: Seen) -> None:
-        pieces = seen.new()
-        for at in range(0, len(pieces), 2000):
-            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(pieces[at : at + 2000])], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            seen.add(np.diff(np.flatnonzero(leads[ids]), append=len(ids)), ids)
+        parts = seen.new()
+        spaced = np.fromiter((p[0] == " " for p in parts), dtype=bool, count=len(parts))
+        sizes = np.zeros(len(parts), dtype=np.int64)
+        after = [p for p in parts if p[0] == " "]
+        joined = np.concatenate([np.zeros(0, dtype="<u4"), *alone(["".join(after[at : at + 2000]) for at in range(0, len(after), 2000)])])
+        sizes[spaced] = np.diff(np.flatnonzero(leads[joined]), append=len(joined))
+        others = alone([p for p in parts if p[0] != " "])
+        sizes[~spaced] = [len(x) for x in others]
+        ids, of_spaced = np.zeros(sizes.sum(), dtype=np.uint32), np.repeat(spaced, sizes)
+        ids[of_spaced], ids[~of_spaced] = joined, np.concatenate([np.zeros(0, dtype="<u4"), *others])
+        seen.add(sizes, ids)
+
+    def spell(seen: Seen, pieces: pa.Array) -> pa.Array:
+        """The bytes of the ids of pieces, each after a space."""
+        named = [np.zeros(0, dtype=np.int32)]
+        for at in range(0, len(pieces), PIECES):
+            some = pieces.slice(at, PIECES)
+            named.append(seen.name(PART.findall(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py())))
+        learn(seen)
+        named = np.concatenate(named)
+        ends, starts = (seen.ends[named + 1] - seen.ends[named]).cumsum(), np.flatnonzero(leads[seen.flat[seen.ends[named]]])
+        ends = np.concatenate([[0], ends[starts[1:] - 1], ends[-1:]]).astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(4 * ends), pa.py_buffer(seen.ids(named).astype("<u4"))])
 
-    def encode(texts: list[str]) -> list[bytes]:
+    def encode(texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if len(known[0].numbers) > REMEMBERED:
             known[0] = Seen()
-        seen = known[0]
-        # Texts with other white space after a space, or a space at their end, go to the tokenizer whole.
-        plain = [None if RUN.search(t) or t[-1:] == " " else t.split(" ") for t in texts]
-        heads = tokenizer.encode_batch_fast([t if p is None else p[0] for t, p in zip(texts, plain)], add_special_tokens=False)
-        named = [seen.name(itertools.islice(p, 1, None)) if p and len(p) > 1 else None for p in plain]
-        learn(seen)
-        return [np.array(head.ids, dtype="<u4").tobytes() + (b"" if n is None else seen.ids(n).astype("<u4").tobytes()) for head, n in zip(heads, named)]
+        plain = pc.invert(pc.match_substring_regex(texts, whole))
+        cut = pc.split_pattern(texts.filter(plain), " ")
+        starts, pieces = cut.offsets.to_numpy(), cut.values
+        firsts, later = starts[:-1], np.ones(len(pieces), dtype=bool)
+        later[firsts] = False
+        coded = pieces.filter(pa.array(later)).dictionary_encode()
+        found = spell(known[0], coded.dictionary).take(coded.indices)
+        at, data = (np.frombuffer(found.buffers()[1], dtype=np.int64), memoryview(found.buffers()[2])) if len(found) else (np.zeros(1, dtype=np.int64), b"")
+        # A text's first piece has no space before it.
+        heads, others = iter(alone(pieces.take(pa.array(firsts)).to_pylist())), iter(alone(texts.filter(pc.invert(plain)).to_pylist()))
+        bounds = at[starts - np.arange(len(starts))].tolist()
+        spans = iter(zip(bounds, bounds[1:]))
+        out = []
+        for is_plain in plain.to_pylist():
+            if is_plain:
+                lo, hi = next(spans)
+                out.append(next(heads).tobytes() + data[lo:hi])
+            else:
+                out.append(next(others).tobytes())
+        return out
 
     return encode
 
 
+def gathered(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[list[pa.Array]]:
+    """The two columns of batches, in blocks with about ``block_bytes`` of text or one longer text."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for part in blocks(batches, block_bytes):
+        if held and size + part.column(1).nbytes > block_bytes:
+            yield [pa.concat_arrays([p.column(k) for p in held]) for k in range(2)]
+            held, size = [], 0
+        held.append(part)
+        size += part.column(1).nbytes
+    if held:
+        yield [pa.concat_arrays([p.column(k) for p in held]) for k in range(2)]
+
+
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, end_id: int = END_ID, chunk_ids: int = CHUNK_IDS, mode: str = "byte") -> None:
     """Write the ids of every whole text (null: empty), each with ``end_id`` behind, in ascending doc_id order.
 
@@ -139,17 +196,15 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str | None = None, en
             return pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "chunk": pa.array([chunk], pa.int32()), "first": pa.array([first], pa.int64()), "doc_ids": pa.array([names], pa.list_(id_type)), "n_tokens": pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64()), "plane_sizes": pa.array([sizes], pa.list_(pa.int64())), "planes": pa.array([planes], pa.binary())})
 
         size = 0
-        for batch in batches:
-            id_type = batch.column(0).type
-            for at in range(0, batch.num_rows, 250):
-                part = batch.slice(at, 250)
-                for name, found in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    names.append(name)
-                    parts.append(found + end)
-                    size += len(parts[-1]) // 4
-                    if size >= chunk_ids:
-                        yield flush()
-                        chunk, first, names, parts, size = chunk + 1, first + size, [], [], 0
+        for ids, texts in gathered(batches, BLOCK_BYTES):
+            id_type = ids.type
+            for name, found in zip(ids.to_pylist(), encode(texts)):
+                names.append(name)
+                parts.append(found + end)
+                size += len(parts[-1]) // 4
+                if size >= chunk_ids:
+                    yield flush()
+                    chunk, first, names, parts, size = chunk + 1, first + size, [], [], 0
         if parts:
             yield flush()
 

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from callweave.llm import byte_bpe, class_lm, phrases, prefix_trie
+from callweave.llm import byte_bpe, class_lm, phrases, prefix_trie, token_planes
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -217,3 +218,30 @@ def test_words_that_no_training_text_has(spark):
     words = spark.createDataFrame(rows, "word binary, part long, number int, n long, near binary")
     found = class_lm.classified(words, np.zeros(class_lm.UNITS + 2, dtype=np.int64), np.ones((4, 4)), 2)
     assert sorted((r["of_part"], r["number"], r["c"], r["class"]) for r in found.collect()) == [(1, 0, 0, 0), (1, 2, 0, 0), (2, 1, 0, 0)]
+
+
+def test_parts_of_pieces_are_encoded_once(monkeypatch):
+    """Words with every sign and line break beside them cost one encoding each, and odd neighbours change no id."""
+    from tokenizers import Tokenizer
+
+    path = token_planes.default_tokenizer()
+    monkeypatch.setattr(token_planes, "_tokenizers", {})
+    encode, whole = token_planes.encoder(path), Tokenizer.from_file(path)
+    want = lambda texts: [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    words, signs = [f"{a}{b}été" for a in "abcdefghij" for b in "klmnopqrst"], ["", ".", ",", "!", "?", ":", ";", ")", "|", "...", ".\n"]
+    texts = ["x " + " ".join(w + s + (v if s == ".\n" else "") for s in signs) for w, v in zip(words, words[1:] + words[:1])]
+    assert encode(texts) == want(texts)
+    assert len(token_planes._tokenizers[path][-1][0].numbers) <= 2 * len(words) + len(signs)
+    rng = random.Random(3)
+    odd = [" ", " ", "a", "Zo", "É", "ª", "\u0301", "Ж", "中", "'", "'s", "'VE", ".", "|", "_", "\x7f", "\x85", "\xa0", "\n", "\t", "\x1c", "\x00", "0", "²", "٣", "<|endoftext|>", "<|", "endoftext", "\u3000", "😀"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    assert encode(pa.array(texts)) == encode(pa.array(texts, pa.large_string())) == want(texts)
+    assert encode([]) == [] and encode(["", " "]) == want(["", " "])
+
+
+def test_blocks_are_gathered_across_batches():
+    texts = ["a" * n for n in (5, 0, 40, 3, 3, 3, 90, 1, 12)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": list(range(lo, hi)), "text": pa.array(texts[lo:hi], pa.string())}) for lo, hi in ((0, 2), (2, 2), (2, 5), (5, 9))]
+    found = [(ids.to_pylist(), some.to_pylist()) for ids, some in token_planes.gathered(iter(batches), 80)]
+    assert [i for ids, _ in found for i in ids] == list(range(9)) and [t for _, some in found for t in some] == texts
+    assert 1 < len(found) < 5
