@@ -11,6 +11,7 @@ can be read without the others (``read_block``).
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
@@ -30,8 +31,8 @@ from callweave.llm.common import small_batches, table
 from callweave.session import shared_dir
 
 BLOCK, CHUNK_IDS, END_ID = 1 << 14, 1 << 18, 2
-#: Text of a block, pieces that are cut at once, parts that a worker keeps encoded (about 200 bytes each), and how the vocabulary writes a space.
-BLOCK_BYTES, PIECES, REMEMBERED, SPACE = 16 << 20, 50_000, 700_000, "\u0120"
+#: Text of a block, pieces that are cut at once, parts encoded as one text and texts in one call, parts that a worker keeps (about 200 bytes each), and how the vocabulary writes a space.
+BLOCK_BYTES, PIECES, TOGETHER, REMEMBERED, SPACE = 16 << 20, 50_000, 50, 700_000, "\u0120"
 #: White space after a space, or a space at the end.
 RUN = r" [\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| $"
 #: Parts of pieces: letters, numbers and signs as far as these few make the end of a match certain, a line break before a letter, or the rest.
@@ -78,6 +79,15 @@ def unpack(n_ids: int, sizes: list[int], data: bytes) -> np.ndarray:
     return np.concatenate([np.zeros(0, dtype="<u4"), *(read_block(k, n_ids, sizes, data) for k in range(-(-n_ids // BLOCK)))])
 
 
+def kept(seen: Seen, uses: np.ndarray, most: int) -> tuple[Seen, np.ndarray]:
+    """At most ``most`` of the strings that were used twice or more, the most used ones, and half their uses."""
+    often = uses > max(1, np.partition(uses, -most - 1)[-most - 1])
+    numbers, out = np.flatnonzero(often), Seen()
+    out.name(itertools.compress(seen.numbers, often.tolist()))
+    out.add(seen.ends[numbers + 1] - seen.ends[numbers], seen.ids(numbers))
+    return out, uses[numbers] // 2
+
+
 def encoder(path: str) -> Callable[[pa.Array | list[str]], list[bytes]]:
     """Texts to the bytes of their ids.
 
@@ -86,7 +96,7 @@ def encoder(path: str) -> Callable[[pa.Array | list[str]], list[bytes]]:
     where a run of letters, numbers or signs surely ends, so pieces are made of fewer parts (``PART``), which
     the tokenizer encodes once for a worker. New parts that begin with a space are encoded together as one text;
     only the first token of each begins with a space, which parts their ids again. A worker numbers its parts;
-    once it knows more than ``REMEMBERED`` it begins again.
+    once it knows more than ``REMEMBERED`` it keeps the more used half at most.
     """
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -98,18 +108,21 @@ def encoder(path: str) -> Callable[[pa.Array | list[str]], list[bytes]]:
         leads[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
         # Texts with one of the added tokens, which no pattern cuts, or with spaces in a run go to the tokenizer whole.
         whole = "|".join([RUN, *(re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values())])
-        _tokenizers[path] = (tokenizer, leads, whole, [Seen()])
+        _tokenizers[path] = (tokenizer, leads, whole, [Seen(), np.zeros(0, dtype=np.int64)])
     tokenizer, leads, whole, known = _tokenizers[path]
 
     def alone(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = []
+        for at in range(0, len(texts), TOGETHER):  # the library's encodings take many times the memory of their ids
+            found += [np.array(e.ids, dtype="<u4") for e in tokenizer.encode_batch_fast(texts[at : at + TOGETHER], add_special_tokens=False)]
+        return found
 
     def learn(seen: Seen) -> None:
         parts = seen.new()
         spaced = np.fromiter((p[0] == " " for p in parts), dtype=bool, count=len(parts))
         sizes = np.zeros(len(parts), dtype=np.int64)
         after = [p for p in parts if p[0] == " "]
-        joined = np.concatenate([np.zeros(0, dtype="<u4"), *alone(["".join(after[at : at + 2000]) for at in range(0, len(after), 2000)])])
+        joined = np.concatenate([np.zeros(0, dtype="<u4"), *alone(["".join(after[at : at + TOGETHER]) for at in range(0, len(after), TOGETHER)])])
         sizes[spaced] = np.diff(np.flatnonzero(leads[joined]), append=len(joined))
         others = alone([p for p in parts if p[0] != " "])
         sizes[~spaced] = [len(x) for x in others]
@@ -117,14 +130,17 @@ def encoder(path: str) -> Callable[[pa.Array | list[str]], list[bytes]]:
         ids[of_spaced], ids[~of_spaced] = joined, np.concatenate([np.zeros(0, dtype="<u4"), *others])
         seen.add(sizes, ids)
 
-    def spell(seen: Seen, pieces: pa.Array) -> pa.Array:
+    def spell(pieces: pa.Array) -> pa.Array:
         """The bytes of the ids of pieces, each after a space."""
-        named = [np.zeros(0, dtype=np.int32)]
+        seen, named = known[0], [np.zeros(0, dtype=np.int32)]
         for at in range(0, len(pieces), PIECES):
             some = pieces.slice(at, PIECES)
             named.append(seen.name(PART.findall(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), " ")[0].as_py())))
         learn(seen)
         named = np.concatenate(named)
+        uses = np.bincount(named, minlength=len(seen.numbers))
+        uses[: len(known[1])] += known[1]
+        known[1] = uses
         ends, starts = (seen.ends[named + 1] - seen.ends[named]).cumsum(), np.flatnonzero(leads[seen.flat[seen.ends[named]]])
         ends = np.concatenate([[0], ends[starts[1:] - 1], ends[-1:]]).astype(np.int64)
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(4 * ends), pa.py_buffer(seen.ids(named).astype("<u4"))])
@@ -132,17 +148,18 @@ def encoder(path: str) -> Callable[[pa.Array | list[str]], list[bytes]]:
     def encode(texts: pa.Array | list[str]) -> list[bytes]:
         texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if len(known[0].numbers) > REMEMBERED:
-            known[0] = Seen()
+            known[:] = kept(*known, REMEMBERED // 2)
         plain = pc.invert(pc.match_substring_regex(texts, whole))
         cut = pc.split_pattern(texts.filter(plain), " ")
         starts, pieces = cut.offsets.to_numpy(), cut.values
-        firsts, later = starts[:-1], np.ones(len(pieces), dtype=bool)
-        later[firsts] = False
+        firsts, later = pa.array(starts[:-1]), np.ones(len(pieces), dtype=bool)
+        later[starts[:-1]] = False
+        # A text's first piece has no space before it.
+        heads, others = iter(alone(pieces.take(firsts).to_pylist())), iter(alone(texts.filter(pc.invert(plain)).to_pylist()))
         coded = pieces.filter(pa.array(later)).dictionary_encode()
-        found = spell(known[0], coded.dictionary).take(coded.indices)
+        del cut, pieces, later
+        found = spell(coded.dictionary).take(coded.indices)
         at, data = (np.frombuffer(found.buffers()[1], dtype=np.int64), memoryview(found.buffers()[2])) if len(found) else (np.zeros(1, dtype=np.int64), b"")
-        # A text's first piece has no space before it.
-        heads, others = iter(alone(pieces.take(pa.array(firsts)).to_pylist())), iter(alone(texts.filter(pc.invert(plain)).to_pylist()))
         bounds = at[starts - np.arange(len(starts))].tolist()
         spans = iter(zip(bounds, bounds[1:]))
         out = []

@@ -245,3 +245,17 @@ def test_blocks_are_gathered_across_batches():
     found = [(ids.to_pylist(), some.to_pylist()) for ids, some in token_planes.gathered(iter(batches), 80)]
     assert [i for ids, _ in found for i in ids] == list(range(9)) and [t for _, some in found for t in some] == texts
     assert 1 < len(found) < 5
+
+
+def test_used_parts_are_kept(monkeypatch):
+    """A worker that knows too many parts keeps the most used ones with their ids and forgets those used once."""
+    monkeypatch.setattr(token_planes, "_tokenizers", {})
+    monkeypatch.setattr(token_planes, "REMEMBERED", 60)
+    path = token_planes.default_tokenizer()
+    encode = token_planes.encoder(path)
+    often, once = ["x " + " ".join(f"{c}old" for c in "abcdefgh")], ["x " + " ".join(f"{c}{d}new" for c in "abcdefgh" for d in "klmnopqr")]
+    first = encode(often)
+    assert encode(often) == first
+    encode(once)
+    assert encode(often) == first
+    assert list(token_planes._tokenizers[path][-1][0].numbers) == [f" {c}old" for c in "abcdefgh"]
